@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ..session import ship
 from .common import fresh, map_batches, once, texts_of
 
 TABLE_ENTRIES = 1 << 14
@@ -72,6 +73,8 @@ class Counts:
 def frequent_units(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """(unit, n) of every unit that is frequent in some task; n counts those tasks only."""
 
+    ship(docs.sparkSession)
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = Counter(), 0
         for batch in batches:
