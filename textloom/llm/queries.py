@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, language, secrets, tokencount
+from . import bpe, exactdedup, language, secrets, tokencount
 from .common import table
 
 
@@ -29,11 +30,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = exactdedup.find_groups(docs, exactdedup.newer_half(F.col("doc_id")))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_language_id": op5_language_id,
     "op8_token_counts": op8_token_counts,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {}
