@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, language, secrets, tokencount
+from . import bpe, exactdedup, language, secrets, simhash, tokencount
 from .common import table
 
 
@@ -26,6 +26,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.find_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.written(F.col("print")).alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -40,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op3_byte_bpe": op3_byte_bpe,
     "op5_language_id": op5_language_id,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
