@@ -3,7 +3,7 @@
 A text is cut into units, each a run of white space with the run of other characters after it. No slice of
 the tokenizer's pre-tokenisation crosses from one unit into the next, and none looks behind its unit, so the
 count of a text is the sum over its units. Tier one is a broadcast table of the counts of frequent units;
-tier two is a cache in each worker, filled by encoding the misses of a batch with the library itself.
+tier two is a cache in each worker, filled by encoding the misses of a batch.
 
 The frequent units come from all documents: each task sends only those that make up at least ``LEAST_SHARE``
 of its units (so at most 1 / LEAST_SHARE rows a task, whatever its size), and the ``TABLE_ENTRIES`` most
@@ -15,11 +15,14 @@ texts are one token each, as the library takes them by default; other input colu
 
 from __future__ import annotations
 
+import os
 import re
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,7 @@ from tokenizers import Tokenizer
 
 from ..session import ship
 from .common import fresh, map_batches, once, texts_of
+from .words import Words
 
 TABLE_ENTRIES = 1 << 14
 LEAST_SHARE = 1 / 4096
@@ -41,33 +45,60 @@ UNITS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
 class Counts:
-    """A worker's two tiers."""
+    """A worker's two tiers.
 
-    def __init__(self, vocabulary: str, frequent: dict[str, int]) -> None:
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.marks = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.frequent, self.cache = frequent, {}
+    An unseen unit that is a space, a word and punctuation counts as the word's and the punctuation's tokens;
+    unseen words are encoded in one call, and every other unit by the library.
+    """
 
-    def encoded(self, units: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def __init__(self, vocabulary: str, frequent: dict[str, int]) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
+        self.tokenizer, self.words = Tokenizer.from_str(vocabulary), Words(vocabulary)
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.marks = re.compile("|".join(map(re.escape, special))) if special else None
+        self.frequent: dict[str, int] = frequent
+        self.cache: dict[str, int] = {"": 0}
+
+    def library(self, units: list[str]) -> dict[str, int]:
+        return {u: len(e.ids) for u, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True)}
+
+    def spaced_words(self, words: list[str]) -> dict[str, int]:
+        found = self.words.encode(words)
+        return self.library(words) if found is None else dict(zip(words, np.diff(found[1], prepend=0).tolist(), strict=True))
+
+    def learn(self, units: set[str]) -> None:
+        parted, words, others = [], set(), set()
+        for u in units:
+            core = u.rstrip(string.punctuation)
+            if core[:1] == " " and core[1:].isalpha():
+                parted.append((u, core, u[len(core) :]))
+                words.add(core)
+                others.add(u[len(core) :])
+            else:
+                others.add(u)
+        cache = self.cache
+        cache |= self.library([u for u in others if u not in cache])
+        cache |= self.spaced_words([w for w in words if w not in cache])
+        for u, word, tail in parted:
+            cache[u] = cache[word] + cache[tail]
 
     def of(self, texts: list[str]) -> list[int]:
         units, extra = [], []
         for text in texts:
             parts = self.marks.split(text) if self.marks else [text]
             extra.append(len(parts) - 1)
-            units.append([u for p in parts for u in UNITS.findall(p)] if len(parts) > 1 else UNITS.findall(text))
+            units.append([u for p in parts for u in UNITS.findall(p)])
         wanted = set().union(*units).difference(self.frequent, self.cache)
         if len(self.cache) + len(wanted) > CACHE_ENTRIES:
+            self.cache = {"": 0}
             wanted = set().union(*units).difference(self.frequent)
-            self.cache.clear()
-        missing = list(wanted)
-        found = dict(zip(missing, self.encoded(missing), strict=True))
-        self.cache.update((u, n) for u, n in found.items() if len(u) <= CACHE_CHARS)
-        found = {u: n for u, n in found.items() if len(u) > CACHE_CHARS}
-        first, second, third = self.frequent.get, self.cache.get, found.get
-        return [n + sum(first(u) or second(u) or third(u, 0) for u in own) for n, own in zip(extra, units, strict=True)]
+        self.learn(wanted)
+        first, second = self.frequent.get, self.cache.get
+        out = [n + sum(first(u) or second(u, 0) for u in own) for n, own in zip(extra, units, strict=True)]
+        for u in wanted:
+            if len(u) > CACHE_CHARS:
+                del self.cache[u]
+        return out
 
 
 def frequent_units(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -95,8 +126,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, entries: int = T
     """A row for each document: UTF-8 bytes, tokens, and whether these exceed the limit."""
     vocabulary = Path(path).read_text()
     top = [r.unit for r in frequent_units(docs).orderBy(F.desc("n"), "unit").limit(entries).collect()]  # bounded by entries
-    lengths = Counts(vocabulary, {}).encoded(top)
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, dict(zip(top, lengths, strict=True))))
+    lengths = Counts(vocabulary, {}).library(top)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, lengths))
     key = fresh("counts")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
