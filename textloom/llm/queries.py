@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, language, packing, secrets, sharding, simhash, tokencount
+from . import bpe, exactdedup, language, packing, secrets, sharding, simhash, sketch, tokencount
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.written(F.col("print")).alias("fingerprint"), "component_id")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op10_exact_dedup": op10_exact_dedup,
 }
