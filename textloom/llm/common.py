@@ -35,6 +35,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys of up to so many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """Slim keys for a join: a broadcast if their counted rows are within the bound, else as they are."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def fresh(stem: str) -> str:
     """A column name that no input column has."""
     return f"__{stem}_{uuid.uuid4().hex[:8]}"

@@ -22,17 +22,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from . import fuse
-from .common import ascii_lower, durable, fresh
+from .common import ascii_lower, counted, durable, fresh
 
 #: Distinct digests of a filter, about.
 KEYS = 1 << 13
-#: Up to so many representatives (16 bytes each) are broadcast to fetch their texts; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
 
 
 def normalized(text: Column) -> Column:
@@ -86,9 +84,7 @@ def screened(groups: DataFrame, filters: DataFrame, ranges: int) -> DataFrame:
 
 def texts_for(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, digest, body): the normalised texts of the wanted documents."""
-    ids = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    ids = counted(wanted.select("doc_id").distinct())
     found = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     return found.select("doc_id", text_digest(F.col("text")).alias("digest"), normalized(F.col("text")).alias("body"))
 
@@ -131,9 +127,10 @@ def newer_half(ids: Column) -> Column:
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents, all columns, that their group keeps; of rows equal in id and text, one."""
-    mark, rank = fresh("digest"), fresh("rank")
-    kept = groups.filter("kept").select(F.col("doc_id").alias(f"{mark}_id"), F.col("digest").alias(f"{mark}_kept")).distinct()
-    marked = docs.withColumn(mark, text_digest(F.col("text")))
-    stay = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_kept")), "left_semi")
-    one = Window.partitionBy("doc_id", mark).orderBy(F.col("text").asc_nulls_last())
-    return stay.withColumn(rank, F.row_number().over(one)).filter(F.col(rank) == 1).drop(rank, mark)
+    mark, id_, held, n = fresh("digest"), fresh("id"), fresh("held"), fresh("n")
+    states = groups.groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(mark)).agg(F.max("kept").alias(held), F.count(F.lit(1)).alias(n))
+    special = durable(states.filter(~F.col(held) | (F.col(n) > 1)))
+    on = [F.col("doc_id").eqNullSafe(F.col(id_)), text_digest(F.col("text")) == F.col(mark)]
+    clear = docs.join(counted(special), on, "left_anti")
+    twice = docs.join(counted(special.filter(F.col(held))), on, "left_semi").dropDuplicates(["doc_id", "text"])
+    return clear.unionByName(twice)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, texts_of
+from .common import counted, durable, map_batches, texts_of
 from .components import components
 
 RADIUS, BLOCKS, CELL = 2, 6, 48
@@ -116,6 +116,12 @@ def find_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(placed.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
+def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents, all columns, without those whose component has a smaller doc_id; rows without doc_id stay."""
+    gone = durable(found.filter("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(counted(gone), "doc_id", "left_anti").select(docs.columns)
+
+
 def written(p: Column) -> Column:
     """Sixteen lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(p), 16, "0"))
