@@ -121,7 +121,7 @@ def test_files(spark, tmp_path):
     found, broken = files.entries(spark, str(tmp_path / "out"))
     assert {r.path for r in broken.collect()} >= {"bad"}
     old = files.old_entries(spark, str(tmp_path / "out"))
-    assert old.filter("archived").count() == 2
+    assert old.filter("archived").count() == 5
     with pytest.raises(ValueError):
         files.put(str(root), "../x", "")
     (root / ".qsrclintrc").write_text(json.dumps({"max_line_length": 50}))
