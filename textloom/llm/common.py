@@ -36,7 +36,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 #: Keys of up to so many rows are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 17
 
 
 def counted(keys: DataFrame) -> DataFrame:
