@@ -36,7 +36,7 @@ CAPACITY, END_ID = 2048, 1
 #: Length classes of remainders; the last is a full sequence.
 CLASSES = 256
 #: Chunks that a worker remembers, and the longest that it does.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 19, 64
+CACHE_ENTRIES, CACHE_CHARS = 3 << 18, 64
 MOST_COLUMNS, GAP = 4_000, 0.001
 ROWS_A_BUCKET = 1 << 12
 TOGETHER = 128
@@ -65,30 +65,32 @@ class Encoder:
         return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
 
     def lower_words(self, words: list[str]) -> dict[str, bytes]:
-        found = self.words.encode(words)
+        found = self.words.encode(words) if words else None
         if found is None:
             return self.library(words)
         raw, ends = found[0].astype("<u4").tobytes(), (4 * found[1]).tolist()
         return {w: raw[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
     def learn(self, chunks: set[str]) -> None:
+        cache = self.cache
+        plain = [c for c in chunks if c.isalpha() and c.isascii() and c.islower()]
+        cache |= self.lower_words(plain)
         parted, words, others = [], set(), set()
-        for c in chunks:
+        for c in chunks.difference(plain):
             core = c.rstrip(string.punctuation)
-            if core.isalpha() and core.isascii():
+            if core.isalpha() and (core.isascii() or core.islower() and unicodedata.is_normalized("NFC", core)):
                 word, tail = core.lower(), c[len(core) :]
                 parted.append((c, word, tail))
-                words.add(word)
-                others.add(tail)
-            elif core.isalpha() and core.islower() and unicodedata.is_normalized("NFC", core):
-                parted.append((c, core, c[len(core) :]))
-                words.add(core)
-                others.add(c[len(core) :])
+                if word not in cache:
+                    words.add(word)
+                if tail not in cache:
+                    others.add(tail)
             else:
                 others.add(c)
-        cache = self.cache
-        cache |= self.library([c for c in others if c not in cache])
-        cache |= self.lower_words([w for w in words if w not in cache])
+        if others:
+            cache |= self.library(list(others))
+        if words:
+            cache |= self.lower_words(list(words))
         for c, word, tail in parted:
             cache[c] = cache[word] + cache[tail]
 
