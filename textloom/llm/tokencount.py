@@ -63,24 +63,31 @@ class Counts:
         return {u: len(e.ids) for u, e in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True)}
 
     def spaced_words(self, words: list[str]) -> dict[str, int]:
-        found = self.words.encode(words)
+        found = self.words.encode(words) if words else None
         return self.library(words) if found is None else dict(zip(words, np.diff(found[1], prepend=0).tolist(), strict=True))
 
     def learn(self, units: set[str]) -> None:
+        cache = self.cache
+        plain = [u for u in units if u[:1] == " " and u[1:].isalpha()]
+        cache |= self.spaced_words(plain)
         parted, words, others = [], set(), set()
-        for u in units:
+        for u in units.difference(plain):
             core = u.rstrip(string.punctuation)
             if core[:1] == " " and core[1:].isalpha():
-                parted.append((u, core, u[len(core) :]))
-                words.add(core)
-                others.add(u[len(core) :])
+                tail = u[len(core) :]
+                parted.append((u, core, tail))
+                if core not in cache and core not in self.frequent:
+                    words.add(core)
+                if tail not in cache:
+                    others.add(tail)
             else:
                 others.add(u)
-        cache = self.cache
-        cache |= self.library([u for u in others if u not in cache])
-        cache |= self.spaced_words([w for w in words if w not in cache])
+        if others:
+            cache |= self.library(list(others))
+        if words:
+            cache |= self.spaced_words(list(words))
         for u, word, tail in parted:
-            cache[u] = cache[word] + cache[tail]
+            cache[u] = (self.frequent.get(word) or cache[word]) + cache[tail]
 
     def of(self, texts: list[str]) -> list[int]:
         units, extra = [], []
