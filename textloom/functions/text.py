@@ -162,9 +162,12 @@ def tags(c: Column) -> Column:
 
 
 def multiset(items: Column) -> Column:
-    """Sorted ``item*count`` of an array, in one pass over its sorted items."""
-    sorted_items = F.sort_array(items)
-    return F.transform(F.array_distinct(sorted_items), lambda t: F.concat(t, F.lit("*"), F.size(F.filter(sorted_items, lambda x: x == t)).cast("string")))
+    """Sorted ``item*count`` of an array. The array of one binds the sorted items to a name, so they are made once."""
+
+    def counted(found: Column) -> Column:
+        return F.transform(F.array_distinct(found), lambda t: F.concat(t, F.lit("*"), F.size(F.filter(found, lambda x: x == t)).cast("string")))
+
+    return F.transform(F.array(F.sort_array(items)), counted)[0]
 
 
 def symbol_drift(original: Column, translation: Column) -> Column:
