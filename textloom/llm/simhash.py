@@ -11,6 +11,13 @@ dense places: two fingerprints are within two bits if and only if some point is
 each is sent to its 65 points, and those that meet at a point (65 at most) link to the least of them. Rows
 grow in proportion to fingerprints either way, and no link is lost.
 
+Wider similarity (``find_similar``): Jaccard similarity of word shingles from 0.8 on flips ten bits and more of a
+whole text's fingerprint, where no bound on distances selects. So a text gets further fingerprints, each of a
+min-wise sample of its shingles, equal with the fourth power of the similarity. Texts that share one, or whose
+whole fingerprints link as above, are candidates, and every candidate pair is verified on all shingles. A cell of
+sample fingerprints beyond ``CELL`` texts compares each with the three that meet most others instead of all pairs;
+the original of many copies is such a one.
+
 Defined results: null text counts as empty; no words give fingerprint zero, which links like any other;
 repeated rows share a component; an empty table gives no rows; other columns are ignored.
 """
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import counted, durable, map_batches, texts_of
 from .components import components
+from .fuse import mix
 
 RADIUS, BLOCKS, CELL = 2, 6, 48
 SEED, TOGETHER = 42, 1 << 16
@@ -116,6 +124,111 @@ def find_components(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(placed.join(ids, "root").select("print", "component_id"), "print").select("doc_id", "print", "component_id")
 
 
+SIMILARITY, VIEWS, SAMPLE, PIVOTS = 0.8, 12, 4, 3
+SETS = "doc_id long, digest string, print long, views array<long>"
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    found = text.encode().translate(_LOWER).split()
+    width = min(words, len(found))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(found[i : i + width]), SEED) for i in range(len(found) - width + 1)] if found else [], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
+def sampled(hashes: np.ndarray) -> list[int]:
+    """For each view, the fingerprint of the members that its order puts first."""
+    if len(hashes) <= SAMPLE:
+        return [majority(hashes)] * bool(len(hashes))
+    orders = (mix(hashes, 1000 + v) for v in range(VIEWS))
+    return [majority(hashes[np.argpartition(m, SAMPLE)[:SAMPLE]]) for m in orders]
+
+
+def set_digest(hashes: np.ndarray) -> str:
+    return xxhash.xxh3_128_hexdigest(hashes.tobytes())
+
+
+def described(docs: DataFrame, words: int) -> DataFrame:
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in texts_of(batch)]
+        columns = [
+            batch.column("doc_id"),
+            pa.array([set_digest(h) for h in sets], pa.string()),
+            pa.array([majority(h) if len(h) else 0 for h in sets], pa.int64()),
+            pa.array([sampled(h) for h in sets], pa.list_(pa.int64())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "print", "views"])
+
+    return map_batches(docs.select("doc_id", "text"), work, SETS)
+
+
+def ordered_pairs(df: DataFrame) -> DataFrame:
+    return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(a, b): digests of texts that share a view's fingerprint, or whose whole fingerprints are equal or link."""
+    places = sets.select("digest", F.posexplode("views").alias("view", "cell"))
+    crowded = places.groupBy("view", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = durable(places.join(crowded, ["view", "cell"]))
+    some = shared.filter(F.col("n") <= CELL)
+    pairs = some.select("view", "cell", F.col("digest").alias("a")).join(some.select("view", "cell", F.col("digest").alias("b")), ["view", "cell"]).filter("a < b")
+    meets = shared.groupBy("digest").agg(F.sum("n").alias("meets"))
+    many = shared.filter(F.col("n") > CELL).join(meets, "digest").withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(PIVOTS)))
+    pivots = many.groupBy("view", "cell", "salt").agg(F.max(F.struct("meets", "digest")).alias("top")).select("view", "cell", F.col("top.digest").alias("b"))
+    stars = many.select("view", "cell", F.col("digest").alias("a")).join(pivots, ["view", "cell"])
+    # Texts of one print meet its least text; least texts of linked prints meet each other.
+    first = sets.groupBy("print").agg(F.min("digest").alias("b"))
+    within = sets.select("print", F.col("digest").alias("a")).join(first, "print")
+    near = links(first.select("print")).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
+    across = near.join(first.select(F.col("print").alias("x"), F.col("b").alias("a")), "x").join(first.select(F.col("print").alias("y"), "b"), "y")
+    every = [ordered_pairs(p.select("a", "b")) for p in (pairs, stars, within, across)]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).distinct()
+
+
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose sets of all shingles are similar enough."""
+
+    def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_set(t, words) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([pa.array([set_digest(h) for h in found], pa.string()), pa.array([h.tobytes() for h in found], pa.binary())], ["digest", "hashes"])
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= similarity * (len(a) + len(b) - both))
+        kept = batch.filter(pa.array(keep, pa.bool_()))
+        return pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    ids = sets.join(ends, "digest").select(F.col("least").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(counted(durable(ids)), "doc_id", "left_semi")
+    held = map_batches(texts.select("text"), hashed, "digest string, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
+    held = durable(held)
+    left, right = held.select(F.col("digest").alias("a"), F.col("hashes").alias("left")), held.select(F.col("digest").alias("b"), F.col("hashes").alias("right"))
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), judged, "a string, b string")
+
+
+def find_similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): the least doc_id that verified links reach; equal sets of shingles link, rows without doc_id don't."""
+    rows = durable(described(docs.filter("doc_id is not null"), words))
+    sets = durable(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("views").alias("views")))
+    pairs = durable(candidates(sets))
+    close = verified(docs, sets, pairs, words, similarity)
+    least = sets.select("digest", "least")
+    edges = close.join(least.select(F.col("digest").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("digest").alias("b"), F.col("least").alias("y")), "b")
+    found = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    placed = least.join(found.select(F.col("node").alias("least"), "root"), "least", "left").select("digest", F.coalesce("root", "least").alias("component_id"))
+    return rows.join(placed, "digest").select("doc_id", "component_id")
+
+
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents, all columns, without those whose component has a smaller doc_id; rows without doc_id stay."""
     gone = durable(found.filter("doc_id <> component_id").select("doc_id").distinct())
