@@ -142,6 +142,45 @@ def test_links_of_dense_prints(spark, monkeypatch, cell):
         assert {found.get(p, p) for p in own} == {min(own)}
 
 
+@pytest.mark.parametrize("cell", [48, 3])
+def test_similar(spark, docs, empty, monkeypatch, cell):
+    """All pairs of similarity 0.8 on five-word shingles, among copies, edits, a hot group and a shared passage."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    random.seed(9)
+    words = ["".join(random.choices("abcdefgh", k=random.randint(2, 7))) for _ in range(3000)]
+    prose = lambda n: random.choices(words, k=n)
+    passage = prose(60)
+    texts = [prose(random.randint(1, 250)) for _ in range(120)] + [[*prose(100), *passage] for _ in range(30)]
+    for own in [prose(300) for _ in range(12)] + [passage]:
+        texts.append(own)
+        for k in (0, 0, 1, 2, 4, 6):
+            copy = list(own)
+            for i in random.sample(range(len(copy)), k):
+                copy[i] = random.choice(words)
+            texts.append(copy)
+    hot = prose(400)
+    for _ in range(60):
+        texts.append([random.choice(words) if i == random.randrange(400) else w for i, w in enumerate(hot)])
+    sets = [shingles(" ".join(t)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.find_similar(table).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert simhash.find_similar(empty).count() == 0
+    kept = simhash.keep_least(docs, simhash.find_similar(docs))
+    assert kept.filter("doc_id is null").count() == docs.filter("doc_id is null").count() and kept.columns == docs.columns
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
