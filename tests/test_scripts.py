@@ -129,3 +129,29 @@ def test_files(spark, tmp_path):
     query = watch_scripts(spark, str(root), str(tmp_path / "issues"), str(tmp_path / "state"))
     query.awaitTermination(60)
     assert query.exception() is None and spark.read.parquet(str(tmp_path / "issues")).filter("severity = 'error'").count() == 0
+
+
+def test_commands(spark, tmp_path, capsys):
+    from textloom.__main__ import main
+
+    src = tmp_path / "src"
+    src.mkdir()
+    for name, text in SOURCES.items():
+        (src / name).write_text(text)
+    run = lambda *a: (main(list(a)), json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
+    code, out = run("extract", "--source", str(src), "--output", str(tmp_path / "entries"))
+    assert code == 0 and out["entries"] == 8
+    path = tmp_path / "entries" / "street.qsrc.json"
+    rows = json.loads(path.read_text())
+    rows[0] |= {"translation": "Die Straße ist lang.", "stage": 1}
+    path.write_text(json.dumps(rows))
+    assert run("sync", "--source", str(src), "--old", str(tmp_path / "entries"), "--output", str(tmp_path / "synced"))[1]["migrated_entries"] == 1
+    assert run("precheck", "--entries", str(tmp_path / "entries"), "--output", str(tmp_path / "clean"))[1] == {"entries": 8, "kept": 8, "reported": 0, "broken_files": 0}
+    out = run("inject", "--source", str(src), "--entries", str(tmp_path / "clean"), "--output", str(tmp_path / "done"))[1]
+    assert out["applied"] == 1
+    assert "Die Straße ist lang." in (tmp_path / "done" / "street.qsrc").read_text()
+    assert (tmp_path / "done" / "home.qsrc").read_text() == SOURCES["home.qsrc"]
+    code, out = run("check", "--source", str(src), "--translated", str(tmp_path / "done"))
+    assert code == 1 and out["locked"] == 1 and out["issues"]["SYNTAX"] >= 1
+    out = run("overlay", "--source", str(src), "--translated", str(tmp_path / "done"), "--output", str(tmp_path / "build"))[1]
+    assert out == {"files": 4, "overlaid": 3}

@@ -402,3 +402,57 @@ def autocomplete_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     words = docs.select("source").union(docs.filter("lang is not null").select("lang")).union(read(spark, sf_dir, "events").select("event_type"))
     return words.select(F.lower("source").alias("word")).distinct()
+
+
+@registered(f"with {LINES} select line, arg_min({{'doc_id': doc_id, 'line_no': line_no}}, (doc_id, line_no)).doc_id as doc_id, arg_min({{'doc_id': doc_id, 'line_no': line_no}}, (doc_id, line_no)).line_no as line_no from lines group by line")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each distinct line stands first."""
+    first = document_lines(spark, sf_dir).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
+    return first.select("line", "at.doc_id", "at.line_no")
+
+
+@registered("""select source, bool_and(n_chars > 10) as ok, bool_or(n_chars > 10000) as any_long, count(distinct lang) as langs from documents group by source""")
+def summary_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(F.bool_and(F.col("n_chars") > 10).alias("ok"), F.bool_or(F.col("n_chars") > 10_000).alias("any_long"), F.countDistinct("lang").alias("langs"))
+
+
+@registered("""select p_partkey, p_name is distinct from p_type as changed, p_name <> p_type and lower(p_name) = lower(p_type) as case_only, upper(p_brand) is distinct from p_brand as brand_changed,
+  p_brand <> upper(p_brand) and lower(p_brand) = lower(upper(p_brand)) as brand_case_only from part""")
+def changed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs null-safely, and what differs by case alone."""
+    case_only = lambda a, b: (a != b) & (F.lower(a) == F.lower(b))
+    name, kind, brand = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", (~name.eqNullSafe(kind)).alias("changed"), case_only(name, kind).alias("case_only"), (~F.upper(brand).eqNullSafe(brand)).alias("brand_changed"), case_only(brand, F.upper(brand)).alias("brand_case_only")
+    )
+
+
+@registered(r"""select doc_id, replace(replace(substring(text, greatest(1, p - 80), (p + 7 + 80) - greatest(1, p - 80)), chr(13), '\r'), chr(10), '\n') as preview
+  from (select doc_id, text, strpos(text, 'License') as p from documents) where p > 0""")
+def nearby_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighty characters around the first hit of a word, line ends written out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.locate("License", F.col("text")).alias("p")).filter("p > 0")
+    cut = F.expr("substring(text, greatest(1, p - 80), (p + 7 + 80) - greatest(1, p - 80))")
+    return docs.select("doc_id", F.replace(F.replace(cut, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n")).alias("preview"))
+
+
+@registered(f"""with {LINES} select doc_id, line_no, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as start from lines""")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line of a text begins."""
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return document_lines(spark, sf_dir).select("doc_id", "line_no", F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)).cast("long").alias("start"))
+
+
+@registered("""select user_id, array_to_string(list_slice(list_sort(list_distinct(list(event_type))), 1, 3), ', ') as shown, count(distinct event_type) as kinds from events group by user_id""")
+def detail_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three of a user's event types in order; the rest is only counted."""
+    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
+    return e.select("user_id", F.array_join(F.slice("kinds", 1, 3), ", ").alias("shown"), F.size("kinds").cast("long").alias("kinds"))
+
+
+@registered("""select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate nulls last, o_orderkey) as turn from orders""")
+def entries_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a file by position, those without one last, ties by index."""
+    w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("turn"))
