@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out rows of an input that has far fewer partitions than there are cores, before costly expressions.
+
+    Larger inputs have more partitions than cores and stay as they are. Select columns first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores // 2 else df
+
+
 def ordered_number(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str) -> DataFrame:
     """Adds a number from 1 within each key, in the order given, however many rows a key has.
 

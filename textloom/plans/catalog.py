@@ -42,7 +42,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, line_no, line), line_no from 1."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = ordering.spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "source", (F.col("i") + 1).alias("line_no"), "line")
 
 
@@ -73,7 +73,7 @@ VISIBLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({
 
 @registered(f"select page_id, {VISIBLE.format(c='html')} as visible from pages")
 def visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", T.visible_text(F.col("html")).alias("visible"))
+    return ordering.spread(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.visible_text(F.col("html")).alias("visible"))
 
 
 ASSET_SQL = r"regexp_full_match({c}, '(?i)[A-Za-z0-9_./\\() -]+\.(?:jpg|jpeg|png|gif|webp|bmp|svg|mp4|webm|avi|mov|mkv)')"
@@ -86,7 +86,7 @@ MEDIA_SQL = rf"""((regexp_matches({{c}}, '(?i)<\s*/?\s*(?:img|video|audio|source
 def markup_only_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("body")).unionByName(read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("text").alias("body")))
     body = F.col("body")
-    return bodies.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_media_only(body)).alias("media"), F.count_if(T.visible_text(body) == "").alias("empty"))
+    return ordering.spread(bodies).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_media_only(body)).alias("media"), F.count_if(T.visible_text(body) == "").alias("empty"))
 
 
 @registered(f"""select page_id, path, {ASSET_SQL.format(c='path')} as asset, {ASSET_SQL.format(c="concat(path, '.png')")} as asset_png
@@ -106,13 +106,13 @@ TAGS_SQL = r"""list_transform(regexp_extract_all(regexp_replace({c}, '<<[^>]+>>|
 
 @registered(f"select page_id, array_to_string({TAGS_SQL.format(c='html')}, ' ') as signature from pages")
 def tag_signature_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", F.array_join(T.tags(F.col("html")), " ").alias("signature"))
+    return ordering.spread(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.array_join(T.tags(F.col("html")), " ").alias("signature"))
 
 
 @registered(f"""with t as (select page_id, unnest({TAGS_SQL.format(c='html')}) as tag from pages), c as (select page_id, tag, count(*) as n from t group by all)
   select page_id, string_agg(tag || '*' || n, ' ' order by tag) as signature from c group by page_id""")
 def tag_signature_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", F.array_join(T.multiset(T.tags(F.col("html"))), " ").alias("signature")).filter("signature <> ''")
+    return ordering.spread(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.array_join(T.multiset(T.tags(F.col("html"))), " ").alias("signature")).filter("signature <> ''")
 
 
 @registered(f"""with p as (select page_id, html, split_part(split_part(url, '://', 2), '/', 1) as host from pages),
@@ -136,7 +136,7 @@ def keyword_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of structure words; on masked code it is the profile that drift checks compare."""
     texts = read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     turns = read(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    profiled = texts.unionByName(turns).select("kind", "id", T.structure_profile(F.col("text")).alias("p"))
+    profiled = ordering.spread(texts.unionByName(turns)).select("kind", "id", T.structure_profile(F.col("text")).alias("p"))
     return profiled.select("kind", "id", *[F.col(f"p.{w}").cast("long").alias(f"n_{w}") for w in T.STRUCTURE_WORDS])
 
 
@@ -321,7 +321,7 @@ def line_width_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
   select page_id, len(list_filter(tags, lambda x: regexp_matches(x, '^<[a-z0-9]+>$'))) as opened, len(list_filter(tags, lambda x: starts_with(x, '</'))) as closed from t""")
 def header_footer_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = T.tags(F.col("html"))
-    pages = read(spark, sf_dir, "pages").select("page_id", tags.alias("tags"))
+    pages = ordering.spread(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", tags.alias("tags"))
     count = lambda pattern: F.size(F.filter("tags", lambda x: x.rlike(pattern))).cast("long")
     return pages.select("page_id", count("^<[a-z0-9]+>$").alias("opened"), count("^</").alias("closed"))
 

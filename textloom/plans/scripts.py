@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scanners as S
 from ..functions import text as T
 from ..operators import inject, match, scripts
+from ..operators.ordering import spread
 from ..operators.overlay import select_targets
 from .catalog import QUERIES, document_lines, read, registered
 
@@ -101,7 +102,7 @@ def precheck_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("select doc_id, length(text) as n_chars, 0::bigint as cut from documents where text is not null")
 def masked_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masking keeps every text's length, strings and comments included."""
-    docs = read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text")
+    docs = spread(read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text"))
     rows = scripts.map_texts(docs, lambda _, text: [(len(text), len(text) - len(S.masked(text)))], "path string, n_chars long, cut long")
     return rows.select(F.col("path").cast("long").alias("doc_id"), "n_chars", "cut")
 
