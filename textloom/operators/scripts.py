@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from difflib import unified_diff
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -286,3 +287,13 @@ def precheck(entries: DataFrame, symbols: bool = True) -> tuple[DataFrame, DataF
     clean = marked.withColumn("translation", F.when(F.col("drift"), "").otherwise(F.col("translation"))).withColumn("stage", F.when(F.col("drift"), 0).otherwise(F.col("stage"))).drop("drift")
     blocked = marked.filter("drift").select("path", "key", F.lit("symbols differ").alias("reason"))
     return clean, gone.select("path", "key", "reason").unionByName(blocked)
+
+
+def unified(before: DataFrame, after: DataFrame, context: int = 2) -> DataFrame:
+    """(path, diff) of scripts that changed: unified diffs between two tables of (path, text)."""
+    both = before.join(after.select("path", F.col("text").alias("after")), "path").filter(~F.col("text").eqNullSafe(F.col("after")))
+
+    def rows(path: str, a: str, b: str) -> list[tuple]:
+        return [("\n".join(unified_diff(a.splitlines(), b.splitlines(), "source", "translated", lineterm="", n=context)),)]
+
+    return map_texts(both, rows, "path string, diff string", ("path", "text", "after"))

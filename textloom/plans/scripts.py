@@ -142,3 +142,8 @@ def kinds_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by source that the classifier of script lines doesn't call blank or else, but which have text."""
     kinds = document_lines(spark, sf_dir).select("source", "line", T.line_kind(F.col("line"), F.lit(False)).alias("kind"))
     return kinds.filter("line <> '' and kind is not null").groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@registered()
+def script_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scripts.unified(texts(spark, SOURCES), texts(spark, TRANSLATED))
