@@ -62,4 +62,4 @@ def greedy_batches(df: DataFrame, keys: list[str], order: list[str], cost: Colum
     rows = df.select(*keys, F.struct(*order, cost.cast("long").alias("cost")).alias("row"))
     folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).getField("cost").alias("costs")).withColumn("fold", F.expr(step))
     parts = folded.select(*keys, F.posexplode(F.arrays_zip(F.col("fold.n").alias("n"), F.col("fold.out").alias("cost"))).alias("batch", "part"))
-    return parts.select(*keys, (F.col("batch") + 1).alias("batch"), "part.n", "part.cost")
+    return parts.select(*keys, (F.col("batch") + 1).cast("long").alias("batch"), "part.n", "part.cost")

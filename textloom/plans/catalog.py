@@ -43,7 +43,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, line_no, line), line_no from 1."""
     docs = ordering.spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "source", (F.col("i") + 1).alias("line_no"), "line")
+    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "source", (F.col("i") + 1).cast("long").alias("line_no"), "line")
 
 
 LINES = """lines as (select doc_id, source, i as line_no, string_split(text, chr(10))[i] as line
@@ -293,8 +293,8 @@ def overlay_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(docs, translated, labels.filter("toxic = 1").select("doc_id"), "doc_id", "source")
 
 
-@registered("""select source, count(*) as files, sum(n_chars) as chars, count(*) filter (n_chars > 1000) as long_files, count(distinct lang) as langs from documents group by source
-  union all select 'total', count(*), sum(n_chars), count(*) filter (n_chars > 1000), count(distinct lang) from documents""")
+@registered("""select source, count(*) as files, sum(n_chars)::bigint as chars, count(*) filter (n_chars > 1000) as long_files, count(distinct lang) as langs from documents group by source
+  union all select 'total', count(*), sum(n_chars)::bigint, count(*) filter (n_chars > 1000), count(distinct lang) from documents""")
 def partial_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters by source and in total, in one pass of grouping sets."""
     docs = read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), "n_chars", "lang")
@@ -314,7 +314,7 @@ def line_width_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.split("text", "\n", -1)
     width = F.array_max(F.transform(lines, lambda x: F.char_length(x)))
     mixed = F.exists(lines, lambda x: x.rlike(r"^( +\t|\t+ )"))
-    return read(spark, sf_dir, "documents").select("doc_id", width.alias("width"), (width > 180).alias("too_wide"), mixed.alias("mixed_indent")).filter("width is not null")
+    return read(spark, sf_dir, "documents").select("doc_id", width.cast("long").alias("width"), (width > 180).alias("too_wide"), mixed.alias("mixed_indent")).filter("width is not null")
 
 
 @registered(f"""with t as (select page_id, {TAGS_SQL.format(c='html')} as tags from pages)
@@ -339,7 +339,7 @@ def next_non_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""with b as (select *, case when lag(role) over (partition by conv_id order by turn) = 'user' then 0 else 1 end as begins from conversations),
-  g as (select *, sum(begins) over (partition by conv_id order by turn) as island from b)
+  g as (select *, (sum(begins) over (partition by conv_id order by turn))::bigint as island from b)
   select conv_id, island, min(turn) as first_turn, max(turn) as last_turn, string_agg(text, chr(10) order by turn) as text from g group by conv_id, island""")
 def continuation_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn after a user's turn joins it, as a line joins one that ends in a continuation mark."""
@@ -455,4 +455,4 @@ def detail_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of a file by position, those without one last, ties by index."""
     w = Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").asc_nulls_last(), "o_orderkey")
-    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("turn"))
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("turn"))
