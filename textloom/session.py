@@ -13,6 +13,9 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Whole texts make rows large: Arrow batches of a tenth of Spark's default keep workers and buffers small.
+BATCH_ROWS, BATCH_ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
 
 def session(name: str = "textloom", cores: int | str = "*", **conf: str) -> SparkSession:
     """A local session with the settings that the queries expect; on a cluster, set the same with spark-submit."""
@@ -30,6 +33,8 @@ def session(name: str = "textloom", cores: int | str = "*", **conf: str) -> Spar
 def ship(spark: SparkSession) -> None:
     """Sends this package's source to the executors once for each application, so that Python functions import there."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == BATCH_ROWS_DEFAULT:
+        spark.conf.set(BATCH_ROWS, "1000")
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
