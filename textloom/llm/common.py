@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import TypeVar
@@ -65,10 +67,19 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
 _BUILT: dict[str, object] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that a worker that lives on holds no more than its present plan needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def once(key: str, build: Callable[[], T]) -> T:
     """In a worker, what ``build`` gives, kept until another key comes; the driver makes up the key, one for each plan."""
     if key not in _BUILT:
         _BUILT.clear()
+        give_back()
         _BUILT[key] = build()
     return _BUILT[key]
 
