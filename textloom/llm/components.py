@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges are rewritten until each node points at the least node of its component. All state stays in
-DataFrames, each step is written to the shared checkpoint folder, and steps join on nodes, so a node with very
-many edges is split by adaptive execution instead of being gathered.
+DataFrames, each step is written to the shared checkpoint folder, and steps join on nodes and a salt, so a node
+with very many edges is never gathered in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-MOST_STEPS = 60
+MOST_STEPS, SALTS = 60, 8
 
 
 def star(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -22,7 +22,9 @@ def star(edges: DataFrame, both_ways: bool) -> DataFrame:
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    met = around.join(least, "a")
+    # Salted, so that the edges of a node with very many are met in several tasks.
+    parts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = around.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(parts, ["a", "salt"])
     if both_ways:
         new = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
