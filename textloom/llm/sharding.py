@@ -70,7 +70,8 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
     most = (1 + slack) * loads.sum() / shards
     for _ in range(rounds):
         linked = state.filter("hub is not null")
-        want = durable(linked.join(voted(linked), "hub").filter("target <> shard").select("node", "size", "shard", "target", bucket(11, "hub").alias("b"), bucket(12, "node").alias("c")))
+        targets = durable(voted(linked))  # a table of its own, so that the join below can be split where a group is hot
+        want = durable(linked.join(targets, "hub").filter("target <> shard").select("node", "size", "shard", "target", bucket(11, "hub").alias("b"), bucket(12, "node").alias("c")))
         flows = want.groupBy("shard", "target", "b").agg(F.sum("size").alias("s")).collect()  # shards x shards x BUCKETS at most
         if not flows:
             break
@@ -139,7 +140,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     rows = durable(slim.withColumn("node", F.monotonically_increasing_id()))  # node numbers must not change
     total = rows.count()
-    groups = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub")
+    groups = durable(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub"))
     links = rows.join(groups, "hub", "left_semi").select("node", "hub")
     start = F.pmod(F.xxhash64("node", "text_crc32"), F.lit(shards)).cast("int")
     state = levelled(propagate(rows.select("node", "size", start.alias("shard")), links, shards), shards, total)
