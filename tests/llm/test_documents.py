@@ -181,6 +181,27 @@ def test_similar(spark, docs, empty, monkeypatch, cell):
     assert kept.filter("doc_id is null").count() == docs.filter("doc_id is null").count() and kept.columns == docs.columns
 
 
+def test_similar_in_crowded_cells(spark):
+    """Texts that share 88 % of their shingles, below the bound, with planted pairs above it that no third text links."""
+    random.seed(12)
+    fresh = iter(range(1 << 30))
+    own = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    passage = own(180)  # 176 shingles
+    texts = [[*passage, *own(24)] for _ in range(600)]  # 200 shingles, 24 of them no other text's
+    planted = {}
+    for i, common in enumerate([2, 4, 6, 8, 10, 12] * 40):  # similarity of 178 to 188 of 222 to 212
+        a, b = 2 * i, 2 * i + 1
+        tail = own(24)
+        texts[a], texts[b] = [*passage, *tail], [*passage, *tail[:common], *own(24 - common)]
+        x, y = shingles(" ".join(texts[a])), shingles(" ".join(texts[b]))
+        if len(x & y) >= 0.8 * len(x | y):
+            planted[b] = a
+    assert len(planted) == 240
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.find_similar(table).collect()}
+    assert got == {i: planted.get(i, i) for i in range(len(texts))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

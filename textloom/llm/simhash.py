@@ -14,9 +14,11 @@ grow in proportion to fingerprints either way, and no link is lost.
 Wider similarity (``find_similar``): Jaccard similarity of word shingles from 0.8 on flips ten bits and more of a
 whole text's fingerprint, where no bound on distances selects. So a text gets further fingerprints, each of a
 min-wise sample of its shingles, equal with the fourth power of the similarity. Texts that share one, or whose
-whole fingerprints link as above, are candidates, and every candidate pair is verified on all shingles. A cell of
-sample fingerprints beyond ``CELL`` texts compares each with the three that meet most others instead of all pairs;
-the original of many copies is such a one.
+whole fingerprints link as above, are candidates, and every candidate pair is verified on all shingles. In a cell of
+sample fingerprints beyond ``CELL`` texts each is compared first with the three that meet most others; the original
+of many copies is such a one. Crowded cells whose texts then lie in several components take an exact way
+(``crowded_pairs``): a similar pair shares a shingle among the rarest few of both, so that shared passages, which come
+last, bring nothing together, and bounds by length and place leave out what can't be similar.
 
 Defined results: null text counts as empty; no words give fingerprint zero, which links like any other;
 repeated rows share a component; an empty table gives no rows; other columns are ignored.
@@ -25,6 +27,8 @@ repeated rows share a component; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +129,8 @@ def find_components(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 SIMILARITY, VIEWS, SAMPLE, PIVOTS = 0.8, 12, 4, 3
+#: Counters by part of a shingle's hash, which give the order by rarity; ratio of length classes; texts of a part of a block.
+COUNTERS, STEP, PART = 1 << 20, 1.03, 256
 SETS = "doc_id long, digest string, print long, views array<long>"
 
 
@@ -171,8 +177,9 @@ def ordered_pairs(df: DataFrame) -> DataFrame:
     return df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b): digests of texts that share a view's fingerprint, or whose whole fingerprints are equal or link."""
+def candidates(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): digests of texts that share a view's fingerprint, or whose whole fingerprints are equal or link; and the
+    places (view, cell, digest) in crowded cells, where only pairs with a pivot are among them."""
     places = sets.select("digest", F.posexplode("views").alias("view", "cell"))
     crowded = places.groupBy("view", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = durable(places.join(crowded, ["view", "cell"]))
@@ -188,16 +195,26 @@ def candidates(sets: DataFrame) -> DataFrame:
     near = links(first.select("print")).withColumnRenamed("a", "x").withColumnRenamed("b", "y")
     across = near.join(first.select(F.col("print").alias("x"), F.col("b").alias("a")), "x").join(first.select(F.col("print").alias("y"), "b"), "y")
     every = [ordered_pairs(p.select("a", "b")) for p in (pairs, stars, within, across)]
-    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).distinct()
+    pairs = every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3]).distinct()
+    return pairs, shared.filter(F.col("n") > CELL).select("view", "cell", "digest")
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose sets of all shingles are similar enough."""
+def held_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(digest, hashes) of all shingles of the texts in pairs."""
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_set(t, words) for t in texts_of(batch)]
         return pa.RecordBatch.from_arrays([pa.array([set_digest(h) for h in found], pa.string()), pa.array([h.tobytes() for h in found], pa.binary())], ["digest", "hashes"])
 
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    ids = sets.join(ends, "digest").select(F.col("least").alias("doc_id")).distinct()
+    texts = docs.select("doc_id", "text").join(counted(durable(ids)), "doc_id", "left_semi")
+    return map_batches(texts.select("text"), hashed, "digest string, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
+
+
+def verified(held: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of all shingles are similar enough."""
+
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
@@ -207,25 +224,122 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, words: int, sim
         kept = batch.filter(pa.array(keep, pa.bool_()))
         return pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    ids = sets.join(ends, "digest").select(F.col("least").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(counted(durable(ids)), "doc_id", "left_semi")
-    held = map_batches(texts.select("text"), hashed, "digest string, hashes binary").groupBy("digest").agg(F.first("hashes").alias("hashes"))
-    held = durable(held)
     left, right = held.select(F.col("digest").alias("a"), F.col("hashes").alias("left")), held.select(F.col("digest").alias("b"), F.col("hashes").alias("right"))
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), judged, "a string, b string")
 
 
+def rarity(held: DataFrame) -> np.ndarray:
+    """How many shingles fall to each counter; a table of fixed size."""
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for own in batch.column("hashes").to_pylist():
+                np.add.at(n, (np.frombuffer(own, np.uint64) % COUNTERS).astype(np.int64), 1)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], ["counter", "n"])
+
+    found = held.select("hashes").mapInArrow(tally, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.uint32)
+    counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 32) - 1)
+    return counts
+
+
+def prefixes(held: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, node, root, size, at): the rarest shingles of each text; two similar texts share one of them at least."""
+    counts = held.sparkSession.sparkContext.broadcast(rarity(held))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+        first = [h[np.lexsort((h, counts.value[(h % COUNTERS).astype(np.int64)]))][: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1] for h in sets]
+        lengths = np.array([len(x) for x in first], np.int64)
+        columns = [
+            pa.array(np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64)),
+            pa.array(np.repeat(batch.column("node").to_numpy(), lengths)),
+            pa.array(np.repeat(batch.column("root").to_numpy(), lengths)),
+            pa.array(np.repeat(np.array([len(h) for h in sets], np.int32), lengths)),
+            pa.array(np.concatenate([*(np.arange(n, dtype=np.int32) for n in lengths), np.empty(0, np.int32)])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["shingle", "node", "root", "size", "at"])
+
+    return map_batches(held.select("hashes", "node", "root"), work, "shingle long, node long, root long, size int, at int")
+
+
+def length_class(size: Column) -> Column:
+    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(math.log(STEP))).cast("int")
+
+
+def crowded_pairs(held: DataFrame, crowded: DataFrame, roots: DataFrame, similarity: float) -> DataFrame | None:
+    """(a, b): digests in different components that may be similar, among all texts of crowded cells; roots: (digest, node, root).
+
+    Texts a and b with |b| <= |a| that share their first shingle at the places i and j have at most |a| - i and |b| - j in
+    common, and need the part similarity / (1 + similarity) of |a| + |b|. So a looks only for length classes that
+    can suffice, and pairs within the largest component of a shingle's texts, which are linked already, are never made.
+    """
+    placed = crowded.join(roots, "digest")
+    mixed = placed.groupBy("view", "cell").agg((F.min("root") < F.max("root")).alias("mixed")).filter("mixed")
+    rest = durable(placed.join(mixed, ["view", "cell"], "left_semi").select("digest", "node", "root").distinct())
+    if rest.isEmpty():
+        return None
+    part = similarity / (1 + similarity)
+    rows = durable(prefixes(held.join(rest, "digest"), similarity))
+    own = rows.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    heads = own.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("minors")).filter("minors > 0")
+    heads = counted(durable(heads.withColumn("parts", (F.col("minors") / PART).cast("int") + 1).drop("minors")))
+    met = durable(rows.join(heads, "shingle").withColumn("major", F.col("root") == F.col("major")))
+    size, at = F.col("size"), F.col("at")
+    longest = F.least(size.cast("double"), (size - at) / part - size + 1e-6)
+    classes = F.sequence(length_class(size * similarity - 1e-6), length_class(longest))
+    left = met.filter(longest >= size * similarity - 1e-6).select(
+        "shingle",
+        F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"),
+        F.explode(F.when(F.col("major"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("other"),
+        *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "at")],
+        classes.alias("classes"),
+    )
+    left = left.withColumn("class", F.explode("classes")).drop("classes")
+    right = met.filter(size - at >= 2 * part * size - 1e-6).select(
+        "shingle",
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("major").alias("other"),
+        *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "at")],
+        length_class(size.cast("double")).alias("class"),
+    )
+    a, b = F.col("size_a"), F.col("size_b")
+    enough = F.least(a - F.col("at_a"), b - F.col("at_b")) >= part * (a + b) - 1e-6
+    once = (a > b) | ((a == b) & (F.col("node_a") < F.col("node_b")))
+    found = left.join(right, ["shingle", "part", "other", "class"]).filter(enough & once & (F.col("root_a") != F.col("root_b"))).select("node_a", "node_b").distinct()
+    names = rest.select("digest", "node")
+    found = found.join(names.select(F.col("node").alias("node_a"), F.col("digest").alias("a")), "node_a")
+    return found.join(names.select(F.col("node").alias("node_b"), F.col("digest").alias("b")), "node_b").select("a", "b")
+
+
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): the pairs of digests as pairs of their components."""
+    left, right = roots.select(F.col("digest").alias("a"), F.col("root").alias("x")), roots.select(F.col("digest").alias("b"), F.col("root").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(digest, node, least, root) after components that edges link have become one."""
+    found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return durable(roots.join(found, "root", "left").select("digest", "node", "least", F.coalesce("to", "root").alias("root")))
+
+
 def find_similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): the least doc_id that verified links reach; equal sets of shingles link, rows without doc_id don't."""
     rows = durable(described(docs.filter("doc_id is not null"), words))
-    sets = durable(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("views").alias("views")))
-    pairs = durable(candidates(sets))
-    close = verified(docs, sets, pairs, words, similarity)
-    least = sets.select("digest", "least")
-    edges = close.join(least.select(F.col("digest").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("digest").alias("b"), F.col("least").alias("y")), "b")
-    found = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    placed = least.join(found.select(F.col("node").alias("least"), "root"), "least", "left").select("digest", F.coalesce("root", "least").alias("component_id"))
+    sets = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("views").alias("views"))
+    sets = durable(sets.withColumn("node", F.monotonically_increasing_id()))  # node numbers must not change
+    pairs, crowded = candidates(sets)
+    pairs = durable(pairs)
+    held = durable(held_sets(docs, sets, pairs, words))
+    roots = sets.select("digest", "node", "least", F.col("node").alias("root"))
+    roots = joined(roots, between(verified(held, pairs, similarity), roots))
+    more = crowded_pairs(held, crowded, roots.select("digest", "node", "root"), similarity)
+    if more is not None:
+        roots = joined(roots, between(verified(held, more, similarity), roots))
+    placed = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
     return rows.join(placed, "digest").select("doc_id", "component_id")
 
 
