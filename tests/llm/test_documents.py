@@ -202,6 +202,15 @@ def test_similar_in_crowded_cells(spark):
     assert got == {i: planted.get(i, i) for i in range(len(texts))}
 
 
+def test_similar_with_a_shared_doc_id(spark):
+    """A row stays though another of its doc_id is a near copy of a smaller one."""
+    random.seed(13)
+    a, clean = ([str(random.random()) for _ in range(100)] for _ in range(2))
+    rows = [(1, " ".join(a)), (2, " ".join(["changed", *a[1:]])), (2, " ".join(clean))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_least(table, simhash.find_similar(table)).collect())) == [rows[0], rows[2]]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -36,8 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, durable, map_batches, texts_of
+from .common import counted, durable, fresh, map_batches, texts_of
 from .components import components
+from .exactdedup import text_digest
 from .fuse import mix
 
 RADIUS, BLOCKS, CELL = 2, 6, 48
@@ -131,7 +132,7 @@ def find_components(docs: DataFrame, words: int = 3) -> DataFrame:
 SIMILARITY, VIEWS, SAMPLE, PIVOTS = 0.8, 12, 4, 3
 #: Counters by part of a shingle's hash, which give the order by rarity; ratio of length classes; texts of a part of a block.
 COUNTERS, STEP, PART = 1 << 20, 1.03, 256
-SETS = "doc_id long, digest string, print long, views array<long>"
+SETS = "doc_id long, text_sha256 string, digest string, print long, views array<long>"
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -164,13 +165,14 @@ def described(docs: DataFrame, words: int) -> DataFrame:
         sets = [shingle_set(t, words) for t in texts_of(batch)]
         columns = [
             batch.column("doc_id"),
+            batch.column("text_sha256"),
             pa.array([set_digest(h) for h in sets], pa.string()),
             pa.array([majority(h) if len(h) else 0 for h in sets], pa.int64()),
             pa.array([sampled(h) for h in sets], pa.list_(pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "print", "views"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "digest", "print", "views"])
 
-    return map_batches(docs.select("doc_id", "text"), work, SETS)
+    return map_batches(docs.select("doc_id", "text", text_digest(F.col("text")).alias("text_sha256")), work, SETS)
 
 
 def ordered_pairs(df: DataFrame) -> DataFrame:
@@ -327,7 +329,7 @@ def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def find_similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): the least doc_id that verified links reach; equal sets of shingles link, rows without doc_id don't."""
+    """(doc_id, component_id, text_sha256): the least doc_id that verified links reach; equal sets of shingles link, rows without doc_id don't."""
     rows = durable(described(docs.filter("doc_id is not null"), words))
     sets = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("print").alias("print"), F.first("views").alias("views"))
     sets = durable(sets.withColumn("node", F.monotonically_increasing_id()))  # node numbers must not change
@@ -340,13 +342,19 @@ def find_similar(docs: DataFrame, words: int = 5, similarity: float = SIMILARITY
     if more is not None:
         roots = joined(roots, between(verified(held, more, similarity), roots))
     placed = roots.join(roots.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
-    return rows.join(placed, "digest").select("doc_id", "component_id")
+    return rows.join(placed, "digest").select("doc_id", "component_id", "text_sha256")
 
 
 def keep_least(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose component has a smaller doc_id; rows without doc_id stay."""
-    gone = durable(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(counted(gone), "doc_id", "left_anti").select(docs.columns)
+    """The documents, all columns, without those whose component has a smaller doc_id; rows without doc_id stay.
+
+    Rows that share a doc_id are told apart by their texts if ``found`` has text_sha256.
+    """
+    id_, mark = fresh("id"), fresh("digest")
+    marked = "text_sha256" in found.columns
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_), *[F.col("text_sha256").alias(mark)] * marked).distinct()
+    on = [F.col("doc_id") == F.col(id_), *[text_digest(F.col("text")) == F.col(mark) for _ in range(marked)]]
+    return docs.join(counted(durable(gone)), on, "left_anti").select(docs.columns)
 
 
 def written(p: Column) -> Column:
