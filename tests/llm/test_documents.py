@@ -334,3 +334,29 @@ def test_licenses(spark, docs, rows, empty):
     assert len(found) == len(rows)
     assert {r.license for r in found if r.doc_id is not None and "Released under the MIT" in (rows[r.doc_id][1] or "")} == {"MIT"}
     assert licenses.scan_documents(empty).count() == 0
+
+
+NOTICES = [
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Released under the MIT License.", "MIT"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("MIT License", "MIT"),
+    ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "Apache-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"),
+    ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"),
+    ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("the license of a hunter", None),
+    ("licence-free text with license", None),
+]
+
+
+def test_license_notices(spark):
+    """Every kind of licence line that the documents hold, and common notices beside them."""
+    table = spark.createDataFrame([(str(i), f"{i}/x.py", t) for i, (t, _) in enumerate(NOTICES)], "file string, path string, text string")
+    got = {NOTICES[int(r.file)][0]: r.license for r in licenses.scan(table).collect()}
+    assert got == dict(NOTICES)

@@ -52,6 +52,37 @@ TEMPLATES = (
     ("MIT", "spdx license identifier mit"),
     ("MPL-2.0", "subject to the terms of the mozilla public license version 2.0"),
     ("Unlicense", "released into the public domain under the unlicense license"),
+    ("Apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license"),
+    ("MIT", "mit license"),
+    ("BSD-2-Clause", "bsd 2 clause license"),
+    ("BSD-3-Clause", "bsd 3 clause license"),
+    ("CC-BY-4.0", "licensed under cc by 4.0"),
+    ("CC-BY-SA-4.0", "licensed under cc by sa 4.0"),
+    ("CC-BY-NC-4.0", "licensed under cc by nc 4.0"),
+    ("CC-BY-NC-4.0", "licensed under the creative commons attribution noncommercial 4.0 international license"),
+    ("CC-BY-NC-SA-4.0", "licensed under cc by nc sa 4.0"),
+    ("CC-BY-NC-ND-4.0", "licensed under cc by nc nd 4.0"),
+    ("CC-BY-ND-4.0", "licensed under cc by nd 4.0"),
+    ("AGPL-3.0", "spdx license identifier agpl 3.0"),
+    ("AGPL-3.0", "spdx license identifier agpl 3.0 only"),
+    ("AGPL-3.0", "spdx license identifier agpl 3.0 or later"),
+    ("BSD-2-Clause", "spdx license identifier bsd 2 clause"),
+    ("CC-BY-4.0", "spdx license identifier cc by 4.0"),
+    ("CC-BY-NC-4.0", "spdx license identifier cc by nc 4.0"),
+    ("CC-BY-SA-4.0", "spdx license identifier cc by sa 4.0"),
+    ("CC0-1.0", "spdx license identifier cc0 1.0"),
+    ("GPL-2.0", "spdx license identifier gpl 2.0"),
+    ("GPL-2.0", "spdx license identifier gpl 2.0 only"),
+    ("GPL-2.0", "spdx license identifier gpl 2.0 or later"),
+    ("GPL-3.0", "spdx license identifier gpl 3.0"),
+    ("GPL-3.0", "spdx license identifier gpl 3.0 only"),
+    ("GPL-3.0", "spdx license identifier gpl 3.0 or later"),
+    ("ISC", "spdx license identifier isc"),
+    ("LGPL-2.1", "spdx license identifier lgpl 2.1"),
+    ("LGPL-2.1", "spdx license identifier lgpl 2.1 only"),
+    ("LGPL-2.1", "spdx license identifier lgpl 2.1 or later"),
+    ("MPL-2.0", "spdx license identifier mpl 2.0"),
+    ("Unlicense", "spdx license identifier unlicense"),
 )
 ANCHOR = "licen"
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
