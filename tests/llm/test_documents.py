@@ -360,3 +360,11 @@ def test_license_notices(spark):
     table = spark.createDataFrame([(str(i), f"{i}/x.py", t) for i, (t, _) in enumerate(NOTICES)], "file string, path string, text string")
     got = {NOTICES[int(r.file)][0]: r.license for r in licenses.scan(table).collect()}
     assert got == dict(NOTICES)
+
+
+def test_licenses_of_deep_trees(spark):
+    deep = "/".join(f"d{i}" for i in range(80))
+    files = [("LICENSE", "Released under the MIT License."), (f"{deep}/LICENSE", "Licensed under the ISC license"), (f"{deep}/x/y.py", "code")]
+    table = spark.createDataFrame([(p, p, t) for p, t in files], "file string, path string, text string")
+    got = {r.path: (r.origin, r.license, r.from_dir) for r in licenses.scan(table).collect()}
+    assert got[f"{deep}/x/y.py"] == ("inherited", "ISC", deep)

@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from .common import durable
 
 THRESHOLD = 0.6
-#: Directories from the root that are looked at; deeper files take part from their deepest directory up.
-MOST_LEVELS = 64
 
 # Licenses and the notices by which they are declared, all in lower-case terms.
 TEMPLATES = (
@@ -125,7 +123,7 @@ def directory(path: Column) -> Column:
 
 def ancestors(folder: Column) -> Column:
     """A directory and all above it, the root's empty string included."""
-    parts = F.slice(F.split(folder, "/"), 1, MOST_LEVELS)
+    parts = F.split(folder, "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     return F.array_distinct(F.concat(F.array(F.lit("")), up))
 
