@@ -1,31 +1,35 @@
 """License scans with built-in functions alone: sparse TF-IDF cosine to templates, then inheritance by path.
 
-Lines that hold an anchor word are candidates; every template holds one. A candidate's terms, weighted by term
-frequency and the templates' inverse document frequency, are compared by cosine with each template that shares a
-term. A file's own license is that of its best line at or above the threshold. A file that is named like a
-licence file gives its license to its directory; a file without one takes it from the nearest directory at or
-above its own that has one.
+Notices, headers and whole licence texts are the templates. What is compared with them are single lines and windows
+of ``WINDOWS`` lines, each half over the one before, so that a header may be wrapped over lines and stand anywhere
+in a file. A window's vector holds the inverse document frequency, among the templates, of each of its terms (a term
+counts once, however often it occurs, so a window needs no shuffle to be weighed). A file's own license is that of its
+best window at or above the threshold. A file that is named like a licence file gives its license to its directory;
+a file without one takes it from the nearest directory at or above its own that has one.
 
-Templates and their weights are a few hundred fixed rows. Candidates' terms are aggregated by line, so no group
+Windows that can't reach the threshold are left out before anything is shuffled, and no others: the terms that no
+template has make a window's vector too long for any product with a template to reach it. No word is a keyword.
+
+Templates and their weights are a few thousand fixed rows. Products are added up map-side, so no group
 grows with the number of files; files of one directory meet its single row by a join that adaptive execution
 splits if a directory is hot.
 
 Defined results: null text counts as empty; a file without licence and without licensed ancestors has null
 license and origin ``none``; equal scores take the license that sorts first; if a directory has several licence
-files, the best score and then the first license counts; repeated rows are scanned each for itself; an empty table
-gives no rows; other columns are ignored.
+files, the best score and then the first license counts; repeated rows are scanned each for itself; texts of any
+length and paths of any depth are looked at whole; an empty table gives no rows; other columns pass through, and those
+named like a result's are replaced by it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fresh
 
 THRESHOLD = 0.6
 
@@ -81,37 +85,149 @@ TEMPLATES = (
     ("LGPL-2.1", "spdx license identifier lgpl 2.1 or later"),
     ("MPL-2.0", "spdx license identifier mpl 2.0"),
     ("Unlicense", "spdx license identifier unlicense"),
+    # Headers of files.
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+        License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
+        or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
+        limitations under the License.""",
+    ),
+    *[
+        (
+            name,
+            f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as
+            published by the Free Software Foundation, either version {number} of the License, or (at your option) any later version.
+            This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+            of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."""[:end],
+        )
+        for name, kind, number in (("GPL-2.0", "General", 2), ("GPL-3.0", "General", 3), ("LGPL-2.1", "Lesser General", 2.1), ("AGPL-3.0", "Affero General", 3))
+        for end in (260, None)
+    ],
+    (
+        "MPL-2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+        with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+    # Licence texts, or their beginnings where they are long.
+    (
+        "MIT",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+        files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
+        modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
+        is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+        included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+        EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""",
+    ),
+    (
+        "ISC",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
+        THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.""",
+    ),
+    *[
+        (
+            name,
+            f"""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+            conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
+            following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+            the following disclaimer in the documentation and/or other materials provided with the distribution. {third}
+            THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+            BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+            SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+            DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY.""",
+        )
+        for name, third in (
+            ("BSD-2-Clause", ""),
+            (
+                "BSD-3-Clause",
+                """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+                derived from this software without specific prior written permission.""",
+            ),
+        )
+    ],
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+        sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+    ),
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    *[
+        (
+            name,
+            f"""GNU {kind} PUBLIC LICENSE Version {number}, {date} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy and
+            distribute verbatim copies of this license document, but changing it is not allowed.""",
+        )
+        for name, kind, number, date in (
+            ("GPL-2.0", "GENERAL", 2, "June 1991"),
+            ("GPL-3.0", "GENERAL", 3, "29 June 2007"),
+            ("LGPL-2.1", "LESSER GENERAL", 2.1, "February 1999"),
+            ("AGPL-3.0", "AFFERO GENERAL", 3, "19 November 2007"),
+        )
+    ],
 )
-ANCHOR = "licen"
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
+#: Lines of a window.
+WINDOWS = (1, 4, 32)
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.][a-z]+)?$"
 
 
+def terms_of(template: str) -> list[str]:
+    return sorted(set(re.findall(TERM, template.lower())))
+
+
 def weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """Rows (template, license, term, weight of a unit vector), the terms' inverse document frequencies, that of other terms."""
-    terms = [Counter(re.findall(TERM, text)) for _, text in TEMPLATES]
+    terms = [terms_of(text) for _, text in TEMPLATES]
     n = len(terms)
     idf = {t: math.log((1 + n) / (1 + sum(t in own for own in terms))) + 1 for t in sorted(set().union(*terms))}
     rows = []
     for i, ((name, _), own) in enumerate(zip(TEMPLATES, terms, strict=True)):
-        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items()))
-        rows += [(i, name, t, c * idf[t] / norm) for t, c in sorted(own.items())]
+        norm = math.sqrt(sum(idf[t] ** 2 for t in own))
+        rows += [(i, name, t, idf[t] / norm) for t in own]
     return rows, idf, math.log(1 + n) + 1
 
 
+def windows(text: Column) -> Column:
+    """The distinct terms of each window, as an array of arrays."""
+    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"({TERM})")))
+
+    def of_size(found: Column, size: int, shorter: int) -> Column:
+        half = max(1, size // 2)
+        last = F.greatest(F.lit(0), F.size(found) - half - int(size > 1))
+        starts = F.when(F.size(found) > shorter, F.sequence(F.lit(0), last, F.lit(half))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.array_distinct(F.flatten(F.slice(found, at + 1, size))))
+
+    def every(found: Column) -> Column:
+        return F.concat(*[of_size(found, size, shorter) for size, shorter in zip(WINDOWS, (0, *WINDOWS), strict=False)])
+
+    return F.transform(F.array(lines), every)[0]  # the array of one binds the lines to a name, so they are split once
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(file, license, score) of the best line of each file that reaches the threshold; files: (file, text)."""
+    """(file, license, score) of the best window of each file that reaches the threshold; files: (file, text)."""
     spark = files.sparkSession
     rows, idf, other = weights()
-    low = F.lower("text")
-    found = files.filter(F.contains(low, F.lit(ANCHOR))).select("file", F.posexplode(F.split(low, "\n")).alias("line", "body")).filter(F.contains("body", F.lit(ANCHOR)))
-    terms = found.select("file", "line", F.explode(F.regexp_extract_all("body", F.lit(f"({TERM})"))).alias("term")).groupBy("file", "line", "term").agg(F.count(F.lit(1)).alias("n"))
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    weighed = terms.join(known, "term", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(other)))
-    templates = F.broadcast(spark.createDataFrame(rows, "template int, license string, term string, share double"))
-    norms = weighed.groupBy("file", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(templates, "term").groupBy("file", "line", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, ["file", "line"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
+    vocabulary = F.array(*map(F.lit, idf))
+    known = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
+    found = files.select("file", F.posexplode(windows(F.col("text"))).alias("window", "terms"))
+    held = found.select("file", "window", F.array_intersect("terms", vocabulary).alias("held"), (F.size("terms") * other**2).alias("room"))
+    held = held.withColumn("room", F.col("room") - F.size("held") * other**2)  # what terms that no template has add to the square of the length
+    # First as if all known terms were as heavy as the heaviest, then exactly.
+    part = threshold**2 / (1 - threshold**2) - 1e-9
+    able = held.filter(F.col("room") * part <= max(idf.values()) ** 2 * F.size("held"))
+    able = able.withColumn("squares", F.aggregate("held", F.lit(0.0), lambda s, t: s + known[t] * known[t])).filter(F.col("room") * part <= F.col("squares"))
+    weighed = able.select("file", "window", F.sqrt(F.col("squares") + F.col("room")).alias("norm"), F.explode("held").alias("term"))
+    templates = F.broadcast(spark.createDataFrame([(*r, idf[r[2]]) for r in rows], "template int, license string, term string, share double, idf double"))
+    dots = weighed.join(templates, "term").groupBy("file", "window", "template", "license", "norm").agg(F.sum(F.col("idf") * F.col("share")).alias("dot"))
+    scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
     best = scored.groupBy("file", "license").agg(F.max("score").alias("score")).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     return best.select("file", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
@@ -128,24 +244,30 @@ def ancestors(folder: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), up))
 
 
+RESULTS = ("origin", "license", "score", "from_dir")
+
+
 def scan(files: DataFrame, threshold: float = THRESHOLD, licence_file: str = LICENCE_FILE) -> DataFrame:
-    """(file, path, license, score, origin, from_dir, and what else files have) for files (file, path, text); equal keys mean equal rows."""
-    own = durable(own_licenses(files.select("file", F.coalesce("text", F.lit("")).alias("text")), threshold))
-    named = files.drop("text").withColumn("dir", directory(F.col("path"))).join(own, "file", "left")
+    """(file, path, what else files have, origin, license, score, from_dir) for files (file, path, text); equal keys mean equal rows."""
+    own = durable(own_licenses(files.select("file", F.coalesce("text", F.lit("")).alias("text")), threshold)).withColumnsRenamed({"license": "own_license", "score": "own_score"})
+    slim = files.select("file", "path").withColumn("dir", directory(F.col("path")))
     is_licence = F.regexp_extract("path", "([^/]*)$", 1).rlike(licence_file)
-    giving = named.filter(F.col("license").isNotNull() & is_licence).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    giving = giving.select(F.col("dir").alias("from_dir"), F.col("best.license").alias("dir_license"))
-    folders = named.filter("license is null").select("dir").distinct()
+    giving = slim.filter(is_licence).join(own, "file").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "own_license")).alias("best"))
+    giving = giving.select(F.col("dir").alias("from_dir"), F.col("best.own_license").alias("dir_license"))
+    folders = slim.join(own, "file", "left_anti").select("dir").distinct()
     reached = folders.select("dir", F.explode(ancestors(F.col("dir"))).alias("from_dir")).join(giving, "from_dir")
-    nearest = reached.groupBy("dir").agg(F.max_by(F.struct("from_dir", "dir_license"), F.length("from_dir")).alias("near")).select("dir", "near.from_dir", "near.dir_license")
-    origin = F.when(F.col("license").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "inherited").otherwise("none")
-    mine = F.col("license").isNotNull()
-    return named.join(nearest, "dir", "left").select(
-        *files.drop("text").columns,
-        origin.alias("origin"),
-        F.coalesce("license", "dir_license").alias("license"),
-        F.when(mine, F.col("score")).alias("score"),
-        F.when(~mine, F.col("from_dir")).alias("from_dir"),
+    nearest = reached.groupBy("dir").agg(F.max_by(F.struct("from_dir", "dir_license"), F.length("from_dir")).alias("near"))
+    dir_, near, mine, score = fresh("dir"), fresh("near"), fresh("license"), fresh("score")
+    kept = [c for c in files.columns if c.lower() not in ("text", *RESULTS)]
+    named = files.select(*kept, directory(F.col("path")).alias(dir_)).join(own.withColumnsRenamed({"own_license": mine, "own_score": score}), "file", "left")
+    placed = named.join(nearest.select(F.col("dir").alias(dir_), F.col("near").alias(near)), dir_, "left")
+    found, above = F.col(mine), F.col(near)
+    return placed.select(
+        *kept,
+        F.when(found.isNotNull(), "own").when(above.isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.coalesce(found, above["dir_license"]).alias("license"),
+        F.col(score).alias("score"),
+        F.when(found.isNull(), above["from_dir"]).alias("from_dir"),
     )
 
 

@@ -14,21 +14,25 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, text_sha
 
 
 def license_scans() -> str:
-    rows, idf, other = licenses.weights()
-    known = ", ".join(f"('{t}', {v!r}::double)" for t, v in idf.items())
-    templates = ", ".join(f"({i}, '{name}', '{t}', {share!r}::double)" for i, name, t, share in rows)
+    """Makes terms and weights from the texts of the templates by itself, and compares every window with every template."""
+    texts = ", ".join("({}, '{}', '{}')".format(i, name, text.lower().replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+    windows = " union all ".join(
+        f"select file, list_distinct(flatten(list_slice(lines, place + 1, place + {size}))) as terms from (select file, lines, unnest(range(0, greatest(1, len(lines) - {half} + {int(size == 1)}), {half})) as place from split where len(lines) > {shorter})"
+        for size, half, shorter in zip(licenses.WINDOWS, (max(1, w // 2) for w in licenses.WINDOWS), (0, *licenses.WINDOWS), strict=False)
+    )
     return f"""
-with idf(term, idf) as (values {known}),
-tpl(template, license, term, share) as (values {templates}),
+with texts(template, license, body) as (values {texts}),
+words as (select distinct template, license, unnest(regexp_extract_all(body, '{licenses.TERM}')) as term from texts),
+idf as (select term, ln((1 + (select count(*) from texts)) / (1 + count(*))) + 1 as idf from words group by term),
+tpl as (select template, license, term, idf / sqrt(sum(idf * idf) over (partition by template)) as share from words join idf using (term)),
 f as (
   select row_number() over () as file, doc_id, coalesce(text, '') as text,
     coalesce(coalesce(source, 'none') || '/p' || (doc_id // 1000) || '/m' || (doc_id // 100 % 10) || '/' ||
       case when doc_id % 10 = 0 then 'LICENSE' else 'd' || doc_id || '.txt' end, coalesce(source, 'none') || '/unnamed.txt') as path
   from documents),
-lines as (select file, unnest(string_split(lower(text), chr(10))) as body, unnest(range(len(string_split(lower(text), chr(10))))) as line from f where contains(lower(text), '{licenses.ANCHOR}')),
-terms as (select file, line, unnest(regexp_extract_all(body, '{licenses.TERM}')) as term from lines where contains(body, '{licenses.ANCHOR}')),
-counted as (select file, line, term, count(*) as n from terms group by all),
-weighed as (select file, line, term, n * coalesce(idf, {other!r}::double) as w from counted left join idf using (term)),
+split as (select file, list_transform(string_split(lower(text), chr(10)), lambda x: regexp_extract_all(x, '{licenses.TERM}')) as lines from f),
+w as (select row_number() over () as line, file, terms from ({windows})),
+weighed as (select file, line, term, coalesce(idf, ln(1 + (select count(*) from texts)) + 1) as w from (select file, line, unnest(terms) as term from w) left join idf using (term)),
 norms as (select file, line, sqrt(sum(w * w)) as norm from weighed group by all),
 dots as (select file, line, template, license, sum(w * share) as dot from weighed join tpl using (term) group by all),
 scored as (select file, license, max(round(dot / norm, 6)) as score from dots join norms using (file, line) group by all having max(round(dot / norm, 6)) >= {licenses.THRESHOLD}),
