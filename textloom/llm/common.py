@@ -17,8 +17,8 @@ from ..session import ship
 
 T = TypeVar("T")
 
-#: Where checkpoints go if the session names no folder (single machine, tests).
-FALLBACK_CHECKPOINT_DIR = "/tmp/textloom-checkpoints"
+#: Where checkpoints go if a local session names no folder (tests); a cluster has to name a shared one.
+LOCAL_CHECKPOINT_DIR = "/tmp/textloom-checkpoints"
 #: Rows that a worker handles at a time; text batches are further bounded by Spark's bytes per batch.
 SLICE_ROWS = 512
 
@@ -28,15 +28,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; a local session without one takes its machine's own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINT_DIR
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and cuts the lineage, so that lost executors cost nothing."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate tables on whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Keys of up to so many rows are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 17
 
@@ -95,15 +109,15 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, upper, upper.lower()))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str, spread: int) -> DataFrame:
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str, spread: int | Column) -> DataFrame:
     """Adds a gapless number from 0 within each group without gathering a group in one task.
 
-    Rows go to ``spread`` buckets by a hash of the order columns; the counts of (group, bucket) give each
-    bucket its first number, and only the rows of one bucket are sorted together. Rows that are equal in
-    all order columns get different numbers in any order.
+    Rows go to ``spread`` buckets (a number, or one that depends on the group) by a hash of the order columns; the
+    counts of (group, bucket) give each bucket its first number, and only the rows of one bucket are sorted together.
+    Rows that are equal in all order columns get different numbers in any order, but share a bucket.
     """
     bucket, first, local, n = fresh("bucket"), fresh("first"), fresh("local"), fresh("n")
-    rows = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
+    rows = df.withColumn(bucket, F.pmod(F.xxhash64(*order), spread if isinstance(spread, Column) else F.lit(spread)).cast("int"))
     keys = [*group, bucket]
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,9 @@
 """Exact deduplication of incoming documents against an immutable snapshot.
 
-Texts are equal if they are identical after lower-casing A-Z. The snapshot's digests are put in static binary
-fuse filters, one for each range of the digest, each of about ``KEYS`` digests. The incoming batch is grouped
+Texts are equal if they are identical after lower-casing A-Z. A snapshot is saved once (``save_snapshot``): its
+groups of equal texts, one row for each digest in buckets by range of the digest, and a static binary fuse filter of
+about ``KEYS`` digests for each range. Any number of later batches are compared with the saved tables
+(``compare``); neither the snapshot's documents nor its filters are made again. An incoming batch is grouped
 by digest on its own first (its duplicates among itself need no filter); the filter of its range screens each
 distinct digest once. Digests that pass join the snapshot's exact buckets, where the bytes of one text of
 either side are compared, and only equal bytes merge the two groups.
@@ -10,24 +12,26 @@ Hot groups: copies are counted map-side, so a digest reaches the filters once ho
 last join sends the group's row to the copies, which adaptive execution splits.
 
 Defined results: null text counts as empty; of equal rows (same text, same doc_id) exactly one is kept; a row
-without doc_id is kept only if all of its group lack one; an empty table gives no rows; other columns are ignored.
+without doc_id is kept only if all of its group lack one; texts of any length are compared whole; an empty table gives
+no rows, an empty snapshot holds nothing; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
 from . import fuse
-from .common import ascii_lower, counted, durable, fresh
+from .common import ascii_lower, checkpoint_folder, counted, durable, fresh
 
 #: Distinct digests of a filter, about.
 KEYS = 1 << 13
@@ -96,30 +100,81 @@ def same_bytes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return bodies.groupBy("digest").agg((F.min("body") == F.max("body")).alias("same")).filter("same").select("digest")
 
 
-def find_groups(docs: DataFrame, incoming: Column) -> DataFrame:
-    """A row for each document: doc_id, digest, keep_id, group_size, kept."""
-    row = fresh("row")
-    rows = durable(digests(docs, incoming).withColumn(row, F.monotonically_increasing_id()))  # row numbers must not change
-    best = F.max(F.struct("doc_id", row)).alias("best")
-    groups = durable(rows.groupBy("digest", "incoming").agg(best, F.count(F.lit(1)).alias("n")))
-    old, new = groups.filter("not incoming"), groups.filter("incoming")
-    ranges = max(1, old.count() // KEYS)
-    passed = screened(new, build_filters(old, ranges), ranges)
-    meet = durable(
-        passed.join(new.select("digest", F.col("best").alias("new"), F.col("n").alias("new_n")), "digest").join(old.select("digest", F.col("best").alias("old"), F.col("n").alias("old_n")), "digest")
-    )
+def grouped(rows: DataFrame, row: str) -> DataFrame:
+    """(digest, best, n) of rows (doc_id, digest, row); best is the row that stays."""
+    return rows.groupBy("digest").agg(F.max(F.struct("doc_id", row)).alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+def write_snapshot(groups: DataFrame, folder: str) -> None:
+    """Tables below the folder, in a file system that all executors share: groups (digest, best, n), filters (part, filter)."""
+    groups.write.parquet(f"{folder}/groups")
+    saved = groups.sparkSession.read.parquet(f"{folder}/groups")
+    ranges = max(1, saved.count() // KEYS)
+    build_filters(saved, ranges).withColumn("ranges", F.lit(ranges)).write.parquet(f"{folder}/filters")
+
+
+def save_snapshot(docs: DataFrame, folder: str) -> None:
+    """Saves an immutable snapshot of documents (doc_id, text): a row for each distinct text, and the filters."""
+    rows = durable(digests(docs, F.lit(False)).withColumn("row", F.monotonically_increasing_id()))  # row numbers must not change
+    write_snapshot(grouped(rows, "row").select("digest", F.struct("best.doc_id", "best.row").alias("best"), "n"), folder)
+
+
+def compare(spark: SparkSession, folder: str, new: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, old, old_n, new, new_n): the groups of a batch (digest, best, n) that the snapshot holds too.
+
+    texts: (doc_id, text) of both sides, from which the bytes of one text of either side are fetched.
+    """
+    old, filters = spark.read.parquet(f"{folder}/groups"), spark.read.parquet(f"{folder}/filters")
+    first = filters.select("ranges").first()
+    if first is None:  # an empty snapshot has no filters
+        passed = new.select("digest").limit(0)
+    else:
+        passed = screened(new, filters.select("part", "filter"), first["ranges"])
+    own = new.select("digest", F.col("best").alias("new"), F.col("n").alias("new_n"))
+    meet = durable(passed.join(own, "digest").join(old.select("digest", F.col("best").alias("old"), F.col("n").alias("old_n")), "digest"))
     pairs = meet.filter("old.doc_id is not null and new.doc_id is not null").select("digest", F.col("old.doc_id").alias("old_id"), F.col("new.doc_id").alias("new_id"))
     unnamed = meet.filter("old.doc_id is null or new.doc_id is null").select("digest")  # nothing to fetch the text by; the 256-bit digest decides
-    merged = meet.join(same_bytes(docs, pairs).unionByName(unnamed), "digest", "left_semi")
-    merged = merged.select("digest", F.greatest("old", "new").alias("all_best"), (F.col("old_n") + F.col("new_n")).alias("all_n"))
-    final = groups.join(merged, "digest", "left").select(
-        "digest", "incoming", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_n", "n").alias("group_size")
-    )
-    return rows.join(final, ["digest", "incoming"]).select(
-        "doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col(row) == F.col(f"best.{row}")).alias("kept")
+    return meet.join(same_bytes(texts, pairs).unionByName(unnamed), "digest", "left_semi")
+
+
+def screen_batch(docs: DataFrame, folder: str, snapshot_texts: DataFrame) -> DataFrame:
+    """A row for each document of a later batch: doc_id, digest, keep_id, group_size, kept, held by the snapshot.
+
+    What the snapshot holds goes, whatever its doc_id, as the snapshot can't change; of texts that are new, the row with
+    the largest doc_id stays. Sizes count the snapshot's copies.
+    """
+    row = fresh("row")
+    rows = durable(digests(docs, F.lit(True)).withColumn(row, F.monotonically_increasing_id()))
+    new = durable(grouped(rows, row))
+    both = docs.select("doc_id", "text").unionByName(snapshot_texts.select("doc_id", "text"))
+    held = compare(docs.sparkSession, folder, new, both).select("digest", F.col("old.doc_id").alias("old_id"), "old_n")
+    final = new.join(held, "digest", "left")
+    there = F.col("old_n").isNotNull()
+    return rows.join(final, "digest").select(
+        "doc_id",
+        "digest",
+        F.when(there, F.col("old_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
+        (F.col("n") + F.coalesce("old_n", F.lit(0))).alias("group_size"),
+        (~there & (F.col(row) == F.col(f"best.{row}"))).alias("kept"),
+        there.alias("held"),
     )
 
 
+def find_groups(docs: DataFrame, incoming: Column) -> DataFrame:
+    """A row for each document: doc_id, digest, keep_id, group_size, kept.
+
+    Documents that aren't incoming are saved as a snapshot; the incoming ones are compared with it.
+    """
+    spark, folder = docs.sparkSession, f"{checkpoint_folder(docs.sparkSession)}/snapshot-{uuid.uuid4().hex}"
+    rows = durable(digests(docs, incoming).withColumn("row", F.monotonically_increasing_id()))  # row numbers must not change
+    write_snapshot(grouped(rows.filter("not incoming"), "row"), folder)
+    new = durable(grouped(rows.filter("incoming"), "row"))
+    merged = compare(spark, folder, new, docs).select("digest", F.greatest("old", "new").alias("all_best"), (F.col("old_n") + F.col("new_n")).alias("all_n"))
+    groups = spark.read.parquet(f"{folder}/groups").withColumn("incoming", F.lit(False)).unionByName(new.withColumn("incoming", F.lit(True)))
+    final = groups.join(merged, "digest", "left").select("digest", "incoming", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_n", "n").alias("group_size"))
+    return rows.join(final, ["digest", "incoming"]).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
+
+
 def newer_half(ids: Column) -> Column:
     """Which documents count as the incoming batch where a table comes without one: half of them, by a hash of the id."""
     return F.coalesce(F.pmod(F.xxhash64(ids, F.lit(3)), F.lit(2)) == 1, F.lit(True))
