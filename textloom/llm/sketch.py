@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-WORDS, K = 5, 64
+WORDS, K, SALTS = 5, 64, 16
 #: Rows of the id order that are sorted together, about.
 IDS_A_RANGE = 1 << 14
 
@@ -35,14 +35,26 @@ def with_sketch(df: DataFrame, text: str, name: str, words: int = WORDS, k: int
     return df.withColumn(name, F.slice(F.sort_array(F.array_distinct(every)), 1, k)).drop(hashes)
 
 
-def merged(sketches: Column, k: int = K) -> Column:
-    """An aggregate: the sketch of all parts' shingles together."""
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(sketches)))), 1, k)
+def merged(a: Column, b: Column, k: int = K) -> Column:
+    """The sketch of both parts' shingles together."""
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+
+
+def merged_by(df: DataFrame, keys: list[str], name: str, k: int = K) -> DataFrame:
+    """(keys, name): the sketch of all rows of a key together, in two levels; however many rows, a task holds k hashes of a key.
+
+    Equal hashes meet before the shuffle; of each salted part only the k least go on, and of these the k least of the key.
+    """
+    hashes = df.select(*keys, F.explode_outer(F.col(name)).alias("__h")).distinct().withColumn("__salt", F.pmod(F.xxhash64("__h"), F.lit(SALTS)))
+    for parts in ([*keys, "__salt"], keys):
+        turn = F.row_number().over(Window.partitionBy(*parts).orderBy(F.col("__h").asc_nulls_last()))  # a limit of ranks is applied before the shuffle, too
+        hashes = hashes.withColumn("__turn", turn).filter(F.col("__turn") <= k).drop("__turn")
+    return hashes.groupBy(*keys).agg(F.sort_array(F.collect_list("__h")).alias(name))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """The share of the union's k least hashes that both sketches hold."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    union = merged(a, b, k)
     both = F.size(F.array_intersect(F.array_intersect(a, b), union))
     return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(both / F.size(union))
 
@@ -55,7 +67,7 @@ def distinct_shingles(a: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """The share of a's shingles that b has too; 1 if a has none."""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, k)
+    union = merged(a, b, k)
     shared = resemblance(a, b, k) * distinct_shingles(union, k)
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), shared / distinct_shingles(a, k)))
 
@@ -100,14 +112,17 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     pairs = named.unionByName(own.filter("doc_id is null"), allowMissingColumns=True)
     edited = pairs.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), coalesce(substring(head, 1, cast(n_chars div 2 as int)), ''))")).drop("text", "head")
     out = with_sketch(edited.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_sketch")
-    nothing = F.array().cast("array<bigint>")
+    own, other = F.col("sketch"), F.coalesce("next_sketch", F.array().cast("array<bigint>"))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written(F.col("sketch")).alias("fingerprint"),
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        resemblance(F.col("sketch"), F.coalesce("next_sketch", nothing)).alias("near_next"),
-        distinct_shingles(F.col("sketch")).alias("n_shingles"),
+        resemblance(own, F.col("edited_sketch")).alias("near_edited"),
+        resemblance(own, other).alias("near_next"),
+        containment(own, F.col("edited_sketch")).alias("contained_in_edited"),
+        containment(own, other).alias("contained_in_next"),
+        distinct_shingles(own).alias("n_shingles"),
+        distinct_shingles(merged(own, other)).alias("n_shingles_with_next"),
     )
