@@ -1,19 +1,21 @@
 """Language identification by nearest centroid over normalised TF-IDF vectors of byte trigrams.
 
-Training: a bounded sample of labelled rows, ``SAMPLE`` for each language (whole texts), gives trigram
-document frequencies and, by spherical k-means, ``CENTROIDS`` centroids for each language. Prediction: every
-whole text's vector is compared with all centroids by cosine; the nearest centroid's language wins. A text is
-rejected if its best cosine lies below the floor of its length class, which is half of what all but a
-two-hundredth of the sample reach.
+Training: a bounded sample of labelled rows, ``SAMPLE`` for each language (whole texts) and ``MOST_ROWS`` in all, gives
+trigram document frequencies and, by spherical k-means, ``CENTROIDS`` centroids for each language; the ``LANGUAGES``
+most frequent labels are learnt. Prediction: every whole text's vector is compared with all centroids by cosine; the
+nearest centroid's language wins. A text is rejected if its best cosine lies below the floor of its length class,
+which is half of what all but a two-hundredth of the sample reach. As few sampled texts are short, each also gives a
+stretch of every short length class for the floors, and a class without samples takes the floor of the class below.
 
 Defined results: null, empty or letterless text gives ``und`` with score 0 and counts as rejected; so does
 every text if there are no labelled rows to learn from. Equal cosines take the language that sorts first.
-Repeated rows give repeated results; other input columns, case variants included, are ignored.
+Repeated rows give repeated results, and enter the sample once; other input columns, case variants included, are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +28,10 @@ from .common import fresh, map_batches, once, texts_of
 UNKNOWN = "und"
 #: Labelled rows that a language's training reads about at most, dimensions, centroids for each language.
 SAMPLE, DIMENSIONS, CENTROIDS, ROUNDS = 300, 1 << 13, 4, 12
+#: Languages that are learnt, most frequent first, and rows of the sample of all of them, about.
+LANGUAGES, MOST_ROWS = 200, 4800
+#: Length classes of which every sampled text gives a stretch; a length class is the logarithm of the trigrams to base 2.
+SHORT_CLASSES = range(1, 8)
 #: Texts are counted in stretches of so many bytes, and so many texts at once.
 STRETCH, TOGETHER = 1 << 20, 48
 LENGTH_CLASSES = 24
@@ -110,38 +116,71 @@ def clustered(rows: np.ndarray, k: int) -> np.ndarray:
     return means
 
 
+def stretches(text: str) -> list[str]:
+    """Cuts of the text about as long as each short class, from places that depend on the text alone."""
+    at = zlib.crc32(text.encode())
+    return [text[(at >> c) % (len(text) - (1 << c)) :][: 1 << c] if len(text) > 1 << c else "" for c in SHORT_CLASSES]
+
+
+def sparse(counts: np.ndarray) -> bytes:
+    """Places and counts of what isn't zero."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u4").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def dense(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMENSIONS), np.float32)
+    for own, raw in zip(out, rows, strict=True):
+        half = len(raw) // 2
+        own[np.frombuffer(raw, "<u4", half // 4)] = np.frombuffer(raw, "<f4", half // 4, half)
+    return out
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """Learns from columns doc_id, text, lang; None if there is nothing to learn from.
 
-    Languages are counted over all rows. Rows enter by a hash of doc_id against sample / count, so about
-    ``sample`` of each language do; a repeated doc_id enters as often as it occurs.
+    Languages are counted over all rows. Rows enter by a hash of doc_id and text against sample / count, so about
+    ``sample`` of each language do, fewer where many languages share ``MOST_ROWS``.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}  # LANGUAGES rows at most
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, sample / n)))])[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)
+    each = min(sample, MOST_ROWS // len(counts))
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, each / n)))])[F.col("lang")]
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = trigram_counts(texts_of(batch)).astype(np.float16)
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([v.tobytes() for v in vectors], pa.binary())], ["lang", "counts"])
-
-    rows = map_batches(labelled.filter(drawn).select("text", "lang"), work, "lang string, counts binary").collect()  # bounded by sample for each language
+        texts = texts_of(batch)
+        cuts = [c for t in texts for c in stretches(t)]
+        k = len(SHORT_CLASSES)
+        short = [sparse(c) for c in trigram_counts(cuts)]
+        columns = [batch.column("lang"), pa.array([sparse(c) for c in trigram_counts(texts)], pa.binary()), pa.array([short[i * k : (i + 1) * k] for i in range(len(texts))], pa.list_(pa.binary()))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "counts", "short"])
+
+    once_each = labelled.filter(drawn).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
+    rows = map_batches(once_each, work, "lang string, counts binary, short array<binary>").collect()  # about MOST_ROWS
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
-    raw = np.minimum(np.stack([np.frombuffer(r["counts"], np.float16) for r in rows]).astype(np.float32), 65504)
+    raw = dense([bytes(r["counts"]) for r in rows])
     own = np.array([langs.index(r["lang"]) for r in rows])
     model = Model(langs, np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 0.1, np.zeros(0), np.zeros(0, int), np.zeros(LENGTH_CLASSES))
     vectors = model.vectors(raw)
     means = [clustered(vectors[own == i], centroids) for i in range(len(langs))]
     model.centroids = np.concatenate(means).astype(np.float32)
     model.owner = np.repeat(np.arange(len(langs)), [len(m) for m in means])
-    best, classes = (vectors @ model.centroids.T).max(axis=1), length_class(raw)
-    for c in range(LENGTH_CLASSES):
-        near = best[classes == c] if (classes == c).sum() >= 20 else best[classes <= c]
-        model.floors[c] = 0.5 * np.quantile(near, 0.005) if len(near) >= 20 else 0.0
+    best, classes = [(vectors @ model.centroids.T).max(axis=1)], [length_class(raw)]
+    for at in range(0, len(rows), TOGETHER):
+        cuts = dense([bytes(s) for r in rows[at : at + TOGETHER] for s in r["short"] if s])
+        if len(cuts):
+            best.append((model.vectors(cuts) @ model.centroids.T).max(axis=1))
+            classes.append(length_class(cuts))
+    reached, kind = np.concatenate(best), np.concatenate(classes)
+    for c in range(1, LENGTH_CLASSES):
+        near = reached[kind == c]
+        model.floors[c] = 0.5 * np.quantile(near, 0.005) if len(near) >= 20 else model.floors[c - 1]
     return model
 
 
