@@ -1,18 +1,18 @@
 """Balanced sharding by label propagation under capacity quotas.
 
-Documents start in a shard by a hash. In each round, every group of linked documents counts its members by
+Documents start in a shard by a hash of doc_id and text, whatever the layout of the files. In each round, every group of linked documents counts its members by
 shard and points at the shard with most of them; members elsewhere want to move there. How much may move from
 one shard to another is settled from the 8 x 8 table of wanted bytes so that no shard exceeds its capacity, and
 the moves that fit are chosen by a hash of the group, so that groups move whole where they can. In the end,
-small amounts move from fuller to emptier shards, unlinked documents before linked ones, until the bytes of all
-shards are near equal: the law is ``bytes``.
+small amounts move from fuller to emptier shards, unlinked documents before linked ones and groups whole before
+parts of them, until the bytes of all shards are near equal: the law is ``bytes``.
 
 What reaches the driver is bounded by parameters: the sums for shards, and histograms of shards x shards x
 ``BUCKETS``. No group is gathered: groups are counted map-side, and joins on groups are split by adaptive
 execution where one holds a large share of all rows.
 
-Defined results: null text has size 1 and links with empty texts; repeated rows are documents of their own; an
-empty table gives no rows; other columns are ignored.
+Defined results: null text has size 1 and links with empty texts; repeated rows are documents of their own, also
+without doc_id; of equally good shards the lower one wins; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,10 @@ from .common import durable, numbered
 ROUNDS, SLACK, BUCKETS = 6, 0.25, 1 << 10
 #: Rows that are numbered together.
 ROWS_A_BUCKET = 1 << 12
-SWEEPS = 3
+#: Sweeps of levelling: what moves together (groups, equal marks, or nothing), and which part of it all, 1 / 64 to this power.
+SWEEPS = (("hub", 0), ("mark", 0), ("mark", 1), ("mark", 2), ("node", 0), ("node", 1))
+#: Shards that differ by this part of their mean at most leave equal rows together.
+EVEN = 0.005
 
 
 def bucket(seed: int, *columns: str) -> Column:
@@ -61,17 +64,17 @@ def voted(linked: DataFrame) -> DataFrame:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
-    """(node, size, hub, shard) from nodes (node, size, shard) and links (node, hub); a node has one hub or none.
+    """(node, size, hub, mark, shard) from nodes (node, size, mark, shard) and links (node, hub); a node has one hub or none.
 
     Moves whole groups together where the capacity, (1 + slack) times the mean, lets them.
     """
-    state = durable(nodes.join(links, "node", "left").select("node", "size", "hub", "shard"))
+    state = durable(nodes.join(links, "node", "left").select("node", "size", "hub", "mark", "shard"))
     loads = load(state, shards)
     most = (1 + slack) * loads.sum() / shards
     for _ in range(rounds):
         linked = state.filter("hub is not null")
         targets = durable(voted(linked))  # a table of its own, so that the join below can be split where a group is hot
-        want = durable(linked.join(targets, "hub").filter("target <> shard").select("node", "size", "shard", "target", bucket(11, "hub").alias("b"), bucket(12, "node").alias("c")))
+        want = durable(linked.join(targets, "hub").filter("target <> shard").select("node", "size", "shard", "target", bucket(11, "hub").alias("b"), bucket(12, "mark").alias("c")))
         flows = want.groupBy("shard", "target", "b").agg(F.sum("size").alias("s")).collect()  # shards x shards x BUCKETS at most
         if not flows:
             break
@@ -94,23 +97,27 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = ROU
         spark = state.sparkSession
         limits = F.broadcast(spark.createDataFrame(cuts, "shard int, target int, cut int, part int"))  # shards x shards rows
         moves = want.join(limits, ["shard", "target"]).filter("b < cut or (b = cut and c < part)").select("node", F.col("target").alias("moved"))
-        state = durable(state.join(moves, "node", "left").select("node", "size", "hub", F.coalesce("moved", "shard").alias("shard")))
+        state = durable(state.join(moves, "node", "left").select("node", "size", "hub", "mark", F.coalesce("moved", "shard").alias("shard")))
         loads = load(state, shards)
     return state
 
 
 def levelled(state: DataFrame, shards: int, rows: int) -> DataFrame:
-    """Moves hash buckets of nodes, unlinked ones first, from shards above the mean to shards below it.
+    """Moves hash buckets of unlinked nodes and of whole groups from shards above the mean to shards below it.
 
-    Each sweep takes a finer part of the nodes than the one before, so what remains uneven shrinks by a factor of
-    BUCKETS or comes down to single documents.
+    Each sweep takes a finer part than the one before, so what remains uneven shrinks by a factor of BUCKETS or comes
+    down to single documents. Groups are cut only after the first sweep (one may be larger than a shard), and rows equal
+    in doc_id and text only in the last ones.
     """
     spark = state.sparkSession
     loads = load(state, shards)
     mean = loads.sum() / shards
-    for sweep in range(SWEEPS):
-        part = F.pmod(F.xxhash64("node", F.lit(100 + sweep)), F.lit(min(64**sweep, max(1, rows // BUCKETS)))) == 0
-        marked = state.withColumn("linked", F.col("hub").isNotNull()).withColumn("b", bucket(200 + sweep, "node"))
+    for sweep, (unit, power) in enumerate(SWEEPS):
+        if unit == "node" and loads.max() - loads.min() <= EVEN * mean:
+            break
+        own = F.coalesce(F.when(F.lit(unit == "hub") & F.col("hub").isNotNull(), F.xxhash64("hub")), F.col("node" if unit == "node" else "mark"))
+        part = F.pmod(F.xxhash64(own, F.lit(100 + sweep)), F.lit(min(64**power, max(1, rows // BUCKETS)))) == 0
+        marked = state.withColumn("linked", F.col("hub").isNotNull()).withColumn("b", F.pmod(F.xxhash64(own, F.lit(200 + sweep)), F.lit(BUCKETS)).cast("int"))
         cells = marked.filter(part & F.col("shard").isin([i for i in range(shards) if loads[i] > mean])).groupBy("shard", "linked", "b").agg(F.sum("size").alias("s"))
         moves = []
         for r in sorted(cells.collect(), key=lambda r: (r["linked"], -r["s"], r["shard"], r["b"])):  # shards x 2 x BUCKETS at most
@@ -123,7 +130,7 @@ def levelled(state: DataFrame, shards: int, rows: int) -> DataFrame:
             continue
         table = F.broadcast(spark.createDataFrame(moves, "shard int, linked boolean, b int, moved int"))  # as bounded
         found = marked.join(table, ["shard", "linked", "b"], "left")
-        state = found.select("node", "size", "hub", F.when(part, F.coalesce("moved", "shard")).otherwise(F.col("shard")).alias("shard"))
+        state = found.select("node", "size", "hub", "mark", F.when(part, F.coalesce("moved", "shard")).otherwise(F.col("shard")).alias("shard"))
         state = durable(state)
         loads = load(state, shards)
     return state
@@ -136,14 +143,15 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text, F.lit(7)).alias("hub"),
+        F.unhex(F.md5(text.cast("binary"))).alias("hub"),
     )
     rows = durable(slim.withColumn("node", F.monotonically_increasing_id()))  # node numbers must not change
     total = rows.count()
     groups = durable(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hub"))
     links = rows.join(groups, "hub", "left_semi").select("node", "hub")
-    start = F.pmod(F.xxhash64("node", "text_crc32"), F.lit(shards)).cast("int")
-    state = levelled(propagate(rows.select("node", "size", start.alias("shard")), links, shards), shards, total)
+    mark = F.xxhash64("doc_id", "text_crc32")  # the same whatever the layout of the files
+    nodes = rows.select("node", "size", mark.alias("mark"), F.pmod(mark, F.lit(shards)).cast("int").alias("shard"))
+    state = levelled(propagate(nodes, links, shards), shards, total)
     placed = rows.join(state.select("node", "shard"), "node")
     spread = max(8, total // ROWS_A_BUCKET)
     return numbered(placed, ["shard"], ["doc_id", "node"], "slot", spread).select(
