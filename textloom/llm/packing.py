@@ -269,12 +269,14 @@ class Layout:
 def pack_documents(docs: DataFrame, path: str) -> DataFrame:
     """A row for each piece: where it lies in its document, its digest, its sequence and offset there."""
     step = CAPACITY // CLASSES
-    cut = durable(pieces(docs, path).withColumn("kind", F.ceil(F.col("length") / step).cast("int")))
+    # Rows equal in all else are told apart by a row number, which must not change.
+    cut = durable(pieces(docs, path).withColumn("kind", F.ceil(F.col("length") / step).cast("int")).withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["kind"]: r["n"] for r in cut.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # CLASSES rows at most
     layout = Layout(histogram)
     shared = docs.sparkSession.sparkContext.broadcast(layout)  # a few hundred patterns of a few classes each
-    spread = max(8, sum(histogram.values()) // ROWS_A_BUCKET)
-    ranked = numbered(cut, ["kind"], ["length", "doc_id", "start"], "rank", spread)
+    each = [F.lit(x) for kind, n in histogram.items() for x in (kind, 1 + n // ROWS_A_BUCKET)]  # CLASSES entries at most
+    spread = F.create_map(*each)[F.col("kind")] if each else 1
+    ranked = numbered(cut, ["kind"], ["length", "doc_id", "start", "row"], "rank", spread)
     schema = f"{PIECES}, sequence_id long"
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,5 +286,6 @@ def pack_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.int64())], [*names, "sequence_id"])
 
     placed = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "kind", "rank").mapInArrow(place, schema)
+    # A sequence has CAPACITY pieces at most.
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
