@@ -1,34 +1,48 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges are rewritten until each node points at the least node of its component. All state stays in
-DataFrames, each step is written to the shared checkpoint folder, and steps join on nodes and a salt, so a node
-with very many edges is never gathered in one task.
+DataFrames and each step is written to the shared checkpoint folder. Nodes with more than ``EDGES_A_PART`` edges,
+and only these, meet theirs in parts by a hash of the other end, as many as their edges need.
+
+Defined results: an edge from a node to itself, or with a null end, links nothing; repeated edges count once; a
+component of any size or shape is found whole, or an error says that it didn't settle; no edges give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import counted, durable
+
+MOST_STEPS, EDGES_A_PART = 60, 1 << 12
+
+
+def with_least(around: DataFrame) -> DataFrame:
+    """Edges (a, b) with m, the least of a and its neighbours."""
+    ends = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
+    ends = ends.withColumn("parts", (F.col("n") / EDGES_A_PART).cast("int") + 1)
+    heavy = durable(ends.filter("parts > 1").select("a", "parts"))
+    if heavy.isEmpty():
+        return around.join(ends.select("a", "m"), "a")
+    dealt = around.join(counted(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    copies = ends.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(copies, ["a", "part"]).select("a", "b", "m")
 
-MOST_STEPS, SALTS = 60, 8
+
+def pairs(*ends: tuple[str, str]) -> Column:
+    """For each row, an edge (a, b) of each two columns."""
+    return F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends])).alias("e")
 
 
 def star(edges: DataFrame, both_ways: bool) -> DataFrame:
     """Joins the neighbours of each node to the least of them: the larger ones, or itself and the smaller ones."""
     if both_ways:
-        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        around = edges.select(pairs(("a", "b"), ("b", "a"))).select("e.a", "e.b")
+        new = with_least(around).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    # Salted, so that the edges of a node with very many are met in several tasks.
-    parts = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = around.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(parts, ["a", "salt"])
-    if both_ways:
-        new = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        new = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        new = with_least(around).select(pairs(("b", "m"), ("a", "m"))).select("e.a", "e.b")
     return new.filter("a <> b").distinct()
 
 
@@ -41,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        now = durable(star(star(now, True), False))
+        now = durable(star(durable(star(now, True)), False))
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

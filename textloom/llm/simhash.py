@@ -11,17 +11,19 @@ dense places: two fingerprints are within two bits if and only if some point is
 each is sent to its 65 points, and those that meet at a point (65 at most) link to the least of them. Rows
 grow in proportion to fingerprints either way, and no link is lost.
 
-Wider similarity (``find_similar``): Jaccard similarity of word shingles from 0.8 on flips ten bits and more of a
-whole text's fingerprint, where no bound on distances selects. So a text gets further fingerprints, each of a
-min-wise sample of its shingles, equal with the fourth power of the similarity. Texts that share one, or whose
-whole fingerprints link as above, are candidates, and every candidate pair is verified on all shingles. In a cell of
-sample fingerprints beyond ``CELL`` texts each is compared first with the three that meet most others; the original
+Wider similarity (``find_similar``, the pipeline's stage): a Jaccard similarity of word shingles from 0.8 on flips ten
+bits and more of a whole text's fingerprint, so the embedding can't find it: a grid at radius ten has no selective cells.
+There, most candidates come from banded MinHash instead: a text has ``VIEWS`` bands of ``SAMPLE`` min-wise shingles each,
+kept as one number, and two texts share a band with the fourth power of their similarity. The embedding only adds the
+pairs whose whole fingerprints link as above. Every candidate pair is verified on all shingles. In a band's cell
+beyond ``CELL`` texts each is compared first with the three that meet most others; the original
 of many copies is such a one. Crowded cells whose texts then lie in several components take an exact way
 (``crowded_pairs``): a similar pair shares a shingle among the rarest few of both, so that shared passages, which come
 last, bring nothing together, and bounds by length and place leave out what can't be similar.
 
 Defined results: null text counts as empty; no words give fingerprint zero, which links like any other;
-repeated rows share a component; an empty table gives no rows; other columns are ignored.
+rows equal in doc_id and text share a component, and rows that share a doc_id alone are told apart by their texts;
+equal distances need no order, as components don't depend on it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -104,8 +106,9 @@ def cells(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """(a, b) of distinct prints within the radius; those in dense cells by a spanning star at each meeting point."""
-    count = F.count(F.lit(1)).over(Window.partitionBy("choice", "cell"))
-    shared = durable(cells(prints).withColumn("n", count).filter("n > 1"))
+    placed = cells(prints)
+    crowd = placed.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # counted map-side: a dense cell is never gathered
+    shared = durable(placed.join(crowd, ["choice", "cell"]))
     some = shared.filter(F.col("n") <= CELL)
     left, right = some.select("choice", "cell", F.col("print").alias("a")), some.select("choice", "cell", F.col("print").alias("b"))
     a, b = F.col("a"), F.col("b")
