@@ -1,6 +1,9 @@
+import base64
 import hashlib
 import random
 import re
+import textwrap
+import zlib
 
 import numpy as np
 import pytest
@@ -83,6 +86,32 @@ def test_exact_dedup(docs, rows, empty, monkeypatch, keys):
     assert exactdedup.find_groups(empty, exactdedup.newer_half(F.col("doc_id"))).count() == 0
 
 
+@pytest.mark.parametrize("keys", [1 << 13, 4])
+def test_later_batches_meet_a_saved_snapshot(spark, docs, rows, empty, monkeypatch, tmp_path, keys):
+    """The snapshot is saved once and serves two batches; nothing of it is built again."""
+    monkeypatch.setattr(exactdedup, "KEYS", keys)
+    old = docs.select("doc_id", "text")
+    exactdedup.save_snapshot(old, str(tmp_path / "kept"))
+    held = {hashlib.sha256(normal(r[1])).hexdigest() for r in rows}
+    monkeypatch.setattr(exactdedup, "build_filters", None)
+    first = [(1000, "never seen"), (1001, "NEVER SEEN"), (1002, rows[12][1].upper()), (1003, None), (None, "no id either")]
+    for batch in (first, [(2000, "never seen"), (2001, rows[15][1]), (2002, "x" * 200_000)]):
+        got = exactdedup.screen_batch(spark.createDataFrame(batch, "doc_id long, text string"), str(tmp_path / "kept"), old).collect()
+        assert len(got) == len(batch)
+        for r in got:
+            text = next(t for i, t in batch if i == r.doc_id)
+            same = [i for i, t in batch if normal(t) == normal(text)]
+            before = [x[0] for x in rows if normal(x[1]) == normal(text)]
+            assert r.held == (r.digest in held) and r.group_size == len(same) + len(before)
+            assert r.kept == (not before and r.doc_id == max((i for i in same if i is not None), default=None))
+            assert r.keep_id == max((i for i in (before or same) if i is not None), default=None)
+    assert exactdedup.screen_batch(empty, str(tmp_path / "kept"), old).count() == 0
+    monkeypatch.undo()
+    exactdedup.save_snapshot(empty, str(tmp_path / "nothing"))
+    got = exactdedup.screen_batch(spark.createDataFrame(first, "doc_id long, text string"), str(tmp_path / "nothing"), empty).collect()
+    assert sorted(r.doc_id or 0 for r in got if r.kept) == [0, 1001, 1002, 1003]
+
+
 def brute_fingerprint(text, n=3):
     words = [w for w in re.split(rb"[\x20\x09-\x0d]+", normal(text)) if w]
     shingles = [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
@@ -235,6 +264,45 @@ def test_language(spark, data, docs, rows, empty):
     assert language.keep_known(docs, model).columns == docs.columns
 
 
+FOREIGN = ["это русский текст", "日本語のテキストです", "Zażółć gęślą jaźń dzień dobry", "ελληνικό κείμενο εδώ", "kjsdhf kjhsdf qwpoeiur zmxncb", "Это довольно длинный русский текст о языке. " * 40, "qzx wvk jjq " * 100]
+
+
+def test_language_rejects_foreign_and_garbled_texts(spark, data):
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fit(language.training_rows(table))
+    assert all(model.nearest(FOREIGN)[2])
+    assert (np.diff(model.floors[:8]) >= -0.1).all() and (model.floors[4:] > 0).all()
+    short = [r.text.split(".")[0][:60] for r in table.filter("lang is not null and n_chars > 200").limit(100).collect()]
+    assert sum(model.nearest(short)[2]) <= 2
+
+
+def test_language_is_the_nearest_centroid(spark, data):
+    """Against cosines from plain counts of trigrams, one text at a time."""
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fit(language.training_rows(table))
+    some = table.filter("n_chars < 3000").limit(40).collect()
+    got = {r.doc_id: r for r in language.predict(table, model).collect()}
+    for r in some:
+        counts = np.zeros(language.DIMENSIONS)
+        raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {r.text.lower()} ".encode())
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            if not (a == b == 32 or b == c == 32):
+                h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+                counts[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 19] += 1
+        vector = np.log1p(counts) * model.idf
+        cosines = [vector @ c / np.linalg.norm(vector) for c in model.centroids]
+        best = int(np.argmax(cosines))
+        assert got[r.doc_id].lang_pred == model.langs[model.owner[best]] and got[r.doc_id].score == pytest.approx(cosines[best], abs=1e-5)
+
+
+def test_language_bounds_its_sample(spark, monkeypatch):
+    """Very many labels, and a row repeated very often: the most frequent labels are learnt, the row counts once."""
+    monkeypatch.setattr(language, "LANGUAGES", 5)
+    rows = [(i, f"text {i} of l{i % 40} " + chr(97 + i % 40 % 26) * 9, f"l{i % 40:02}") for i in range(400)] + [(7, "again and again", "l07")] * 500
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["l00", "l01", "l02", "l03", "l07"] and len(model.centroids) <= 20
+
+
 def test_long_texts_count_whole(monkeypatch):
     text = "abc déf ghi " * 300
     whole = language.trigram_counts([text])
@@ -286,8 +354,28 @@ def test_sketch_estimates(spark, monkeypatch):
         assert abs(r.r - (len(a & b) / len(a | b) if a | b else 1)) < 0.2
         assert abs(r.c - (len(a & b) / len(a) if a else 1)) < 0.45
         assert abs(r.n - len(a)) <= 0.4 * len(a)
-    whole = df.filter("i in (4, 5)").agg(sketch.merged(F.col("s")).alias("s")).first()["s"]
-    assert whole == sorted({*rows[4], *rows[5]})[: sketch.K]
+    parts = df.filter("i > 0").withColumn("k", F.when(F.col("i") < 3, "x").when(F.col("i") < 5, F.lit(None)).otherwise("y")).unionByName(df.filter("i = 0").withColumn("k", F.lit("z")))
+    whole = {r.k: r.s for r in sketch.merged_by(parts, ["k"], "s").collect()}
+    wanted = {"x": (1, 2), None: (3, 4), "y": (5, 6), "z": ()}
+    assert whole == {k: sorted({h for i in of for h in rows[i]})[: sketch.K] for k, of in wanted.items()}
+
+
+def chained(values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_sketch(text):
+    words = [xxhash.xxh64_intdigest(w, 42) for w in re.split(rb"[\x20\x09-\x0d]+", text.encode()) if w]
+    words = [w - (1 << 64) if w >> 63 else w for w in words]
+    return sorted({chained(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else ())[: sketch.K]
+
+
+def brute_likeness(a, b):
+    union = sorted({*a, *b})[: sketch.K]
+    return sum(h in a and h in b for h in union) / len(union) if union else 1
 
 
 @pytest.mark.parametrize("size", [1 << 14, 9])
@@ -307,9 +395,14 @@ def test_edited_fingerprints(docs, rows, empty, monkeypatch, size):
         edited = text[: len(text) - half] + following[r.doc_id][:half]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert same.setdefault(text, r.fingerprint) == r.fingerprint
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if edited == text:
-            assert r.near_edited == 1
+        own, other, after = brute_sketch(text), brute_sketch(edited), brute_sketch(following[r.doc_id])
+        assert base64.b64decode(r.fingerprint) == b"".join(h.to_bytes(8, "big", signed=True) for h in own)
+        assert r.near_edited == pytest.approx(brute_likeness(own, other)) and r.near_next == pytest.approx(brute_likeness(own, after))
+        assert 0 <= r.contained_in_edited <= 1 and 0 <= r.contained_in_next <= 1
+        if len(own) < sketch.K and len(after) < sketch.K:
+            union = len({*own, *after})
+            assert r.n_shingles == len(own) and (union >= sketch.K or r.n_shingles_with_next == union)
+            assert union >= sketch.K or r.contained_in_next == pytest.approx(len({*own} & {*after}) / len(own) if own else 1)
     assert sketch.edited_fingerprints(empty).count() == 0
 
 
@@ -336,7 +429,37 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan_documents(empty).count() == 0
 
 
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify it under
+ * the terms of the GNU General Public License as published by the Free Software
+ * Foundation, either version 3 of the License, or (at your option) any later version.
+ */
+int main() { return 0; }"""
+ISC_TEXT = """ISC-style text without its name
+
+Copyright (c) 2020 Jane Doe
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER."""
+
+
+def licence_text(name):
+    """The longest template of a license, wrapped at 70 characters, with a copyright line before it."""
+    words = max((t for n, t in licenses.TEMPLATES if n == name), key=len).split()
+    return "Copyright (c) 2021 The Authors\nAll rights reserved.\n\n" + textwrap.fill(" ".join(words), 70)
+
+
 NOTICES = [
+    (GPL_HEADER, "GPL-3.0"),
+    (ISC_TEXT, "ISC"),
+    *[(licence_text(name), name) for name in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC", "Apache-2.0", "MPL-2.0", "LGPL-2.1", "AGPL-3.0", "GPL-2.0", "Unlicense")],
+    *[("\n".join(f"int a{i};" for i in range(57)) + "\n" + licence_text(name) + "\n" + "more code here\n" * 60, name) for name in ("BSD-3-Clause", "Apache-2.0")],
     ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
     ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
     ("Released under the MIT License.", "MIT"),
@@ -368,3 +491,27 @@ def test_licenses_of_deep_trees(spark):
     table = spark.createDataFrame([(p, p, t) for p, t in files], "file string, path string, text string")
     got = {r.path: (r.origin, r.license, r.from_dir) for r in licenses.scan(table).collect()}
     assert got[f"{deep}/x/y.py"] == ("inherited", "ISC", deep)
+
+
+def test_licenses_keep_columns_of_any_name(spark):
+    """Columns named like those of the scan's own tables pass through; those of its results are replaced."""
+    table = spark.createDataFrame([("f", "a/x.py", "Released under the MIT License.", 1, 2, 3, "z")], "file string, path string, text string, dir int, own_score int, near int, license string")
+    assert licenses.scan(table).first().asDict() == {"file": "f", "path": "a/x.py", "dir": 1, "own_score": 2, "near": 3, "origin": "own", "license": "MIT", "score": 1.0, "from_dir": None}
+
+
+def test_components_with_a_heavy_node(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGES_A_PART", 10)
+    edges = [(5, i) for i in range(6, 300)] + [(299, 1), (400, 401), (400, 401), (401, 399)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in (1, *range(5, 300))}, 399: 399, 400: 399, 401: 399}
+
+
+def test_sharding_whatever_the_layout(spark):
+    random.seed(6)
+    rows = [(i, "t" * random.randint(1, 400)) for i in range(2000)]
+    results = []
+    for order, parts in ((rows, 3), (rows[::-1], 5)):
+        results.append(sorted((r.doc_id, r.size, r.text_crc32, r.shard) for r in sharding.shard_documents(spark.createDataFrame(order, "doc_id long, text string").repartition(parts), 8).collect()))
+    same = sum(a[3] == b[3] for a, b in zip(*results, strict=True))
+    assert same >= 0.9 * len(rows)
+    assert [r[:3] for r in results[0]] == [(i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows]
