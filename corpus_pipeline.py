@@ -3,6 +3,12 @@
 Every stage takes the documents that the one before kept and its decisions take effect: documents that language
 identification rejects go, of equal and of nearly equal documents one stays, secrets are cut out of the texts,
 and what remains is packed. All stages but the last return the columns of documents.
+
+Defined results: a null or empty text has no language and goes in the first stage, as a text of digits does; texts of
+any length are handled whole; of rows equal in doc_id and text one stays, and rows that share a doc_id alone are told
+apart by their texts; of equal texts the largest doc_id stays, of near copies the smallest; a row without doc_id can't
+be linked to near copies and stays; an empty table, or one without labelled rows, gives no pieces; columns beyond
+those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import exactdedup, language, packing, secrets, simhash
-from textloom.llm.common import FALLBACK_CHECKPOINT_DIR, table
+from textloom.llm.common import checkpoint_folder, removed, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,10 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are a Parquet table in the shared checkpoint folder."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or FALLBACK_CHECKPOINT_DIR}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are a Parquet table in the shared checkpoint folder, until the next is written."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
