@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import components, exactdedup, fuse, language, licenses, secrets, sharding, simhash, sketch
+from textloom.llm import common, components, exactdedup, fuse, language, licenses, secrets, sharding, simhash, sketch
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -68,6 +68,7 @@ def normal(text):
 @pytest.mark.parametrize("keys", [1 << 13, 4])
 def test_exact_dedup(docs, rows, empty, monkeypatch, keys):
     monkeypatch.setattr(exactdedup, "KEYS", keys)
+    monkeypatch.setattr(common, "ROWS_A_PART", 2 if keys == 4 else 1 << 12)
     got = exactdedup.find_groups(docs, exactdedup.newer_half(F.col("doc_id"))).collect()
     groups = {}
     for r in rows:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import counted, durable
+from .common import durable, met_in_parts
 
 MOST_STEPS, EDGES_A_PART = 60, 1 << 12
 
@@ -21,13 +21,7 @@ MOST_STEPS, EDGES_A_PART = 60, 1 << 12
 def with_least(around: DataFrame) -> DataFrame:
     """Edges (a, b) with m, the least of a and its neighbours."""
     ends = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
-    ends = ends.withColumn("parts", (F.col("n") / EDGES_A_PART).cast("int") + 1)
-    heavy = durable(ends.filter("parts > 1").select("a", "parts"))
-    if heavy.isEmpty():
-        return around.join(ends.select("a", "m"), "a")
-    dealt = around.join(counted(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-    copies = ends.select("a", "m", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.join(copies, ["a", "part"]).select("a", "b", "m")
+    return met_in_parts(around, ends, ["a"], "b", EDGES_A_PART).select("a", "b", "m")
 
 
 def pairs(*ends: tuple[str, str]) -> Column:

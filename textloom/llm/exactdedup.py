@@ -8,8 +8,8 @@ by digest on its own first (its duplicates among itself need no filter); the fil
 distinct digest once. Digests that pass join the snapshot's exact buckets, where the bytes of one text of
 either side are compared, and only equal bytes merge the two groups.
 
-Hot groups: copies are counted map-side, so a digest reaches the filters once however often it occurs; the
-last join sends the group's row to the copies, which adaptive execution splits.
+Hot groups: copies are counted map-side, so a digest reaches the filters once however often it occurs; in the
+last join a large group's copies meet its row in parts.
 
 Defined results: null text counts as empty; of equal rows (same text, same doc_id) exactly one is kept; a row
 without doc_id is kept only if all of its group lack one; texts of any length are compared whole; an empty table gives
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import fuse
-from .common import ascii_lower, checkpoint_folder, counted, durable, fresh
+from .common import ascii_lower, checkpoint_folder, counted, durable, fresh, met_in_parts
 
 #: Distinct digests of a filter, about.
 KEYS = 1 << 13
@@ -150,7 +150,7 @@ def screen_batch(docs: DataFrame, folder: str, snapshot_texts: DataFrame) -> Dat
     held = compare(docs.sparkSession, folder, new, both).select("digest", F.col("old.doc_id").alias("old_id"), "old_n")
     final = new.join(held, "digest", "left")
     there = F.col("old_n").isNotNull()
-    return rows.join(final, "digest").select(
+    return met_in_parts(rows, final, ["digest"], row).select(
         "doc_id",
         "digest",
         F.when(there, F.col("old_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
@@ -171,8 +171,8 @@ def find_groups(docs: DataFrame, incoming: Column) -> DataFrame:
     new = durable(grouped(rows.filter("incoming"), "row"))
     merged = compare(spark, folder, new, docs).select("digest", F.greatest("old", "new").alias("all_best"), (F.col("old_n") + F.col("new_n")).alias("all_n"))
     groups = spark.read.parquet(f"{folder}/groups").withColumn("incoming", F.lit(False)).unionByName(new.withColumn("incoming", F.lit(True)))
-    final = groups.join(merged, "digest", "left").select("digest", "incoming", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_n", "n").alias("group_size"))
-    return rows.join(final, ["digest", "incoming"]).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    final = groups.join(merged, "digest", "left").select("digest", "incoming", "n", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_n", "n").alias("group_size"))
+    return met_in_parts(rows, final, ["digest", "incoming"], "row").select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
 
 def newer_half(ids: Column) -> Column:
