@@ -8,7 +8,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--driver-memory 8g pyspark-shell")
 
-from textloom.plans import catalog, scripts  # noqa: E402, F401
+from textloom.plans import catalog, corpus, scripts  # noqa: E402, F401
 from textloom.session import session  # noqa: E402
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from oracle import connect, rows_of, sql_rows  # noqa: E402
 
-from textloom.plans import catalog, scripts  # noqa: E402, F401
+from textloom.plans import catalog, corpus, scripts  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")

@@ -1,10 +1,15 @@
 import json
+import random
+import sys
+from pathlib import Path
 
 import pytest
 
-from textloom.functions import scanners as S
-from textloom.operators import inject, match, ordering, scripts
-from textloom.plans.scripts import SOURCES, old_catalog, texts
+sys.path.insert(0, str(Path(__file__).parent))
+from fixtures import SOURCES, old_catalog, texts  # noqa: E402
+
+from textloom.functions import scanners as S  # noqa: E402
+from textloom.operators import inject, match, ordering, scripts  # noqa: E402
 
 
 def test_concat():
@@ -67,6 +72,81 @@ def test_ratios():
     assert match.edits("kitten", "sitting") == 3
 
 
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_ratio(a, b):
+    return round(200 * plain_common(a, b) / (len(a) + len(b))) if a or b else 100
+
+
+def plain_partial(a, b):
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 100 if not long else 0
+    n = len(short)
+    return max(plain_ratio(short, long[max(0, i) : min(len(long), i + n)]) for i in range(1 - n, len(long)))
+
+
+def test_scores_against_plain_ones():
+    random.seed(8)
+    for _ in range(1500):
+        a, b = ("".join(random.choices("abcdé ", k=random.randint(0, 14))) for _ in range(2))
+        assert match.common(a, b) == plain_common(a, b) and match.edits(a, b) == plain_edits(a, b)
+        assert match.ratio(a, b) == plain_ratio(a, b) and match.partial_ratio(a, b) == plain_partial(a, b)
+        diff = 1 - plain_edits(a, b) / max(len(a), len(b), 1)
+        assert match.near_enough(a, b) == (pytest.approx(diff) if diff >= match.LEAST_DIFF else 0)
+
+
+def plain_score(old, new):
+    """The score as defined, every part of it computed."""
+    pairs = [(old.fuzzy, new.fuzzy)] + [(old.human, new.human)] * bool(old.human and new.human)
+    scores = [s for a, b in pairs for s in (max(plain_ratio(a, b), plain_partial(a, b)), match.token_set_ratio(a, b))] + [0, 0]
+    diff = max(0, 1 - plain_edits(*pairs[0]) / max(*map(len, pairs[0]), 1))
+    total = sum(w * s for w, s in zip(match.WEIGHTS, (*scores[:4], diff * 100, 50), strict=True))
+    return total if max(scores) >= match.LEAST_RATIO and diff >= match.LEAST_DIFF and total >= match.LEAST_SCORE else None
+
+
+def test_fuzzy_pairs_of_a_file():
+    """Old entries in order, each to the best new one left of its kind, by plain scores."""
+    random.seed(10)
+    words = ["".join(random.choices("abcdefg", k=random.randint(2, 6))) for _ in range(60)]
+    for _ in range(15):
+        olds, news = [], []
+        for i in range(12):
+            own = random.choices(words, k=random.randint(4, 9))
+            kind = random.choice(["text", "msg"])
+            olds.append(match.Entry(f"f|{kind}|{i}", " ".join(own), f"T{i}", 1, ""))
+            for j in random.sample(range(len(own)), random.randint(1, 2)):
+                own[j] = random.choice(words)
+            news.append(match.Entry(f"n|{random.choice([kind, kind, 'msg'])}|{i}", " ".join(own), "", 0, ""))
+        random.shuffle(news)
+        merged, gone = match.merge_file(news, olds)
+        open_, wanted = dict(enumerate(news)), {}
+        for old in olds:
+            scored = [(s, -j) for j, new in open_.items() if old.kind == new.kind and (s := plain_score(old, new)) is not None]
+            if scored:
+                wanted[-max(scored)[1]] = old
+                del open_[-max(scored)[1]]
+        if all(o.original != n.original for o in olds for n in news):
+            assert [e.translation for e, _ in merged] == [wanted[j].translation if j in wanted else "" for j in range(len(news))]
+            assert {o.translation for o in gone} == {o.translation for o in olds} - {o.translation for o in wanted.values()}
+
+
 @pytest.mark.parametrize("position", [7, 6, 100])
 def test_splice(position):
     text = "# a\nsay 'Hello' now\n-\n"

@@ -43,10 +43,15 @@ def is_asset_path(c: Column) -> Column:
     return bare.rlike(ASSET_PATH)
 
 
-def is_media_only(c: Column) -> Column:
-    seen = visible_text(c)
-    nothing = (seen == "") | is_asset_path(seen) | is_asset_path(F.replace(seen, F.lit(" "), F.lit("")))
-    return (c.rlike(MEDIA_TAG) | F.contains(F.lower(c), F.lit("src="))) & nothing
+def is_media_only(c: Column, visible: Column | None = None) -> Column:
+    """visible: the visible text of the same column, if there is one."""
+
+    def nothing(seen: Column) -> Column:
+        return (seen == "") | is_asset_path(seen) | is_asset_path(F.replace(seen, F.lit(" "), F.lit("")))
+
+    media = c.rlike(MEDIA_TAG) | F.contains(F.lower(c), F.lit("src="))
+    seen = visible_text(c) if visible is None else visible
+    return media & F.transform(F.array(seen), nothing)[0]  # the array of one binds the visible text to a name, so it is made once
 
 
 def is_code_label(visible: Column) -> Column:
@@ -186,8 +191,13 @@ def position_similarity(a: Column, b: Column) -> Column:
 
 
 def structure_profile(masked: Column) -> Column:
-    """Counts of the structure words in masked code."""
-    return F.struct(*[F.regexp_count(masked, F.lit(rf"(?i)\b{w}\b")).alias(w) for w in STRUCTURE_WORDS])
+    """Counts of the structure words in masked code, all from one pass over it."""
+
+    def counted(hits: Column, word: str) -> Column:
+        return F.size(F.filter(hits, lambda w: w == word))
+
+    found = F.transform(F.regexp_extract_all(masked, F.lit(rf"(?i)\b({'|'.join(STRUCTURE_WORDS)})\b")), lambda w: F.lower(w))
+    return F.transform(F.array(found), lambda hits: F.struct(*[counted(hits, word).alias(word) for word in STRUCTURE_WORDS]))[0]
 
 
 def line_kind(text: Column, inline: Column) -> Column:

@@ -1,9 +1,16 @@
-"""Ordered operators that don't gather a whole key or table in one task."""
+"""Ordered operators that hold no whole key in memory; where the order of a key is all that counts, it is one sorted task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import ship
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -39,8 +46,8 @@ def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: Col
 
 def next_where(df: DataFrame, keys: list[str], order: list[str], value: Column, wanted: Column, name: str) -> DataFrame:
     """Adds the value of the next row that is wanted, own row excluded."""
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.first(F.when(wanted, value), ignorenulls=True).over(ahead))
+    before = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)  # in reverse, so that each row looks at one more
+    return df.withColumn(name, F.last(F.when(wanted, value), ignorenulls=True).over(before))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], continues: Column, name: str) -> DataFrame:
@@ -53,13 +60,30 @@ def islands(df: DataFrame, keys: list[str], order: list[str], continues: Column,
 def greedy_batches(df: DataFrame, keys: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
     """(keys, batch, n, cost): rows in order fill a batch until the next would exceed the budget.
 
-    A fold over the sorted costs of a key; a batch has one row at least.
+    A batch has one row at least. Where a batch ends depends on all rows before, so a key is folded in one task; its
+    rows stream through in order, and the task holds no more than the batch that is open.
     """
-    step = f"""aggregate(costs, named_struct('held', 0L, 'out', cast(array() as array<bigint>), 'n', cast(array() as array<bigint>)),
-      (s, c) -> case when size(s.out) > 0 and s.held + c <= {budget}
-        then named_struct('held', s.held + c, 'out', concat(slice(s.out, 1, size(s.out) - 1), array(s.held + c)), 'n', concat(slice(s.n, 1, size(s.n) - 1), array(element_at(s.n, -1) + 1)))
-        else named_struct('held', c, 'out', concat(s.out, array(c)), 'n', concat(s.n, array(1L))) end)"""
-    rows = df.select(*keys, F.struct(*order, cost.cast("long").alias("cost")).alias("row"))
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("row")).getField("cost").alias("costs")).withColumn("fold", F.expr(step))
-    parts = folded.select(*keys, F.posexplode(F.arrays_zip(F.col("fold.n").alias("n"), F.col("fold.out").alias("cost"))).alias("batch", "part"))
-    return parts.select(*keys, (F.col("batch") + 1).cast("long").alias("batch"), "part.n", "part.cost")
+    ship(df.sparkSession)
+    rows = df.select(*keys, *order, cost.cast("long").alias("__cost"))
+    kinds = rows.select(*keys).schema
+    schema = StructType([*kinds.fields, *[StructField(c, LongType()) for c in ("batch", "n", "cost")]])
+    arrow = to_arrow_schema(schema)
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None  # the key, its batch, and the batch's rows and cost so far
+        for batch in batches:
+            done = []
+            for *key, c in zip(*[batch.column(k).to_pylist() for k in (*keys, "__cost")], strict=True):
+                if state and state[0] == key and state[3] + c <= budget:
+                    state[2:] = state[2] + 1, state[3] + c
+                    continue
+                number = 1
+                if state:
+                    done.append((*state[0], *state[1:]))
+                    number = state[1] + 1 if state[0] == key else 1
+                state = [key, number, 1, c]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], f.type) for i, f in enumerate(arrow)], arrow.names)
+        if state:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*state[0], *state[1:]), arrow, strict=True)], arrow.names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, schema)

@@ -85,8 +85,8 @@ MEDIA_SQL = rf"""((regexp_matches({{c}}, '(?i)<\s*/?\s*(?:img|video|audio|source
   from (select 'page' as kind, html as body from pages union all select 'document', text from documents) group by kind""")
 def markup_only_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = read(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("html").alias("body")).unionByName(read(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("text").alias("body")))
-    body = F.col("body")
-    return ordering.spread(bodies).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_media_only(body)).alias("media"), F.count_if(T.visible_text(body) == "").alias("empty"))
+    seen = ordering.spread(bodies).select("kind", "body", T.visible_text(F.col("body")).alias("seen"))
+    return seen.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_media_only(F.col("body"), F.col("seen"))).alias("media"), F.count_if(F.col("seen") == "").alias("empty"))
 
 
 @registered(f"""select page_id, path, {ASSET_SQL.format(c='path')} as asset, {ASSET_SQL.format(c="concat(path, '.png')")} as asset_png
@@ -150,9 +150,9 @@ def slug_keys_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line with a key keeps it; later ones get their position added."""
     lines = document_lines(spark, sf_dir)
     based = lines.select("doc_id", "line_no", F.concat("source", F.lit("|text|"), T.slug(F.col("line"), F.col("line_no"))).alias("base"))
-    numbered = ordering.ordered_number(based, ["base"], ["doc_id", "line_no"], F.expr(f"doc_id div {BLOCK}"), "n")
+    first = based.groupBy("base").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))  # map-side; no key is numbered
     later = F.concat("base", F.format_string("_%08d", F.col("doc_id") * 1000 + F.col("line_no")))
-    return numbered.select("doc_id", "line_no", F.when(F.col("n") > 1, later).otherwise(F.col("base")).alias("key"))
+    return based.join(first, "base").select("doc_id", "line_no", F.when(F.struct("doc_id", "line_no") != F.col("first"), later).otherwise(F.col("base")).alias("key"))
 
 
 @registered("""select d.doc_id, case when l.quality = 1 then 1 else 0 end as stage from documents d join labels l using (doc_id)
@@ -388,13 +388,19 @@ def catalog_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The n-th new entry of a normalised line takes the n-th old one; an old line is removed if the new catalog lacks it.
     """
-    old, new = catalogs(spark, sf_dir)
-    held = old.groupBy("norm").agg(F.count(F.lit(1)).alias("held"))
-    took = F.coalesce(F.col("n") <= F.col("held"), F.lit(False))
-    arrived = numbered(new, "norm").join(held, "norm", "left").groupBy("source").agg(F.count_if(took).alias("migrated"), F.count_if(~took).alias("new_entries"))
-    gone = old.join(new.select("norm").distinct().withColumn("there", F.lit(True)), "norm", "left").groupBy("source").agg(F.count_if(F.col("there").isNull()).alias("removed"))
-    both = arrived.join(gone, "source", "full_outer")
-    return both.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("migrated", "new_entries", "removed")])
+    entries = document_lines(spark, sf_dir).withColumn("norm", F.trim("line")).filter("norm <> ''").withColumn("old", F.expr("doc_id % 2 = 0"))
+    counts = entries.groupBy("norm", "source", "old").agg(F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy("norm")  # a row for each source and side at most
+    sides = counts.withColumn("held", F.sum(F.when(F.col("old"), F.col("n")).otherwise(0)).over(every)).withColumn("came", F.sum(F.when(~F.col("old"), F.col("n")).otherwise(0)).over(every))
+    # Only where some of a line's new entries find an old one and others don't does their order count.
+    partly = sides.filter("held > 0 and held < came").groupBy("norm").agg(F.max("held").alias("held"))
+    ordered = numbered(entries.filter("not old").join(partly.select("norm"), "norm", "left_semi"), "norm").join(partly, "norm")
+    n = F.col("n")
+    took = ordered.select("source", (n <= F.col("held")).cast("long").alias("migrated"), (n > F.col("held")).cast("long").alias("new_entries"), F.lit(0).alias("removed"))
+    whole = sides.filter("not (held > 0 and held < came) or old").select(
+        "source", F.when(F.expr("not old and held >= came"), n).otherwise(0).alias("migrated"), F.when(F.expr("not old and held = 0"), n).otherwise(0).alias("new_entries"), F.when(F.expr("old and came = 0"), n).otherwise(0).alias("removed")
+    )
+    return whole.unionByName(took).groupBy("source").agg(*[F.sum(c).alias(c) for c in ("migrated", "new_entries", "removed")])
 
 
 @registered("""select distinct lower(source) as word from documents union select distinct lower(lang) from documents where lang is not null union select distinct lower(event_type) from events""")

@@ -1,110 +1,13 @@
-"""Queries of the script operators over a small catalog kept here, and of the scanners over whole tables."""
+"""Queries that compare texts and fold over tags."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scanners as S
 from ..functions import text as T
-from ..operators import inject, match, scripts
-from ..operators.ordering import spread
-from ..operators.overlay import select_targets
-from .catalog import QUERIES, document_lines, read, registered
-
-__all__ = ["QUERIES"]
-
-SOURCES = {
-    "home.qsrc": "# home\nact 'Go ''out''': gt 'street', 'in'\n$x = 'Hello ' + $name + ', welcome!'\nif $args[0] = 'start':\n  msg 'You see <b>it</b> here.'\nend\n*pl 'One more line of text.'\n-\n",
-    "street.qsrc": "# street\n'The street is long.'\nif a = 1: gs 'shop'\n'img/street.png'\nact 'Back home':\n  gt 'home'\nend\n-\n",
-    "broken.qsrc": "# broken\nif a = 1:\n  'no end (here'\n-\n",
-    "lint.qsrc": "# other\n!! qlint:ignore=ARGSCOUNT\ngosub\ngosub\njump 'a', 'b'\n \t'mixed indent'\n-\n",
-}
-TRANSLATED = {
-    "home.qsrc": SOURCES["home.qsrc"].replace("'street'", "'road'").replace("'start'", "'begin'"),
-    "street.qsrc": SOURCES["street.qsrc"].replace("The street is long.", "Die Straße ist lang."),
-    "extra.qsrc": "# extra\n'new'\n-\n",
-}
-
-
-def texts(spark: SparkSession, of: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(of.items()), "path string, text string")
-
-
-def old_catalog(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("home.qsrc", 0, "home|act|Go_out", "Go ''out''", "Geh ''raus''", 1, "<<POS:00000013>>"),
-        ("home.qsrc", 1, "home|var|Hello", "'Hello ' + $who + ', welcome!'", "'Hallo ' + $who + ', willkommen!'", 5, ""),
-        ("home.qsrc", 2, "home|msg|You_see", "You see <b>it</b> there.", "Du siehst <b>es</b> dort.", 3, "<<POS:00000090>>"),
-        ("home.qsrc", 3, "home|text|gone", "This was cut from the script.", "Das fiel weg.", 1, ""),
-        ("gone.qsrc", 0, "gone|text|bye", "Good bye to the old file.", "Ade.", 1, ""),
-    ]
-    return spark.createDataFrame(rows, "path string, entry_idx int, key string, original string, translation string, stage int, context string")
-
-
-@registered()
-def extract_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.extract_entries(texts(spark, SOURCES))
-
-
-@registered()
-def sync_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.sync(scripts.extract_entries(texts(spark, SOURCES)), old_catalog(spark))
-
-
-@registered()
-def sync_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.sync_report(match.sync(scripts.extract_entries(texts(spark, SOURCES)), old_catalog(spark)))
-
-
-@registered()
-def splice_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = match.sync(scripts.extract_entries(texts(spark, SOURCES)), old_catalog(spark))
-    return inject.inject(texts(spark, SOURCES), merged.filter("status <> 'removed'"))
-
-
-@registered()
-def lint_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.syntax_issues(texts(spark, SOURCES))
-
-
-@registered()
-def reference_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.reference_drift(texts(spark, SOURCES), texts(spark, TRANSLATED))
-
-
-@registered()
-def locked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.checked(texts(spark, SOURCES), texts(spark, TRANSLATED))[1]
-
-
-@registered()
-def build_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.guard_drift(texts(spark, SOURCES), texts(spark, TRANSLATED | {"street.qsrc": "# street\nif x = 1:\n-\n"}))
-
-
-@registered()
-def select_mods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = spark.createDataFrame([(1, "Beta"), (2, "nope"), (3, "b")], "ord int, name string")
-    targets = spark.createDataFrame([(1, "alpha", ["alpha", "a"]), (2, "beta", ["beta", "b"])], "target_ord int, target string, aliases array<string>")
-    chosen, missing = select_targets(requests, targets)
-    return chosen.unionByName(missing, allowMissingColumns=True)
-
-
-@registered("select count(*) as n from pages")
-def precheck_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pages the pre-check lets through or blanks, a page's translation being itself."""
-    entries = read(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.lit("p|text|x").alias("key"), F.col("html").alias("original"), F.col("html").alias("translation"), F.lit(1).alias("stage"))
-    clean, reports = scripts.precheck(entries)
-    return clean.select("path").unionByName(reports.select("path")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@registered("select doc_id, length(text) as n_chars, 0::bigint as cut from documents where text is not null")
-def masked_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masking keeps every text's length, strings and comments included."""
-    docs = spread(read(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text"))
-    rows = scripts.map_texts(docs, lambda _, text: [(len(text), len(text) - len(S.masked(text)))], "path string, n_chars long, cut long")
-    return rows.select(F.col("path").cast("long").alias("doc_id"), "n_chars", "cut")
+from ..operators import match, scripts
+from .catalog import read, registered
 
 
 @registered()
@@ -135,15 +38,3 @@ def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("path"), "text", F.lag("text").over(w).alias("before")).filter("before is not null")
     return scripts.map_texts(t, lambda _, a, b: [(match.ratio(a, b),)], "path string, ratio int", ("path", "text", "before"))
-
-
-@registered("""select source, count(*) as lines from (select source, unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by source""")
-def kinds_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by source that the classifier of script lines doesn't call blank or else, but which have text."""
-    kinds = document_lines(spark, sf_dir).select("source", "line", T.line_kind(F.col("line"), F.lit(False)).alias("kind"))
-    return kinds.filter("line <> '' and kind is not null").groupBy("source").agg(F.count(F.lit(1)).alias("lines"))
-
-
-@registered()
-def script_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.unified(texts(spark, SOURCES), texts(spark, TRANSLATED))
