@@ -68,7 +68,7 @@ def normal(text):
 @pytest.mark.parametrize("keys", [1 << 13, 4])
 def test_exact_dedup(docs, rows, empty, monkeypatch, keys):
     monkeypatch.setattr(exactdedup, "KEYS", keys)
-    monkeypatch.setattr(common, "ROWS_A_PART", 2 if keys == 4 else 1 << 12)
+    monkeypatch.setattr(common, "ROWS_A_PART", 2 if keys == 4 else 1 << 10)
     got = exactdedup.find_groups(docs, exactdedup.newer_half(F.col("doc_id"))).collect()
     groups = {}
     for r in rows:
@@ -501,7 +501,7 @@ def test_licenses_keep_columns_of_any_name(spark):
 
 
 def test_components_with_a_heavy_node(spark, monkeypatch):
-    monkeypatch.setattr(components, "EDGES_A_PART", 10)
+    monkeypatch.setattr(common, "ROWS_A_PART", 10)
     edges = [(5, i) for i in range(6, 300)] + [(299, 1), (400, 401), (400, 401), (401, 399)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in (1, *range(5, 300))}, 399: 399, 400: 399, 401: 399}

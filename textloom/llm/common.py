@@ -60,23 +60,25 @@ def counted(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-#: A group with more rows than this is met in parts.
-ROWS_A_PART = 1 << 12
+#: Rows of a group that a task meets at least before the group is split.
+ROWS_A_PART = 1 << 10
 
 
-def met_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, most: int | None = None) -> DataFrame:
+def met_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], by: str) -> DataFrame:
     """Rows with the columns of their group; groups: a row for each key, with the number of its rows in ``n``.
 
     The row of a large group is copied to as many parts as its rows need, and its rows are dealt to them by a hash of
-    the column ``by``, so no task gathers a group. Other groups are joined as they are.
+    the column ``by``, so no task gathers a group. Other groups are joined as they are. Groups count as large from
+    ROWS_A_PART rows on, or from a BROADCAST_ROWS-th of all rows if that is more, so there are no more than
+    BROADCAST_ROWS of them to broadcast.
     """
-    most = most or ROWS_A_PART
+    most = max(ROWS_A_PART, -(-rows.count() // BROADCAST_ROWS))
     parts, part = fresh("parts"), fresh("part")
     number = groups.withColumn(parts, (F.col("n") / most).cast("int") + 1)
     heavy = durable(number.filter(F.col(parts) > 1).select(*keys, parts))
     if heavy.isEmpty():
         return rows.join(groups, keys)
-    dealt = rows.join(counted(heavy), keys, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
     copies = number.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
     return dealt.join(copies, [*keys, part]).drop(part)
 

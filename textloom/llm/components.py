@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges are rewritten until each node points at the least node of its component. All state stays in
-DataFrames and each step is written to the shared checkpoint folder. Nodes with more than ``EDGES_A_PART`` edges,
-and only these, meet theirs in parts by a hash of the other end, as many as their edges need.
+DataFrames and each step is written to the shared checkpoint folder. Nodes with very many edges, and only these, meet
+theirs in parts by a hash of the other end, as many as their edges need.
 
 Defined results: an edge from a node to itself, or with a null end, links nothing; repeated edges count once; a
 component of any size or shape is found whole, or an error says that it didn't settle; no edges give no rows.
@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import durable, met_in_parts
 
-MOST_STEPS, EDGES_A_PART = 60, 1 << 12
+MOST_STEPS = 60
 
 
 def with_least(around: DataFrame) -> DataFrame:
     """Edges (a, b) with m, the least of a and its neighbours."""
     ends = around.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("a", "m"))
-    return met_in_parts(around, ends, ["a"], "b", EDGES_A_PART).select("a", "b", "m")
+    return met_in_parts(around, ends, ["a"], "b").select("a", "b", "m")
 
 
 def pairs(*ends: tuple[str, str]) -> Column:
