@@ -16,7 +16,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINES = (
     "catalog_sync", "lines_exploded", "line_search", "visible_text", "markup_only_filter", "tag_signature_multiset", "keyword_profile", "slug_keys_deduped",
     "exact_match_pairs", "normalized_match", "tiered_match_best", "superseded_anti", "file_full_outer", "set_diff_references", "overlay_coalesce", "partial_stats",
-    "carry_forward_flag", "continuation_islands", "greedy_batches", "running_offset", "fuzzy_blocked_levenshtein", "sequence_similarity", "masked_length",
+    "carry_forward_flag", "continuation_islands", "greedy_batches", "running_offset", "fuzzy_blocked_levenshtein", "sequence_similarity", "masked_code",
+    "extract_literals", "lint_scripts", "reference_drift", "build_guard",
 )
 RUNS = 3
 
