@@ -64,22 +64,24 @@ def counted(keys: DataFrame) -> DataFrame:
 ROWS_A_PART = 1 << 10
 
 
-def met_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], by: str) -> DataFrame:
+def met_in_parts(rows: DataFrame, groups: DataFrame, keys: list[str], by: str, sizes: DataFrame | None = None) -> DataFrame:
     """Rows with the columns of their group; groups: a row for each key, with the number of its rows in ``n``.
 
     The row of a large group is copied to as many parts as its rows need, and its rows are dealt to them by a hash of
     the column ``by``, so no task gathers a group. Other groups are joined as they are. Groups count as large from
     ROWS_A_PART rows on, or from a BROADCAST_ROWS-th of all rows if that is more, so there are no more than
-    BROADCAST_ROWS of them to broadcast.
+    BROADCAST_ROWS of them to broadcast. Where groups are costly to make, sizes gives their keys and ``n`` at less cost.
     """
-    most = max(ROWS_A_PART, -(-rows.count() // BROADCAST_ROWS))
-    parts, part = fresh("parts"), fresh("part")
-    number = groups.withColumn(parts, (F.col("n") / most).cast("int") + 1)
-    heavy = durable(number.filter(F.col(parts) > 1).select(*keys, parts))
-    if heavy.isEmpty():
+    sizes = (groups if sizes is None else sizes).select(*keys, "n")
+    whole = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("largest")).first()
+    most = max(ROWS_A_PART, -(-whole["rows"] // BROADCAST_ROWS))
+    if whole["largest"] < most:
         return rows.join(groups, keys)
+    parts, part = fresh("parts"), fresh("part")
+    needed = (F.col("n") / most).cast("int") + 1
+    heavy = durable(sizes.filter(F.col("n") >= most).select(*keys, needed.alias(parts)))
     dealt = rows.join(F.broadcast(heavy), keys, "left").withColumn(part, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
-    copies = number.withColumn(part, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
+    copies = groups.withColumn(part, F.explode(F.sequence(F.lit(0), needed - 1)))
     return dealt.join(copies, [*keys, part]).drop(part)
 
 

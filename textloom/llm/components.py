@@ -40,16 +40,20 @@ def star(edges: DataFrame, both_ways: bool) -> DataFrame:
     return new.filter("a <> b").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge down at most, and none of those at a lower end has one; edges have a > b."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down")))).alias("e")
+    nodes = edges.select(ends).groupBy("e.node").agg(F.sum("e.down").alias("down"), F.min("e.down").alias("least"))
+    return nodes.filter("down > 1 or (down = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); the root is the least node that it reaches. No edges, no rows."""
     now = durable(edges.select("a", "b").filter("a <> b").distinct())
-    before = None
     for _ in range(MOST_STEPS):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
         now = durable(star(durable(star(now, True)), False))
+        if settled(now):
+            break
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

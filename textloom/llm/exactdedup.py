@@ -150,7 +150,7 @@ def screen_batch(docs: DataFrame, folder: str, snapshot_texts: DataFrame) -> Dat
     held = compare(docs.sparkSession, folder, new, both).select("digest", F.col("old.doc_id").alias("old_id"), "old_n")
     final = new.join(held, "digest", "left")
     there = F.col("old_n").isNotNull()
-    return met_in_parts(rows, final, ["digest"], row).select(
+    return met_in_parts(rows, final, ["digest"], row, new).select(
         "doc_id",
         "digest",
         F.when(there, F.col("old_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
@@ -172,7 +172,7 @@ def find_groups(docs: DataFrame, incoming: Column) -> DataFrame:
     merged = compare(spark, folder, new, docs).select("digest", F.greatest("old", "new").alias("all_best"), (F.col("old_n") + F.col("new_n")).alias("all_n"))
     groups = spark.read.parquet(f"{folder}/groups").withColumn("incoming", F.lit(False)).unionByName(new.withColumn("incoming", F.lit(True)))
     final = groups.join(merged, "digest", "left").select("digest", "incoming", "n", F.coalesce("all_best", "best").alias("best"), F.coalesce("all_n", "n").alias("group_size"))
-    return met_in_parts(rows, final, ["digest", "incoming"], "row").select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
+    return met_in_parts(rows, final, ["digest", "incoming"], "row", groups).select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
 
 def newer_half(ids: Column) -> Column:
