@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, once, texts_of
+from .common import fresh, give_back, map_batches, once, texts_of
 
 UNKNOWN = "und"
 #: Labelled rows that a language's training reads about at most, dimensions, centroids for each language.
@@ -185,6 +185,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    give_back()  # what fitting took of the driver's memory
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x centroids x dimensions
     key = fresh("centroids")
 
@@ -215,6 +216,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents, all columns, that are not rejected."""
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = fresh("centroids")
 

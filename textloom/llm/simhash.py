@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted, durable, fresh, map_batches, texts_of
+from .common import counted, durable, fresh, give_back, map_batches, texts_of
 from .components import components
 from .exactdedup import text_digest
 from .fuse import mix
@@ -247,6 +247,8 @@ def rarity(held: DataFrame) -> np.ndarray:
     found = held.select("hashes").mapInArrow(tally, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.uint32)
     counts[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 32) - 1)
+    del found
+    give_back()
     return counts
 
 
