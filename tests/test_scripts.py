@@ -235,3 +235,30 @@ def test_commands(spark, tmp_path, capsys):
     assert code == 1 and out["locked"] == 1 and out["issues"]["SYNTAX"] >= 1
     out = run("overlay", "--source", str(src), "--translated", str(tmp_path / "done"), "--output", str(tmp_path / "build"))[1]
     assert out == {"files": 4, "overlaid": 3}
+
+
+def test_skips_tell_their_cause(spark):
+    text = "# a\nmsg 'Hello'\n*pl 'Bye <<$x>>'\n-\n"
+    payload = "<<POS:{}>> <<RANGE_END:{}>> <<TPL:{}>>"
+    rows = [
+        ("a.qsrc", 0, "k0", "Hello", "Hola", 1, "<<POS:00000010>>"),
+        ("a.qsrc", 1, "k1", "Hello", "Hola", 1, ""),
+        ("a.qsrc", 2, "k2", "Nowhere", "x", 1, "<<POS:00000010>>"),
+        ("a.qsrc", 3, "k3", "Hello", "x", 0, "<<POS:00000010>>"),
+        ("a.qsrc", 4, "k4", "Bye <<$x>>", "Adios", 1, "<<POS:00000022>>"),
+        ("a.qsrc", 5, "k5", "Hola", "it's", 1, "<<POS:00000010>>"),
+        ("a.qsrc", 6, "k6", "Hello", "x", 1, payload.format("00000010", "00000005", "eyJzb3VyY2UiOiAieCJ9")),
+        ("none.qsrc", 0, "k7", "Hello", "x", 1, "<<POS:00000010>>"),
+    ]
+    entries = spark.createDataFrame(rows, "path string, entry_idx int, key string, original string, translation string, stage int, context string")
+    done = inject.inject(spark.createDataFrame([("a.qsrc", text)], "path string, text string"), entries)
+    told = {(r["key"], r["severity"], r["code"]) for r in inject.issues_of(done).collect()}
+    assert told == {
+        ("k1", "error", "NO_POSITION"),
+        ("k2", "error", "NOT_FOUND"),
+        ("k4", "warning", "SYMBOLS_DIFFER"),
+        ("k5", "error", "BROKEN_LINES"),
+        ("k6", "error", "INCOMPLETE_CONTEXT"),
+        (None, "error", "SOURCE_MISSING"),
+    }
+    assert {r["path"]: r["applied"] for r in done.collect()} == {"a.qsrc": 2, "none.qsrc": 0}

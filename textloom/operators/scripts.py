@@ -55,11 +55,12 @@ class LintConfig:
 
     @classmethod
     def of(cls, raw: object) -> LintConfig:
-        if not isinstance(raw, dict):
-            return cls()
-        disabled = raw.get("disabled_rules", raw.get("disable", []))
-        names = {str(x).strip() for x in disabled} - {""} if isinstance(disabled, list) else set()
-        return cls(frozenset(names), bool(raw.get("warning_as_error", False)), int(raw.get("max_line_length", 180)), bool(raw.get("enable_project_style_passes", True)))
+        """What a parsed file says, under its own names; what it leaves out keeps its default."""
+        given = raw if isinstance(raw, dict) else {}
+        kinds = {"warning_as_error": ("warning_as_error", bool), "max_line_length": ("max_line_length", int), "enable_project_style_passes": ("style", bool)}
+        known = {field_: kind(given[name]) for name, (field_, kind) in kinds.items() if name in given}
+        listed = given.get("disabled_rules", given.get("disable"))
+        return cls(frozenset(filter(None, map(str.strip, map(str, listed if isinstance(listed, list) else ())))), **known)
 
 
 Issue = tuple[str, int, str, str]
@@ -159,50 +160,68 @@ def ignored(lines: list[S.Logical]) -> Callable[[str, int], bool]:
     return lambda code, line: not ({code, "*"} & by_line.get(line, set()))
 
 
+# What isn't a statement: nothing, text that is shown, markup, and assignments.
+NO_STATEMENT = re.compile(r"""\Z|['"]|<<|\*nl|\*pl|(?!(?:if|elseif|act|for|set|let|local)\b)[^=]*=""", re.IGNORECASE)
+LEADING_ALIAS = re.compile(rf"(?:{'|'.join(map(re.escape, LONGEST_FIRST))})(?!\S)", re.IGNORECASE)
+OF_BLOCK = re.compile(r"([A-Z]+)_(?:INLINE|BLOCK)")
+TAKES_EXPRESSION = {"if", "elseif", "for", "act"}
+
+
 def lint_command(command: str, kind: str) -> str | None:
-    """What is wrong with a command's arguments, if anything."""
+    """What is wrong with a command's arguments, if anything; in a line that opens a block, the block's word is the statement."""
     bare = command.strip()
-    if not bare or bare.startswith(("'", '"', "<<", "*nl", "*pl")):
-        return None
-    if "=" in bare and not re.match(r"(if|elseif|act|for|set|let|local)\b", bare, re.IGNORECASE):
+    if NO_STATEMENT.match(bare):
         return None
     colon = S.code_colon(bare)
-    head = bare if colon < 0 else bare[:colon]
-    word = kind.split("_")[0].lower()
-    low = head.strip().casefold()
-    alias = word if kind.endswith(("_INLINE", "_BLOCK")) else next((a for a in LONGEST_FIRST if low.startswith(a) and (len(low) == len(a) or low[len(a)].isspace())), None)
-    if alias is None:
+    head = bare[: len(bare) if colon < 0 else colon].strip()
+    leading = OF_BLOCK.fullmatch(kind)
+    if not leading and not (leading := LEADING_ALIAS.match(head)):
         return None
+    alias = leading[leading.re.groups].casefold()
     name, least, most = BY_ALIAS[alias]
-    if name in ("if", "elseif", "for", "act"):
+    if name in TAKES_EXPRESSION:
         return None if head[len(alias) :].strip() else f"{alias} without its expression"
-    n = len(S.arguments(bare[len(alias) :])) if bare[len(alias) :].strip() else 0
-    return None if least <= n <= most or name in ANY_NUMBER else f"{alias} has {n} arguments, takes {least} to {most}"
+    given = bare[len(alias) :].strip()
+    n = len(S.arguments(given)) if given else 0
+    return None if name in ANY_NUMBER or least <= n <= most else f"{alias} has {n} arguments, takes {least} to {most}"
+
+
+Script = tuple[list[S.Logical], str, str, LintConfig]
+
+
+def structure_issues(script: Script) -> Iterator[Issue]:
+    marks = {kind: [x.start for x in script[0] if x.kind == kind] for kind in ("HEADER", "FOOTER")}
+    if len(marks["HEADER"]) != len(marks["FOOTER"]):
+        yield "ENDNOTFOUND", (marks["HEADER"] or marks["FOOTER"])[-1], "error", "headers and footers differ in number"
+
+
+def statement_issues(script: Script) -> Iterator[Issue]:
+    judged = ((x.start, lint_command(c, x.kind)) for x in script[0] if x.kind not in NOT_LINTED for c in S.commands(x.text))
+    return (("ARGSCOUNT", line, "warning", why) for line, why in judged if why)
+
+
+def style_issues(script: Script) -> Iterator[Issue]:
+    lines, location, path, config = script
+    if path and location and stem(path).casefold() != location.casefold():
+        yield "LOCATION_NAME_DRIFT", 1, "warning", f"file {stem(path)} holds {location}"
+    limit = max(40, config.max_line_length)
+    for x in lines:
+        if re.match(r" +\t|\t+ ", x.text):
+            yield "SYNTAX", x.start, "warning", "spaces and tabs in one indent"
+        width = max(map(len, x.text.splitlines()), default=0)
+        if width > limit:
+            yield "SYNTAX", x.start, "warning", f"line of {width}, limit {limit}"
+
+
+ISSUES_BY_RULE = dict(zip(RULES, (structure_issues, statement_issues, style_issues), strict=True))
 
 
 def lint(lines: list[S.Logical], location: str, path: str, config: LintConfig) -> list[Issue]:
+    """Issues by the rules that are on, without those that comments switch off."""
+    on = [r for r in RULES if r not in config.disabled_rules and (config.style or r != "style")]
     allowed = ignored(lines)
-    found: list[Issue] = []
-    if "structure" not in config.disabled_rules:
-        heads, feet = ([x for x in lines if x.kind == k] for k in ("HEADER", "FOOTER"))
-        if len(heads) != len(feet):
-            found.append(("ENDNOTFOUND", (heads or feet)[-1].start, "error", "headers and footers differ in number"))
-    if "statement" not in config.disabled_rules:
-        for x in lines:
-            if x.kind not in NOT_LINTED:
-                found += [("ARGSCOUNT", x.start, "warning", why) for c in S.commands(x.text) if (why := lint_command(c, x.kind))]
-    if "style" not in config.disabled_rules and config.style:
-        if path and location and stem(path).casefold() != location.casefold():
-            found.append(("LOCATION_NAME_DRIFT", 1, "warning", f"file {stem(path)} holds {location}"))
-        widest = max(40, config.max_line_length)
-        for x in lines:
-            indent = x.text[: len(x.text) - len(x.text.lstrip(" \t"))]
-            if " " in indent and "\t" in indent:
-                found.append(("SYNTAX", x.start, "warning", "spaces and tabs in one indent"))
-            if x.text and (width := max(map(len, x.text.splitlines()))) > widest:
-                found.append(("SYNTAX", x.start, "warning", f"line of {width}, limit {widest}"))
-    kept = [i for i in found if allowed(i[0], i[1])]
-    return [(c, n, "error", m) for c, n, _, m in kept] if config.warning_as_error else kept
+    found = [i for rule in on for i in ISSUES_BY_RULE[rule]((lines, location, path, config)) if allowed(i[0], i[1])]
+    return [(code, line, "error", message) for code, line, _, message in found] if config.warning_as_error else found
 
 
 def check_text(text: str, name: str = "", path: str = "", config: LintConfig = LintConfig()) -> list[Issue]:

@@ -246,7 +246,15 @@ INJECTED = f"""select path, case when doc_id % 19 = 0 then '' when doc_id % 13 i
 def splice_inject(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scripts with their translations: what breaks a line is skipped, a script that is broken stays as it was."""
     source = document_scripts(spark, sf_dir).filter("doc_id % 19 <> 0")
-    return inject.inject(source, translated_entries(spark, sf_dir))
+    return inject.inject(source, translated_entries(spark, sf_dir)).drop("issues")
+
+
+@registered(f"""with {ENTRIES} select path, key, case when template then 'EXPRESSIONS_CHANGED' else 'BROKEN_LINES' end as code from entries where doc_id % 19 <> 0 and (entry_idx % 5 = 3 or entry_idx % 5 = 0 and template)
+  union all select path, null, 'SOURCE_MISSING' from src where doc_id % 19 = 0 union all select path, null, 'ROLLED_BACK' from src where doc_id % 19 <> 0 and doc_id % 13 in {BROKEN}""")
+def injection_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why entries were skipped and scripts rolled back."""
+    source = document_scripts(spark, sf_dir).filter("doc_id % 19 <> 0")
+    return inject.issues_of(inject.inject(source, translated_entries(spark, sf_dir))).filter("severity = 'error'").select("path", "key", "code")
 
 
 @registered(f"with {REWRITTEN}, done as ({INJECTED}) select path, done.text is distinct from s.text as changed, lower(done.text) = lower(s.text) as same_but_case from done join texts s using (path)")
