@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from difflib import SequenceMatcher
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import match, scripts
+from ..operators import scripts
+from ..operators.ordering import spread
+from ..operators.similar import EDITS, SHORTEST, near_pairs
 from .catalog import read, registered
 
 
@@ -22,19 +26,27 @@ def block_balance_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("page_id", F.expr(fold).alias("s")).select("page_id", F.col("s.bad").alias("unmatched"), F.size("s.stack").alias("left_open"))
 
 
-@registered(r"""with a as (select conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') as text from conversations), t as (select *, lag(text) over (partition by conv_id order by turn) as before from a)
-  select conv_id, turn, round(1.0 - levenshtein(text, before) / greatest(length(text), length(before), 1), 6) as similarity from t where before is not null""")
+def near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(block, a, b, edits): lines of all documents of a language that are two edits apart at most; letters beyond ASCII count as one."""
+    docs = spread(read(spark, sf_dir, "documents").select("lang", "text"))
+    lines = docs.select(F.col("lang").alias("block"), F.explode(F.split("text", "\n", -1)).alias("line"))
+    return near_pairs(lines.select("block", F.regexp_replace("line", "[^ -~]", "?").alias("text")))
+
+
+@registered(f"""with l as (select distinct lang, regexp_replace(line, '[^ -~]', '?', 'g') as line from (select lang, unnest(string_split(text, chr(10))) as line from documents)),
+  n as (select coalesce(lang, chr(0)) as lang, line, length(line) as n, length(line) // {EDITS + 1} as k from l where length(line) >= {SHORTEST}),
+  m as (select a.lang, a.line as x, b.line as y, [a.line[i * a.k + 1 : case when i = {EDITS} then a.n else (i + 1) * a.k end] for i in range({EDITS + 1})] as cuts
+    from (select *, unnest(range({EDITS + 1})) as more from n) a join n b on a.lang = b.lang and b.n = a.n + more and (more > 0 or a.line < b.line)),
+  p as (select nullif(lang, chr(0)) as lang, least(x, y) as a, greatest(x, y) as b, case when len([c for c in cuts if contains(y, c)]) > 0 then levenshtein(x, y) else {EDITS} + 1 end as edits from m)
+  select lang, md5(a) as first, md5(b) as second, edits, round(1.0 - edits / greatest(length(a), length(b)), 6) as similarity from p where edits <= {EDITS}""")
 def fuzzy_blocked_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit similarity of neighbouring turns; the block is the conversation. Letters beyond ASCII count as one."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "?").alias("text")).withColumn("before", F.lag("text").over(w)).filter("before is not null")
-    longest = F.greatest(F.char_length("text"), F.char_length("before"), F.lit(1))
-    return t.select("conv_id", "turn", F.round(1.0 - F.levenshtein("text", "before") / longest, 6).alias("similarity"))
+    """Edit similarity of near lines; the block is the language, and pieces of lines of one length within it."""
+    longest = F.greatest(F.length("a"), F.length("b"))
+    return near_lines(spark, sf_dir).select(F.col("block").alias("lang"), F.md5("a").alias("first"), F.md5("b").alias("second"), F.col("edits").cast("long").alias("edits"), F.round(1.0 - F.col("edits") / longest, 6).alias("similarity"))
 
 
 @registered()
 def sequence_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratio of neighbouring turns by longest common subsequence, in Arrow batches."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    t = read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("path"), "text", F.lag("text").over(w).alias("before")).filter("before is not null")
-    return scripts.map_texts(t, lambda _, a, b: [(match.ratio(a, b),)], "path string, ratio int", ("path", "text", "before"))
+    """Ratio of matching stretches of near lines, in Arrow batches."""
+    pairs = near_lines(spark, sf_dir).select(F.concat_ws("|", F.coalesce("block", F.lit("")), F.md5("a"), F.md5("b")).alias("path"), "a", "b")
+    return scripts.map_texts(pairs, lambda _, a, b: [(SequenceMatcher(None, a, b).ratio(),)], "path string, ratio double", ("path", "a", "b"))
