@@ -10,6 +10,7 @@ from fixtures import SOURCES, old_catalog, texts  # noqa: E402
 
 from textloom.functions import scanners as S  # noqa: E402
 from textloom.operators import inject, match, ordering, scripts  # noqa: E402
+from textloom.sources import files  # noqa: E402
 
 
 def test_concat():
@@ -262,3 +263,15 @@ def test_skips_tell_their_cause(spark):
         (None, "error", "SOURCE_MISSING"),
     }
     assert {r["path"]: r["applied"] for r in done.collect()} == {"a.qsrc": 2, "none.qsrc": 0}
+
+
+def test_archive_of_issues(spark, tmp_path):
+    rows = [("a/b.qsrc", 7, "SYNTAX", "error", "second"), ("a/b.qsrc", None, "SYNTAX", "warning", "first"), ("/else/where.qsrc", 1, "X", "error", "--- old"), ("../up.qsrc", 1, "X", "error", "m"), (None, 1, "X", "error", "m"), ("", 2, "X", "error", "m")]
+    files.write_issues(spark.createDataFrame(rows, "path string, line int, code string, severity string, message string"), str(tmp_path), "check")
+    found = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.diff")}
+    assert found == {
+        "check/a/b.qsrc.diff": "# warning SYNTAX\n#   first\n# error SYNTAX line 7\n#   second",
+        "check/_external/where.qsrc.diff": "# error X line 1\n--- old",
+        "check/_external/up.qsrc.diff": "# error X line 1\n#   m",
+        "check/_misc/unknown.diff": "# error X line 1\n#   m\n# error X line 2\n#   m",
+    }

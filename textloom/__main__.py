@@ -3,8 +3,8 @@
     python -m textloom extract --source scripts --output entries
     python -m textloom sync --source scripts --old entries --output synced
     python -m textloom precheck --entries entries --output clean [--mode fast]
-    python -m textloom inject --source scripts --entries clean --output translated [--copy-source]
-    python -m textloom check --source scripts --translated translated [--strict]
+    python -m textloom inject --source scripts --entries clean --output translated [--copy-source] [--errors archive]
+    python -m textloom check --source scripts --translated translated [--strict] [--errors archive]
     python -m textloom overlay --source scripts --translated translated --output build
 """
 
@@ -52,6 +52,9 @@ def inject_all(spark: SparkSession, a: argparse.Namespace) -> dict:
     changed = done.join(source.select("path", F.col("text").alias("before")), "path").filter(~F.col("text").eqNullSafe(F.col("before")))
     _, locked = scripts.checked(source, changed.select("path", "text"))
     final = inject.survivors(source, done, locked).persist()
+    if a.errors:
+        told = inject.issues_of(done).withColumn("message", F.concat_ws(": ", "key", "message")).withColumn("line", F.lit(None).cast("int"))
+        files.write_issues(told, a.errors, "inject")
     files.write_texts(overlay(source, final, locked.limit(0), "path", "text") if a.copy_source else final, a.output)
     total = done.agg(F.sum("applied").alias("applied"), F.sum("skipped").alias("skipped"), F.count_if("rolled_back").alias("rolled_back")).first()
     return {**total.asDict(), "files": final.count(), "locked": final.filter("locked").count()}
@@ -60,6 +63,8 @@ def inject_all(spark: SparkSession, a: argparse.Namespace) -> dict:
 def check(spark: SparkSession, a: argparse.Namespace) -> dict:
     source, translated = files.scripts(spark, a.source), files.scripts(spark, a.translated)
     issues, locked = scripts.checked(source, translated, files.lint_config(a.source))
+    if a.errors:
+        files.write_issues(issues, a.errors, "check")
     codes = {r["code"]: r["n"] for r in issues.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy("code").collect()}
     guard = scripts.guard_drift(source, translated).select("path").distinct().count() if a.strict else 0
     return {"files": translated.count(), "locked": locked.count(), "drifted": guard, "issues": codes}
@@ -93,6 +98,8 @@ def main(arguments: list[str]) -> int:
         own.add_argument("--concurrency", default="*")
     commands.choices["precheck"].add_argument("--mode", choices=("fast", "balanced", "strict"), default="balanced")
     commands.choices["inject"].add_argument("--copy-source", action="store_true")
+    for name in ("inject", "check"):
+        commands.choices[name].add_argument("--errors", help="folder for an archive of issues")
     commands.choices["check"].add_argument("--strict", action="store_true")
     a = parser.parse_args(arguments)
     result = COMMANDS[a.command][0](session(cores=a.concurrency), a)

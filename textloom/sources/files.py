@@ -133,12 +133,26 @@ def write_sync(merged: DataFrame, root: str) -> dict:
 
 def issue_lines(issues: DataFrame) -> DataFrame:
     """(path, report): the text of an error archive for each path; details that look like a diff stand as they are."""
-    head = F.concat(F.lit("# "), "severity", F.lit(" "), "code", F.lit(" line "), F.col("line").cast("string"))
+    place = F.coalesce(F.concat(F.lit(" line "), F.col("line").cast("string")), F.lit(""))
+    head = F.concat(F.lit("# "), "severity", F.lit(" "), "code", place)
     body = F.when(F.col("message").rlike(r"^(---|\+\+\+|@@|[-+ ])"), F.col("message")).otherwise(F.concat(F.lit("#   "), "message"))
     rows = issues.select("path", "line", "code", F.concat_ws("\n", head, body).alias("block"))
     return rows.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("line", "code", "block"))).getField("block"), "\n").alias("report"))
 
 
+def archive_path(path: Column, category: str) -> Column:
+    """Where the issues of a path lie in an archive; paths outside the root by their name alone, unknown ones together."""
+    outside = path.rlike(r"^([A-Za-z]:)?[/\\]|(^|/)\.\.(/|$)")
+    inner = F.when(F.coalesce(F.trim(path), F.lit("")) == "", "_misc/unknown").when(outside, F.concat(F.lit("_external/"), F.regexp_extract(path, r"([^/\\]*)$", 1))).otherwise(path)
+    return F.concat(F.lit(f"{category}/"), inner, F.lit(".diff"))
+
+
+def write_issues(issues: DataFrame, root: str, category: str) -> None:
+    """An archive file for each path below the category, in place of one of an earlier run; issues without a line come first."""
+    placed = issues.withColumn("path", archive_path(F.col("path"), category))
+    write_texts(issue_lines(placed).withColumnRenamed("report", "text"), root)
+
+
 def lint_config(start: str) -> LintConfig:
     """The nearest configuration file at or above a folder; none or a broken one gives the defaults."""
     here = Path(start).resolve()
