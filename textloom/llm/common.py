@@ -45,6 +45,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, stem: str) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder, smaller than a checkpoint; it goes when the application ends."""
+    spark, folder = df.sparkSession, f"{checkpoint_folder(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    removed_at_end(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def removed_at_end(spark: SparkSession, folder: str) -> None:
+    """Has a folder of intermediate tables deleted when the driver's application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of intermediate tables on whatever file system it lies."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
