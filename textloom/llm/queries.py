@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, exactdedup, language, licenses, merkle, oracles, packing, secrets, sharding, simhash, sketch, tokencount
+from . import alignment, bpe, exactdedup, language, licenses, merkle, oracles, packing, repeats, secrets, sharding, simhash, sketch, tokencount
 from .common import table
 
 
@@ -66,6 +66,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"), tampered, F.col("n_chars") + 1)
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_sharding": op2_sharding,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_alignment": op11_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = oracles.ORACLES
