@@ -73,15 +73,26 @@ def test_alignment(spark, docs, short, empty):
         text = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
         want.append((r[0], len(a), len(b), len(groups), len(links), sum(n == t for n, t in counts), sum(n for n, _ in counts), sha(text) if a else ""))
     for frequent in (10, alignment.FREQUENT):  # whatever tier a pair's count comes by
-        got = alignment.align_counts(frame, A, B, frequent).collect()
+        got = alignment.align_counts(frame, A, P.PATTERN, B, frequent).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
-    assert alignment.align_counts(empty, A, B).count() == 0
+    assert alignment.align_counts(empty, A, P.PATTERN, B).count() == 0
     assert sum(not w[1] for w in want) >= 4 and any(w[5] < w[4] for w in want)
 
 
+def test_vocabulary_by_ranks():
+    """Every code point, alone and beside letters, digits, white space and apostrophes, encodes as by the library of A's file."""
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    mine = alignment.Aligner(open(A).read(), P.PATTERN, open(B, "rb").read())
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for beside in ("", "a", "1", " ", "!", "'"):
+        text = "".join(c + beside for c in every)
+        assert mine.a_ids[mine.a.encode_ordinary(text)].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_alignment_lists(spark, docs, short):
     frame = spark.createDataFrame(short, docs.schema).repartition(2)
-    got = alignment.align(frame, A, B).collect()
+    got = alignment.align(frame, A, P.PATTERN, B).collect()
     want = []
     for r, (a, b, groups, links) in zip(short, plain_alignment([r[1] for r in short]), strict=True):
         ends = lambda side: [sum(len(g[side]) for g in groups[: k + 1]) for k in range(len(groups))]  # noqa: B023, E731
@@ -91,7 +102,7 @@ def test_alignment_lists(spark, docs, short):
 
 def test_alignment_of_long_texts(spark, docs, rows):
     """Where tokens tile the same bytes, links, groups and tokens have a fixed relation."""
-    for r in alignment.align_counts(docs, A, B).filter("n_a > 1000").collect():
+    for r in alignment.align_counts(docs, A, P.PATTERN, B).filter("n_a > 1000").collect():
         assert r.n_links == r.n_a + r.n_b - r.n_groups and r.n_groups > 0
 
 

@@ -1,5 +1,7 @@
 """Alignment of two tokenizers over the same bytes, and which token of B stands for which of A.
 
+A is a byte-level vocabulary with the pattern of its pre-tokenisation, B a sentence-piece model.
+
 The tokens of B tile a text, so the ends of their byte ranges are a static interval index. Two bisections for each
 token of A (where it begins, where its last byte lies) stab the index and give the tokens of B that it overlaps; a
 gap between two tokens of B that no token of A spans is the boundary of a group. All texts of a batch lie in one
@@ -18,19 +20,19 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-import os
-from itertools import pairwise
+from collections.abc import Callable
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import durable, fresh, map_batches, once, texts_of, written
-from .words import byte_letters
+from .words import Words
 
 #: Pairs whose counts are broadcast.
 FREQUENT = 1 << 17
@@ -62,25 +64,21 @@ class Aligned:
 class Aligner:
     """A worker's two tokenizers, with the bytes of every id."""
 
-    def __init__(self, a_vocabulary: str, b_model: bytes) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
-        self.a, self.b = Tokenizer.from_str(a_vocabulary), sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        self.a.encode_special_tokens = True
-        letters = byte_letters()
-        self.a_bytes = [self.raw(self.a.id_to_token(i) or "", letters) for i in range(self.a.get_vocab_size())]
+    def __init__(self, a_vocabulary: str, pattern: str, b_model: bytes) -> None:
+        words = Words(a_vocabulary)
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        ranks = words.codec._mergeable_ranks
+        self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})  # the tokenizer's own library takes four times as long
+        self.a_ids, self.a_bytes = words.ids, sorted(ranks, key=ranks.__getitem__)
         single = {BYTE.format(b): bytes([b]) for b in range(256)}
         pieces = map(self.b.id_to_piece, range(self.b.vocab_size()))
         self.b_bytes = [single[p] if p in single else p.replace(SPACE, " ").encode() for p in pieces]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
-        self.written = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
-
-    @staticmethod
-    def raw(token: str, letters: dict[str, int]) -> bytes:
-        return bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+        self.written = [f"{i}{mark}" for mark in ",|;" for i in range(max(int(self.a_ids.max()) + 1, len(self.b_bytes)))]
 
     def of(self, texts: list[str]) -> tuple[list[int], Aligned]:
         """Which of the texts have tokens, and their alignment."""
-        found_a = [e.ids for e in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        found_a = [self.a.encode_ordinary(f" {t}") for t in texts]
         found_b = self.b.encode(texts, num_threads=1) if texts else []
         held, a, b = [], [], []
         for k, (text, own_a, own_b) in enumerate(zip(texts, found_a, found_b, strict=True)):
@@ -89,10 +87,10 @@ class Aligner:
                 held.append(k)
                 a.append(own_a)
                 b.append(own_b)
-        flat = lambda side: np.array([i for own in side for i in own], np.int64)
+        flat = lambda side: np.fromiter(chain.from_iterable(side), np.int64, sum(map(len, side)))
         ends = lambda side: np.cumsum([len(own) for own in side], dtype=np.int64)
-        ids_a, ids_b = flat(a), flat(b)
-        return held, Aligned(ids_a, np.cumsum(self.a_sizes[ids_a]), ends(a), ids_b, np.cumsum(self.b_sizes[ids_b]), ends(b))
+        ranks_a, ids_b = flat(a), flat(b)
+        return held, Aligned(self.a_ids[ranks_a], np.cumsum(self.a_sizes[ranks_a]), ends(a), ids_b, np.cumsum(self.b_sizes[ids_b]), ends(b))
 
     def groups_written(self, x: Aligned) -> list[str]:
         """Each text's groups as ``a1,a2|b1;a3|b2,b3``: all tokens in the order in which they are written, each with the mark behind it."""
@@ -109,9 +107,9 @@ class Aligner:
         return ["".join(map(self.written.__getitem__, codes[i:j].tolist()))[:-1] for i, j in pairwise(texts)]
 
 
-def shared_aligner(docs: DataFrame, a_path: str, b_path: str):
+def shared_aligner(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> Callable[[], Aligner]:
     """How a worker gets its tokenizers; both files are bounded by their vocabularies."""
-    shared = docs.sparkSession.sparkContext.broadcast((Path(a_path).read_text(), Path(b_path).read_bytes()))
+    shared = docs.sparkSession.sparkContext.broadcast((Path(a_path).read_text(), pattern, Path(b_path).read_bytes()))
     key = fresh("aligner")
     return lambda: once(key, lambda: Aligner(*shared.value))
 
@@ -123,12 +121,12 @@ def lists(ends: np.ndarray, values: np.ndarray, held: list[int], rows: int, kind
     return pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
 
 
-def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def align(docs: DataFrame, a_path: str, pattern: str, b_path: str) -> DataFrame:
     """A row for each document: the ids of both sides, behind which tokens of either side a group ends, and the links.
 
     ``link_a`` and ``link_b`` are places in ``a_ids`` and ``b_ids`` of all tokens that share a byte.
     """
-    aligner = shared_aligner(docs, a_path, b_path)
+    aligner = shared_aligner(docs, a_path, pattern, b_path)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
@@ -145,10 +143,10 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), work, f"doc_id long, {kinds}")
 
 
-def linked_pairs(docs: DataFrame, row: str, a_path: str, b_path: str) -> DataFrame:
+def linked_pairs(docs: DataFrame, row: str, a_path: str, pattern: str, b_path: str) -> DataFrame:
     """A row for each document: counts, the digest of its groups, its distinct linked id pairs (``a * stride + b``) and how often each is linked."""
-    aligner, stride = shared_aligner(docs, a_path, b_path), sentencepiece.SentencePieceProcessor(model_file=b_path).vocab_size()
-    small = Tokenizer.from_file(a_path).get_vocab_size() * stride < 1 << 31
+    aligner, stride = shared_aligner(docs, a_path, pattern, b_path), sentencepiece.SentencePieceProcessor(model_file=b_path).vocab_size()
+    small = (int(Words(Path(a_path).read_text()).ids.max()) + 1) * stride < 1 << 31
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
@@ -185,10 +183,10 @@ def pair_counts(linked: DataFrame, stride: int) -> DataFrame:
     return counts.join(F.broadcast(highest), a == F.col("a")).select("pair", "n", (F.col("n") == F.col("top")).alias("best"))
 
 
-def align_counts(docs: DataFrame, a_path: str, b_path: str, frequent: int = FREQUENT) -> DataFrame:
+def align_counts(docs: DataFrame, a_path: str, pattern: str, b_path: str, frequent: int = FREQUENT) -> DataFrame:
     """A row for each document: tokens, groups, links, links to the best partner of their A id, sum of the links' counts."""
     row, stride = fresh("row"), sentencepiece.SentencePieceProcessor(model_file=b_path).vocab_size()
-    linked = written(linked_pairs(docs.select("doc_id", "text").withColumn(row, F.monotonically_increasing_id()), row, a_path, b_path), "aligned")
+    linked = written(linked_pairs(docs.select("doc_id", "text").withColumn(row, F.monotonically_increasing_id()), row, a_path, pattern, b_path), "aligned")
     scored = durable(pair_counts(linked, stride))
     first = durable(scored.orderBy(F.desc("n"), "pair").limit(frequent))
     links = linked.select(row, F.explode(F.arrays_zip("pairs", "times")).alias("x")).select(row, F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
