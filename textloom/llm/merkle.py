@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import durable
 
-#: Levels that one round of merging climbs, for a fanout of two; of others as many as give blocks of that size.
-LIFT = 20
+#: Levels that one round of merging climbs, for a fanout of two (blocks of 1,024 nodes); of others as many as give blocks of that size.
+LIFT = 10
 #: A leaf's level and place in its run, and the names of the steps of a path.
 NODE, PATH = ["level", "pos"], ["lefts", "rights"]
 
