@@ -1,8 +1,12 @@
-"""Pairs of texts a few edits apart, found by an equi-join on pieces in place of a comparison of all pairs.
-
-A text is cut into one piece more than there may be edits, so the edits leave one piece whole, and the longer text of a
-pair holds it at a place that the other edits bound. The shorter text gives its pieces, the longer one the few
-stretches that could be one; what meets is compared with a threshold, on whole texts.
+"""Pairs of texts a few edits apart, found by equi-joins on keys in place of a comparison of all pairs.
+
+Longer texts: a text is cut into one piece more than there may be edits, so the edits leave one piece whole, and the
+longer text of a pair holds it at a place that the other edits bound. The shorter text gives its pieces, the longer one
+the few stretches that could be one. Short texts, whose pieces would tell nothing, meet by what is left of them when up
+to as many letters are deleted as there may be edits: two texts within the edits have such a rest in common. Texts with
+a piece that very many share (a template) meet in the same way, so that a template's lines are never compared with each
+other for the template's sake; only texts of more than ``LONGEST_REST`` characters have too many rests for that and are
+compared. What meets is compared with a threshold, on whole texts.
 """
 
 from __future__ import annotations
@@ -10,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Edits that a pair may have, and characters that a text needs; rows of the join grow with the square of the edits.
+from ..session import durable
+
+#: Edits that a pair may have, and characters from which a text is cut into pieces; keys grow with the square of the edits.
 EDITS, SHORTEST = 2, 24
+#: Texts that share a piece from which they meet by their rests, and the longest text that does.
+SHARED, LONGEST_REST = 256, 128
 
 
 def piece(size: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -47,22 +55,53 @@ def stretches(text: Column, edits: int) -> Column:
     return F.array(*made)
 
 
-def near_pairs(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST) -> DataFrame:
-    """(block, a, b, edits): distinct texts of a block, of ``shortest`` characters at least, that are 1 to ``edits`` edits apart; a < b.
+def rests(text: Column, edits: int) -> Column:
+    """What is left of a text without up to ``edits`` of its letters, as hashes."""
+    last = every = F.array(text)
+    for _ in range(edits):
+        one_less = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array())
+        last = F.array_distinct(F.flatten(F.transform(last, one_less)))
+        every = F.concat(every, last)
+    return F.array_distinct(F.transform(every, lambda t: F.xxhash64(t)))
+
+
+def by_rests(texts: DataFrame, edits: int) -> DataFrame:
+    """(block, x, y) of texts (block, id, text) that have a rest in common; block isn't null."""
+    own = texts.select("block", "id", F.explode(rests(F.col("text"), edits)).alias("k"))
+    left, right = own.select("block", "k", F.col("id").alias("x")), own.select("block", "k", F.col("id").alias("y"))
+    return left.join(right, ["block", "k"]).filter("x < y").select("block", "x", "y").distinct()
+
+
+def by_pieces(texts: DataFrame, edits: int, shared: int) -> DataFrame:
+    """(block, x, y) of texts (block, id, text) of which the longer one has a piece of the shorter one."""
+    short = durable(texts.select("block", "id", F.length("text").alias("length"), F.explode(pieces(F.col("text"), edits)).alias("k")))
+    long = durable(texts.select("block", "id", F.length("text").alias("length"), F.explode(stretches(F.col("text"), edits)).alias("k")))
+    common = durable(short.filter(F.col("length") <= LONGEST_REST - edits).groupBy("block", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared).select("block", "k"))
+    left = short.join(common, ["block", "k"], "left_anti").select("block", "k", F.col("id").alias("x"))
+    right = long.select("block", "k", F.col("id").alias("y"), "length")
+    once = (F.col("length") > F.col("k.size")) | (F.col("x") < F.col("y"))
+    found = left.join(right, ["block", "k"]).filter(once & (F.col("x") != F.col("y"))).select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    if common.isEmpty():
+        return found.distinct()
+    hot = short.unionByName(long).join(common, ["block", "k"], "left_semi").select("block", "id").distinct()
+    return found.unionByName(by_rests(texts.join(hot, ["block", "id"], "left_semi"), edits)).distinct()
+
+
+def near_pairs(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, shared: int = SHARED) -> DataFrame:
+    """(block, a, b, edits): distinct texts of a block, of whatever length, that are 1 to ``edits`` edits apart; a < b.
 
-    texts: (block, text). A null block is one like any other; null and shorter texts have no pairs; repeated rows count once.
+    texts: (block, text). A null block is one like any other; null texts have no pairs; repeated rows count once.
+    ``shortest`` and ``shared`` decide by which keys texts meet, not which pairs are found.
     """
     assert shortest > edits * (edits + 2)
-    own = texts.select("block", "text").filter(F.length("text") >= shortest).distinct().withColumn("id", F.md5("text"))
-    short = own.select("block", F.col("id").alias("x"), F.explode(pieces(F.col("text"), edits)).alias("k"))
-    long = own.select("block", F.col("id").alias("y"), F.length("text").alias("length"), F.explode(stretches(F.col("text"), edits)).alias("k"))
-    s, r = short.alias("s"), long.alias("r")
-    met = F.col("s.block").eqNullSafe(F.col("r.block")) & (F.col("s.k") == F.col("r.k"))
-    once = (F.col("r.length") > F.col("r.k.size")) | (F.col("x") < F.col("y"))
-    found = s.join(r, met).filter(once & (F.col("x") != F.col("y"))).select(F.col("s.block").alias("block"), "x", "y").distinct()
-    # Texts come back by their digests, as they would otherwise travel with every piece.
-    left, right = own.select("block", F.col("id").alias("x"), F.col("text").alias("t")), own.select("block", F.col("id").alias("y"), F.col("text").alias("u"))
-    both = found.alias("f").join(left.alias("l"), F.col("f.block").eqNullSafe(F.col("l.block")) & (F.col("f.x") == F.col("l.x"))).select("f.block", "f.y", "t")
-    both = both.alias("f").join(right.alias("l"), F.col("f.block").eqNullSafe(F.col("l.block")) & (F.col("f.y") == F.col("l.y"))).select("f.block", "t", "u")
-    judged = both.select("block", F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), F.levenshtein("t", "u", edits).alias("edits"))
-    return judged.filter("edits >= 0")
+    named = F.coalesce(F.concat(F.lit("="), F.col("block").cast("string")), F.lit(""))
+    own = durable(texts.filter("text is not null").select("block", "text").distinct().select(named.alias("name"), F.md5("text").alias("id"), "block", "text"))
+    keyed = own.select(F.col("name").alias("block"), "id", "text")
+    few = by_rests(keyed.filter(F.length("text") < shortest + edits), edits)
+    found = few.unionByName(by_pieces(keyed.filter(F.length("text") >= shortest), edits, shared)).distinct()
+    # Texts come back by their digests, as they would otherwise travel with every key.
+    left, right = (own.select(F.col("name").alias("n"), F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("x", "t"), ("y", "u")))
+    both = found.join(left.withColumnRenamed("n", "block"), ["block", "x"]).join(right.withColumnRenamed("n", "block"), ["block", "y"])
+    judged = both.withColumn("edits", F.levenshtein("t", "u", edits)).filter("edits >= 0")
+    name = F.when(F.col("block") != "", F.substring("block", 2, 1 << 30)).cast(texts.schema["block"].dataType)
+    return judged.select(name.alias("block"), F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), "edits")

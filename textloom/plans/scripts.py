@@ -27,18 +27,24 @@ def block_balance_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, a, b, edits): lines of all documents of a language that are two edits apart at most; letters beyond ASCII count as one."""
+    """(block, a, b, edits): lines of all documents of a language that are two edits apart at most."""
     docs = spread(read(spark, sf_dir, "documents").select("lang", "text"))
     lines = docs.select(F.col("lang").alias("block"), F.explode(F.split("text", "\n", -1)).alias("line"))
-    return near_pairs(lines.select("block", F.regexp_replace("line", "[^ -~]", "?").alias("text")))
+    return near_pairs(lines.select("block", F.col("line").alias("text")))
 
 
-@registered(f"""with l as (select distinct lang, regexp_replace(line, '[^ -~]', '?', 'g') as line from (select lang, unnest(string_split(text, chr(10))) as line from documents)),
-  n as (select coalesce(lang, chr(0)) as lang, line, length(line) as n, length(line) // {EDITS + 1} as k from l where length(line) >= {SHORTEST}),
-  m as (select a.lang, a.line as x, b.line as y, [a.line[i * a.k + 1 : case when i = {EDITS} then a.n else (i + 1) * a.k end] for i in range({EDITS + 1})] as cuts
+# The database counts edits in bytes: for each pair, the letters that occur in it are written by one byte each.
+LETTERS = "array_to_string(list_distinct([substring(x || y, i, 1) for i in range(1, length(x || y) + 1)]), '')"
+BYTES = "array_to_string([chr(i::int) for i in range(1, 128)], '')"
+
+
+@registered(f"""with l as (select distinct lang, line from (select lang, unnest(string_split(text, chr(10))) as line from documents)),
+  n as (select coalesce(lang, chr(0)) as lang, line, length(line) as n, length(line) // {EDITS + 1} as k from l),
+  m as (select a.lang, a.line as x, b.line as y, a.n, [substring(a.line, i * a.k + 1, case when i = {EDITS} then a.n else a.k end) for i in range({EDITS + 1})] as cuts
     from (select *, unnest(range({EDITS + 1})) as more from n) a join n b on a.lang = b.lang and b.n = a.n + more and (more > 0 or a.line < b.line)),
-  p as (select nullif(lang, chr(0)) as lang, least(x, y) as a, greatest(x, y) as b, case when len([c for c in cuts if contains(y, c)]) > 0 then levenshtein(x, y) else {EDITS} + 1 end as edits from m)
-  select lang, md5(a) as first, md5(b) as second, edits, round(1.0 - edits / greatest(length(a), length(b)), 6) as similarity from p where edits <= {EDITS}""")
+  p as (select lang, least(x, y) as a, greatest(x, y) as b, x, y, {LETTERS} as letters from m where n < {SHORTEST} or len([c for c in cuts if contains(y, c)]) > 0),
+  e as (select nullif(lang, chr(0)) as lang, a, b, levenshtein(translate(x, letters, left({BYTES}, length(letters))), translate(y, letters, left({BYTES}, length(letters)))) as edits from p)
+  select lang, md5(a) as first, md5(b) as second, edits, round(1.0 - edits / greatest(length(a), length(b)), 6) as similarity from e where edits <= {EDITS}""")
 def fuzzy_blocked_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit similarity of near lines; the block is the language, and pieces of lines of one length within it."""
     longest = F.greatest(F.length("a"), F.length("b"))
