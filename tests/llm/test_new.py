@@ -199,7 +199,7 @@ def test_induced_sorting(monkeypatch, bulk):
         text = [random.randint(1, random.choice([1, 2, 4, 9])) for _ in range(random.randint(0, 60))]
         text = [c for c in text for _ in range(random.choice([1, 1, 1, 4]))] + [0]
         depth = random.choice([1, 2, 3, 7, 100])
-        order, common = induced.suffixes(np.array(text), depth)
+        order, common = induced.suffixes(np.array(text, random.choice([np.int32, np.int64])), depth)
         cut = lambda i: text[i : i + depth]  # noqa: B023, E731
         assert sorted(order) == list(range(len(text)))
         assert [cut(i) for i in order] == sorted(map(cut, range(len(text))))
@@ -207,6 +207,20 @@ def test_induced_sorting(monkeypatch, bulk):
         assert list(common) == [0, *(shared(cut(i), cut(j)) for i, j in zip(order[:-1], order[1:], strict=True))]
 
 
+def test_induced_sorting_of_prose():
+    """Long common prefixes, and pieces between seeds of every length."""
+    random.seed(9)
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(1, 14))) for _ in range(60)]
+    prose = [" ".join(random.choices(words, k=60)) for _ in range(4)]
+    parts = [p[(a := random.randrange(len(p) - 150)) : a + random.randint(100, 150)] for p in random.choices(prose, k=250)]
+    text = [ord(c) for c in "\1".join(parts)] + [0]
+    order, common = induced.suffixes(np.array(text, np.int32), 100)
+    cuts = [text[i : i + 100] for i in order]
+    assert cuts == sorted(cuts) and sorted(order) == list(range(len(text)))
+    shared = [next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    assert list(common) == [0, *shared] and max(shared) == 100
+
+
 def test_induced_sorting_on_disk(monkeypatch):
     """With every array and run in files, the same."""
     random.seed(5)

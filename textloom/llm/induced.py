@@ -79,6 +79,11 @@ class Queue:
             keys[:], places[:] = np.concatenate([a, b])[order], np.concatenate([pa, pb])[order]
             self.runs.append((keys, places))
 
+    def back(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Puts back the end of what was taken; it is in order."""
+        if len(keys):
+            self.runs.append((keys, places))
+
     def lowest(self) -> int:
         """The least symbol."""
         return min((int(keys[0]) >> 32 for keys, _ in self.runs), default=NONE)
@@ -138,7 +143,7 @@ def names_of(text: np.ndarray, seeds: np.ndarray, depth: int) -> np.ndarray:
         several = np.zeros(len(order), bool)
         several[order] = ~new | np.append(~new[1:], False)
         at += step
-        open_ = open_[several & (sizes[open_] > at)]
+        open_ = open_[several & (sizes[open_] >= at)]  # a piece that ends just here still has to differ from longer ones
     return np.unique(rank, return_inverse=True)[1]
 
 
@@ -151,67 +156,76 @@ def induce(symbols: np.ndarray, taken: np.ndarray, runs: np.ndarray, seeds: np.n
     total = int(np.count_nonzero(taken)) + len(seeds)
     order, common = spool(total, np.int32), Minima(total)
     seed_symbols, queue = symbols[seeds], Queue()
+    ahead_of = spool(len(symbols), np.int64)  # the symbol of what each suffix induces, or none
+    ahead_of[0] = NONE
+    ahead_of[1:] = np.where(taken[:-1], symbols[:-1].astype(np.int64), NONE)
     last: tuple[int, bool, int, int] = (-1, False, 0, 0)  # symbol, seed, rank of the follower, place
     done = begun = 0
 
-    def emit(places: np.ndarray, own: np.ndarray, seeded: np.ndarray, followers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Appends suffixes; gives what they induce: symbols, ranks and places. followers: ranks, or numbers of seeds."""
+    def emit(places: np.ndarray, own: np.ndarray, seeded: np.ndarray, followers: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Appends suffixes; gives what they induce: symbols, ranks and places. followers: ranks, or numbers of seeds; ahead: symbols of what they induce."""
         nonlocal last, done
         if not len(places):
             return places, places, places
         before = [np.concatenate([[v], x[:-1]]) for v, x in zip(last, (own, seeded, followers, places), strict=True)]
         same = before[0] == own
-        shared = np.zeros(len(places), np.int64)
-        induced = np.flatnonzero(same & ~seeded & ~before[1])
-        shared[induced] = 1 + common.between(before[2][induced], followers[induced])
-        joint = np.flatnonzero(same & seeded & before[1])
-        shared[joint] = seed_common[followers[joint]]
-        edge = np.flatnonzero(same & seeded & ~before[1])
-        shared[edge] = np.minimum(runs[before[3][edge]], runs[places[edge]])
-        common.append(np.minimum(shared, depth).astype(np.uint8))
+        shared = np.zeros(len(places), np.uint8)
+        induced = np.flatnonzero(same & ~seeded)  # what comes before in its symbol is induced too
+        shared[induced] = np.minimum(common.between(before[2][induced], followers[induced]), depth - 1) + 1
+        if seeded.any():
+            joint = np.flatnonzero(same & seeded & before[1])
+            shared[joint] = seed_common[followers[joint]]
+            edge = np.flatnonzero(same & seeded & ~before[1])
+            shared[edge] = np.minimum(runs[before[3][edge]], runs[places[edge]])
+        common.append(shared)
         order[done : done + len(places)] = places
         last = int(own[-1]), bool(seeded[-1]), int(followers[-1]), int(places[-1])
-        ranks = np.arange(done, done + len(places))
+        gives = np.flatnonzero(ahead != NONE)
         done += len(places)
-        ahead = places - 1
-        gives = np.flatnonzero((places > 0) & taken[ahead])
-        return symbols[ahead[gives]].astype(np.int64), ranks[gives], ahead[gives]
+        return ahead[gives], gives + (done - len(places)), places[gives] - 1
 
     def push(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         queue.push((found[0] << 32) | found[1], found[2].astype(np.int32))
 
+    bulk = BULK
     while done < total:
         low = min(queue.lowest(), int(seed_symbols[begun]) if begun < len(seeds) else NONE)
-        bound = min(queue.width(BULK), int(seed_symbols[begun + BULK]) if begun + BULK < len(seeds) else NONE)
+        bound = min(queue.width(bulk), int(seed_symbols[begun + bulk]) if begun + bulk < len(seeds) else NONE)
         bound = max(bound, low + 1)
         keys, places = queue.take(bound)
         stop = len(seeds) if bound == NONE else int(np.searchsorted(seed_symbols, bound))
-        both = np.concatenate([places, seeds[begun:stop]]).astype(np.int64)
-        ahead = both - 1
-        gives = (both > 0) & taken[ahead]
-        least = int(symbols[ahead[gives]].min()) if gives.any() else NONE
+        ahead, seed_ahead = ahead_of[places], ahead_of[seeds[begun:stop]]
+        least = min(int(x.min()) for x in (ahead, seed_ahead) if len(x))
         if least < bound:  # what these suffixes induce would fall among them
             bound = max(least, low + 1)
             kept = int(np.searchsorted(keys, bound << 32))
-            queue.push(keys[kept:], places[kept:])
-            keys, places = keys[:kept], places[:kept]
+            bulk = max(1 << 6, min(bulk, 2 * (kept + 1)))
+            queue.back(keys[kept:], places[kept:])
+            keys, places, ahead = keys[:kept], places[:kept], ahead[:kept]
             stop = int(np.searchsorted(seed_symbols, bound))
+            seed_ahead = seed_ahead[: stop - begun]
+        else:
+            bulk = min(BULK, 2 * bulk)
         own_seeds = seeds[begun:stop].astype(np.int64)
         numbers = np.arange(begun, stop)
         begun = stop
         if least <= low:  # the symbol repeats: one step of the repetition at a time, its seeds last
             while len(places):
-                found = emit(places.astype(np.int64), np.full(len(places), low), np.zeros(len(places), bool), keys & 0xFFFFFFFF)
+                found = emit(places.astype(np.int64), np.full(len(places), low), np.zeros(len(places), bool), keys & 0xFFFFFFFF, ahead)
                 again = found[0] == low
                 push(tuple(x[~again] for x in found))
                 keys, places = found[1][again], found[2][again]
-            push(emit(own_seeds, np.full(len(own_seeds), low), np.ones(len(own_seeds), bool), numbers))
+                ahead = ahead_of[places]
+            push(emit(own_seeds, np.full(len(own_seeds), low), np.ones(len(own_seeds), bool), numbers, seed_ahead))
+            continue
+        if not len(numbers):
+            push(emit(places.astype(np.int64), keys >> 32, np.zeros(len(keys), bool), keys & 0xFFFFFFFF, ahead))
             continue
-        own = np.concatenate([keys >> 32, seed_symbols[numbers]]).astype(np.int64)
+        own = np.concatenate([keys >> 32, seed_symbols[begun - len(numbers) : begun]]).astype(np.int64)
         seeded = np.concatenate([np.zeros(len(keys), bool), np.ones(len(numbers), bool)])
         merged = np.argsort(own * 2 + seeded, kind="stable")
         followers = np.concatenate([keys & 0xFFFFFFFF, numbers])
-        push(emit(np.concatenate([places.astype(np.int64), own_seeds])[merged], own[merged], seeded[merged], followers[merged]))
+        push(emit(np.concatenate([places.astype(np.int64), own_seeds])[merged], own[merged], seeded[merged], followers[merged], np.concatenate([ahead, seed_ahead])[merged]))
     return order, common.table[0, :total]
 
 

@@ -3,8 +3,9 @@
 Equal strings have to meet in one shard. The gram of least hash among the ``GRAM``-byte grams of a string depends on
 the string alone, so consecutive strings of a document with the same least gram make a stretch (``WIDTH`` - 1 bytes
 and one for each string), and a gram's stretches meet by the gram. Stretches that are equal as a whole are counted
-first: in each chunk of a task, then by gram; all but the first repeat it, and only the first goes on. Where a gram is
-left with several different stretches, these are cut out of the texts and laid behind one another in shards, in the
+first: in each chunk of a task, then by gram; all but the first repeat it, and only the first goes on. A string
+reaches beyond its gram by half of the rest on one side at least; where a gram is left with several different stretches,
+those that have such a side in common with another (by 16 bits, so a few more) are cut out of the texts and laid behind one another in shards, in the
 order of the documents. The suffixes of a shard are sorted by external induced sorting, which carries their common
 prefixes (module ``induced``); neighbours with a common prefix of ``WIDTH`` bytes are equal strings, of which the one
 at the least place stays. A gram with more than ``HOT`` different stretches is split: each of its strings becomes a
@@ -45,7 +46,7 @@ FAN = 1 << 12
 #: Stands for a missing doc_id; before all others.
 FIRST = -(1 << 63)
 #: What a record holds.
-RECORD = [("gram", np.uint64), ("digest", np.uint64), ("key", np.int64), ("sub", np.int64), ("start", np.uint32), ("n", np.uint32)]
+RECORD = [("gram", np.uint64), ("digest", np.uint64), ("key", np.int64), ("sub", np.int64), ("start", np.uint32), ("n", np.uint32), ("at", np.uint32), ("left", np.uint16), ("right", np.uint16)]
 MARK, REQUEST, SPLIT = range(3)
 FOUND = "key long, sub long, start long, n long, gram long, kind int"
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # odd multipliers
@@ -98,10 +99,23 @@ def stretches(pieces: list[tuple[int, int, int, bytes]], width: int, gram: int)
     for j in range(-(-2 * width // gram)):  # enough grams to cover the longest stretch
         digest = (digest ^ hashes[np.minimum(start + j * gram, last)]) * M2
         digest ^= digest >> np.uint64(31)
+    gram_at, half = at[first], (width - gram) // 2
+    beside = lambda place_, inside: np.where(inside, (hashes[np.clip(place_, 0, len(hashes) - 1)] % np.uint64(65535)).astype(np.uint16) + 1, 0)
+    left, right = beside(gram_at - half, gram_at - half >= start), beside(gram_at + half, gram_at + half <= last)
     piece = np.searchsorted(begins, start, "right") - 1
     column = lambda k: np.array([p[k] for p in pieces], np.int64)[piece]
     offset = start - begins[piece] + column(2)
-    return {"gram": hashes[at[first]], "digest": digest, "key": column(0), "sub": column(1), "start": offset.astype(np.uint32), "n": n.astype(np.uint32)}
+    return {"gram": hashes[at[first]], "digest": digest, "key": column(0), "sub": column(1), "start": offset.astype(np.uint32), "n": n.astype(np.uint32), "at": (gram_at - start).astype(np.uint32), "left": left, "right": right}
+
+
+def side_shared(records: Records, side: str) -> np.ndarray:
+    """Whether another record of the same gram has the same bytes on the side, by their hash; 0 stands for a side that is too short."""
+    order = np.lexsort((records[side], records["gram"]))
+    gram, beside = records["gram"][order], records[side][order]
+    same = (gram[1:] == gram[:-1]) & (beside[1:] == beside[:-1]) & (beside[1:] > 0)
+    out = np.zeros(len(order), bool)
+    out[order] = np.append(same, False) | np.append(False, same) if len(order) else out
+    return out
 
 
 def firsts(records: Records) -> tuple[Records, Records]:
@@ -221,18 +235,25 @@ def combined(rows: DataFrame, buckets: int, salts: int) -> DataFrame:
     return rows
 
 
-def met(rows: DataFrame, hot: int) -> DataFrame:
+def met(rows: DataFrame, hot: int, width: int) -> DataFrame:
     """(key, sub, start, n, gram, kind): strings that repeat an earlier stretch as a whole, and stretches whose bytes have to be compared."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         records, marks = opened(frame)
         own, others = firsts(records)
-        gram = own["gram"]
-        new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
-        group = np.cumsum(new) - 1
-        several = np.bincount(group)[group] if len(group) else group
-        asked = {c: v[several > 1].astype(np.int64) for c, v in own.items() if c != "digest"}
-        kind = np.where(several[several > 1] > hot, SPLIT, REQUEST)
+        left, right = side_shared(own, "left"), side_shared(own, "right")
+        asked = {c: own[c].astype(np.int64) for c in ("key", "sub", "start", "n", "gram", "at")}
+        # strings with a side that no other has reach to the other side
+        half = (width - GRAM) // 2
+        first = np.where(left, 0, np.maximum(asked["at"] - half + 1, 0))
+        stop = np.where(right, asked["n"], np.minimum(asked["n"], asked["at"] - half))
+        wanted = (left | right) & (stop > first)
+        asked["start"] += first
+        asked["n"] = stop - first
+        asked = {c: v[wanted] for c, v in asked.items()}
+        gram = asked["gram"]
+        group = np.cumsum(np.append(True, gram[1:] != gram[:-1])[: len(gram)]) - 1
+        kind = np.where(np.bincount(group)[group] > hot, SPLIT, REQUEST) if len(group) else group
         asked = pd.DataFrame({c: asked[c] for c in ("key", "sub", "start", "n", "gram")} | {"kind": kind})
         return pd.concat([marks_of(others), asked, *marks])
 
@@ -298,14 +319,14 @@ def split(docs: DataFrame, found: DataFrame, buckets: int, salts: int, width: in
             data = np.frombuffer(text.as_buffer(), np.uint8)
             for s, n in zip(starts, ns, strict=True):
                 own = data[s : s + n + width - 1]
-                parts.append({"gram": gram_hashes(own, width), "digest": gram_hashes(own[::-1], width)[::-1], "key": np.full(n, key), "sub": np.full(n, sub), "start": np.arange(s, s + n), "n": np.ones(n, np.int64)})
+                parts.append({"gram": gram_hashes(own, width), "digest": gram_hashes(own[::-1], width)[::-1], "key": np.full(n, key), "sub": np.full(n, sub), "start": np.arange(s, s + n), "n": np.ones(n, np.int64), "at": np.zeros(n, np.uint32), "left": np.zeros(n, np.uint16), "right": np.zeros(n, np.uint16)})
         yield from blobs(joined(parts), buckets, salts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from work(batch)
 
-    return met(combined(asked_of(docs, found, SPLIT).mapInArrow(run, BLOBS), buckets, salts), HOT).filter(F.col("kind") == MARK)
+    return met(combined(asked_of(docs, found, SPLIT).mapInArrow(run, BLOBS), buckets, salts), HOT, width).filter(F.col("kind") == MARK)
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -332,7 +353,7 @@ def find_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFra
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 + size // BUCKET
     salts = -(-(1 + size // CHUNK) // FAN)
-    found = written(met(combined(scanned(docs, buckets, salts, width), buckets, salts), hot), "repeats")
+    found = written(met(combined(scanned(docs, buckets, salts, width), buckets, salts), hot, width), "repeats")
     marks = [found.filter(F.col("kind") == MARK), compared(cut(docs, found, -(-buckets // BUCKETS_A_SHARD), width), width)]
     if not found.filter(F.col("kind") == SPLIT).isEmpty():
         marks.append(split(docs, found, buckets, salts, width))
