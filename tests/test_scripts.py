@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import SOURCES, old_catalog, texts  # noqa: E402
+from plain_sync import merge_file  # noqa: E402
 
 from textloom.functions import scanners as S  # noqa: E402
 from textloom.operators import inject, match, ordering, scripts  # noqa: E402
@@ -46,7 +47,7 @@ def test_lint_config():
 
 def test_best_match_prefers_translation():
     a, b = match.Entry("k|text|x", "Same text", "", 0, ""), match.Entry("k|text|y", " Same text", "Gleich", 1, "")
-    merged, _ = match.merge_file([match.Entry("n|text|x", "Same text", "", 0, "")], [a, b])
+    merged, _ = merge_file([match.Entry("n|text|x", "Same text", "", 0, "")], [a, b])
     assert merged[0][0].translation == "Gleich" and merged[0][1] == "migrated"
 
 
@@ -136,7 +137,7 @@ def test_fuzzy_pairs_of_a_file():
                 own[j] = random.choice(words)
             news.append(match.Entry(f"n|{random.choice([kind, kind, 'msg'])}|{i}", " ".join(own), "", 0, ""))
         random.shuffle(news)
-        merged, gone = match.merge_file(news, olds)
+        merged, gone = merge_file(news, olds)
         open_, wanted = dict(enumerate(news)), {}
         for old in olds:
             scored = [(s, -j) for j, new in open_.items() if old.kind == new.kind and (s := plain_score(old, new)) is not None]
