@@ -268,7 +268,7 @@ def test_repeats(spark, monkeypatch, hot):
     rows = passages()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     # of rows that share a doc_id, the order is that of their keys
-    subs = {(r.doc_id, r.text): r.sub for r in repeats.keyed(frame)[0].collect()}
+    subs = {(r.doc_id, r.text): r.sub for r in repeats.keyed(frame)[0].withColumn("doc_id", repeats.doc_id_of("key", "sub")).collect()}
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, subs[r]))
     want = sorted(plain_repeats(ordered, repeats.WIDTH), key=repr)
     for parts in (1, 5):

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -304,9 +304,10 @@ def repeated_in(frame: pd.DataFrame, width: int) -> pd.DataFrame:
     return marks_of({"key": column("key"), "sub": column("sub"), "start": column("start") + again - begins[own], "n": np.ones(len(again), np.int64)})
 
 
-def compared(pieces: DataFrame, width: int) -> DataFrame:
+def compared(pieces: DataFrame, shards: int, width: int) -> DataFrame:
+    """The strings of all shards that occur earlier; a task for each shard, as their rows are few for the work they make."""
     ship(pieces.sparkSession)
-    return pieces.groupBy("shard").applyInPandas(lambda frame: repeated_in(frame, width), FOUND)
+    return pieces.repartition(shards, "shard").groupBy("shard").applyInPandas(lambda frame: repeated_in(frame, width), FOUND)
 
 
 def split(docs: DataFrame, found: DataFrame, buckets: int, salts: int, width: int) -> DataFrame:
@@ -330,31 +331,37 @@ def split(docs: DataFrame, found: DataFrame, buckets: int, salts: int, width: in
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(key, sub, doc_id, text) without rows equal in id and text, and (key, sub, copies) of those that occur several times.
+    """(key, sub, text) without rows equal in id and text, and (key, sub, copies) of those that occur several times.
 
-    ``sub`` tells apart rows that share a doc_id, by a hash of the text; it is 0 for all others.
+    ``sub`` tells apart rows that share a doc_id, by a hash of the text, and is 0 for all others; it is odd for a row
+    without doc_id.
     """
-    own = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("key"), "doc_id", "text")
+    own = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("key"), F.col("doc_id").isNull().cast("long").alias("none"), "text")
     shared = durable(own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(True).alias("twice")))
     if shared.isEmpty():
-        return own.select("key", F.lit(0).cast("long").alias("sub"), "doc_id", "text"), None
-    sub = F.when(F.col("twice"), F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id").isNull())).otherwise(F.lit(0).cast("long"))
+        return own.select("key", F.col("none").alias("sub"), "text"), None
+    sub = F.when(F.col("twice"), F.shiftleft(F.xxhash64(F.coalesce("text", F.lit(""))), 1)).otherwise(F.lit(0).cast("long")).bitwiseOR(F.col("none"))
     own = own.join(counted(shared), "key", "left").withColumn("sub", sub)
     copies = durable(own.filter("twice").groupBy("key", "sub").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
-    own = own.select("key", "sub", "doc_id", "text")
+    own = own.select("key", "sub", "text")
     if copies.isEmpty():
         return own, None
     few = counted(copies.select("key", "sub"))
     return own.join(few, ["key", "sub"], "left_anti").unionByName(own.join(few, ["key", "sub"], "left_semi").dropDuplicates(["key", "sub"])), copies
 
 
+def doc_id_of(key: str, sub: str) -> Column:
+    return F.when(F.col(sub) % 2 == 0, F.col(key)).alias("doc_id")
+
+
 def find_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """(key, sub, start, n): from ``start`` on, ``n`` strings in a row repeat an earlier one; docs: (key, sub, text)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 + size // BUCKET
     salts = -(-(1 + size // CHUNK) // FAN)
     found = written(met(combined(scanned(docs, buckets, salts, width), buckets, salts), hot, width), "repeats")
-    marks = [found.filter(F.col("kind") == MARK), compared(cut(docs, found, -(-buckets // BUCKETS_A_SHARD), width), width)]
+    shards = -(-buckets // BUCKETS_A_SHARD)
+    marks = [found.filter(F.col("kind") == MARK), compared(cut(docs, found, shards, width), shards, width)]
     if not found.filter(F.col("kind") == SPLIT).isEmpty():
         marks.append(split(docs, found, buckets, salts, width))
     out = marks[0]
@@ -382,7 +389,7 @@ def kept(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataFrame:
     """A row for each document: doc_id, its number of bytes, the removed spans, and the bytes that stay."""
     own, copies = keyed(docs)
-    marks = find_repeats(own.select("key", "sub", "text"), width, hot)
+    marks = find_repeats(own, width, hot)  # of the same columns as below, so that the texts are shuffled once
     lists = marks.groupBy("key", "sub").agg(F.collect_list(F.struct("start", "n")).alias("x")).select("key", "sub", F.col("x.start").alias("starts"), F.col("x.n").alias("ns"))
     asked = own.join(lists, ["key", "sub"], "left")
     if copies is None:
@@ -400,7 +407,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, hot: int = HOT) -> DataF
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
     schema = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
-    return map_batches(asked.select("doc_id", "text", "starts", "ns", "copy"), work, schema)
+    return map_batches(asked.select(doc_id_of("key", "sub"), "text", "starts", "ns", "copy"), work, schema)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
