@@ -4,6 +4,8 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import SOURCES, old_catalog, texts  # noqa: E402
@@ -168,6 +170,27 @@ def test_rebuilt():
     assert inject.rebuilt("Hi", ["$x"]) is None and inject.rebuilt("{{expr_2}}", ["$x"]) is None
 
 
+def test_scans_in_blocks(spark):
+    """One key over many blocks, some of them without a value, against windows over the whole key."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", None]), i, rng.choice([None, None, rng.randrange(9)]), rng.random() < 0.5) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i int, v int, on boolean").repartition(4)
+    block, up = F.expr("i div 7"), Window.partitionBy("k").orderBy("i")
+    want = df.select(
+        "i",
+        F.last("v", ignorenulls=True).over(up).alias("carried"),
+        F.first(F.when(F.col("on"), F.col("i")), ignorenulls=True).over(up.rowsBetween(1, Window.unboundedFollowing)).alias("next"),
+        F.sum("v").over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("shift"),
+    )
+    begins = df.withColumn("b", 1 - F.coalesce(F.lag(F.col("on").cast("int")).over(up), F.lit(0)))
+    want = want.join(begins.select("i", F.sum("b").over(up).alias("island")), "i").select("i", "carried", "next", "island", "shift")
+    got = ordering.carried_forward(df, ["k"], ["i"], block, F.col("v"), "carried")
+    got = ordering.next_where(got, ["k"], ["i"], block, F.col("i"), F.col("on"), "next")
+    got = ordering.islands(got, ["k"], ["i"], block, F.col("on"), "island")
+    got = ordering.scanned(got, ["k"], ["i"], block, F.col("v"), "shift", total=True, own=False)
+    assert sorted(map(tuple, got.select("i", "carried", "next", "island", "shift").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_greedy_batches(spark):
     sizes = spark.createDataFrame([("k", i, s) for i, s in enumerate([64, 64, 150, 64])], "k string, i int, cost long")
     rows = ordering.greedy_batches(sizes, ["k"], ["i"], sizes.cost, 200).orderBy("batch").collect()

@@ -1,4 +1,4 @@
-"""Ordered operators that hold no whole key in memory; where the order of a key is all that counts, it is one sorted task."""
+"""Ordered operators that hold no whole key in memory: scans in blocks, so that a key of any size runs in many tasks; greedy batches alone fold a key in one."""
 
 from __future__ import annotations
 
@@ -39,22 +39,43 @@ def ordered_number(df: DataFrame, keys: list[str], order: list[str], block: Colu
     return joined.select(*[f"l.{c}" for c in df.columns], (F.col("__first") + F.col("__own")).alias(name))
 
 
-def carried_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+def scanned(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str, total: bool, own: bool = True, down: bool = False) -> DataFrame:
+    """Adds, along the order within each key, the sum of the values up to a row, or the last value that isn't null.
+
+    ``block`` must not decrease along the order columns; ``down`` scans from their end. Rows are scanned within (key,
+    block), then what the blocks end with, and each row takes what the blocks before its own have left; so only blocks,
+    and a key's row for each block, need to fit a task. ``own``: whether a row's own value counts.
+    """
+    fold = F.sum if total else lambda c: F.last(c, ignorenulls=True)
+    rows = df.withColumn("__block", block).withColumn("__value", value)
+    towards = F.desc if down else F.asc
+    within = Window.partitionBy(*keys, "__block").orderBy(*map(towards, order))
+    upto = within.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__upto", fold("__value").over(upto)).withColumn("__last", F.lead(F.lit(1)).over(within).isNull())
+    if not own:
+        rows = rows.withColumn("__own", fold("__value").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    blocks = Window.partitionBy(*keys).orderBy(towards("__block")).rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.filter("__last").select(*keys, "__block", fold("__upto").over(blocks).alias("__before"))
+    mine = F.col("__upto" if own else "__own")
+    found = F.coalesce(mine + F.col("__before"), mine, F.col("__before")) if total else F.coalesce(mine, F.col("__before"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "__block"]]
+    return rows.alias("l").join(before.alias("r"), on).select(*[f"l.{c}" for c in df.columns], found.alias(name))
+
+
+def carried_forward(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, name: str) -> DataFrame:
     """Adds the last value that isn't null, own row included."""
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order)))
+    return scanned(df, keys, order, block, value, name, total=False)
 
 
-def next_where(df: DataFrame, keys: list[str], order: list[str], value: Column, wanted: Column, name: str) -> DataFrame:
+def next_where(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, wanted: Column, name: str) -> DataFrame:
     """Adds the value of the next row that is wanted, own row excluded."""
-    before = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)  # in reverse, so that each row looks at one more
-    return df.withColumn(name, F.last(F.when(wanted, value), ignorenulls=True).over(before))
+    return scanned(df, keys, order, block, F.when(wanted, value), name, total=False, own=False, down=True)
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], continues: Column, name: str) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], order: list[str], block: Column, continues: Column, name: str) -> DataFrame:
     """Adds a group number; a row joins the group of the row before if that one continues."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    begins = 1 - F.coalesce(F.lag(continues.cast("int")).over(w), F.lit(0))
-    return df.withColumn("__begins", begins).withColumn(name, F.sum("__begins").over(w)).drop("__begins")
+    after = scanned(df, keys, order, block, F.coalesce(continues, F.lit(False)).cast("int"), "__after", total=False, own=False)
+    return scanned(after, keys, order, block, 1 - F.coalesce("__after", F.lit(0)), name, total=True).drop("__after")
 
 
 def greedy_batches(df: DataFrame, keys: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:

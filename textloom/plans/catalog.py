@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,6 +40,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: A line's place as one number, so that the least place of a key is found by hashing: doc_id and 24 bits of line_no.
+LINE_BITS = 24
+
+
+def packed(flag: Column | None = None) -> Column:
+    """doc_id (38 bits) and line_no, behind a flag of one bit, as a number that orders as they do."""
+    place = F.shiftleft("doc_id", LINE_BITS).bitwiseOR(F.col("line_no"))
+    return place if flag is None else F.shiftleft(flag.cast("long"), 62).bitwiseOR(place)
+
+
+def doc_of(place: Column) -> Column:
+    return F.shiftright(place, LINE_BITS).bitwiseAND(F.lit((1 << 38) - 1))
+
+
+def line_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, line_no, line), line_no from 1."""
     docs = ordering.spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -149,10 +167,13 @@ SLUG_SQL = r"""case when regexp_replace(regexp_replace(line, '[^A-Za-z0-9]+', '_
 def slug_keys_deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first line with a key keeps it; later ones get their position added."""
     lines = document_lines(spark, sf_dir)
-    based = lines.select("doc_id", "line_no", F.concat("source", F.lit("|text|"), T.slug(F.col("line"), F.col("line_no"))).alias("base"))
-    first = based.groupBy("base").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))  # map-side; no key is numbered
-    later = F.concat("base", F.format_string("_%08d", F.col("doc_id") * 1000 + F.col("line_no")))
-    return based.join(first, "base").select("doc_id", "line_no", F.when(F.struct("doc_id", "line_no") != F.col("first"), later).otherwise(F.col("base")).alias("key"))
+    base = F.concat(F.coalesce("source", F.lit("")), F.lit("|text|"), T.slug(F.col("line"), F.col("line_no")))
+    based = lines.select("doc_id", "line_no", base.alias("base")).withColumns({"k": F.xxhash64("base"), "h": F.xxhash64("base", F.lit(1))})
+    first = based.select("k", "h", packed().alias("place")).groupBy("k", "h").agg(F.min("place").alias("first"))  # map-side; no key is numbered
+    number = F.col("doc_id") * 1000 + F.col("line_no")
+    later = F.concat("base", F.lit("_"), F.when(number < 10**8, F.lpad(number.cast("string"), 8, "0")).otherwise(number.cast("string")))
+    met = based.join(first, ["k", "h"])
+    return met.select("doc_id", "line_no", F.when(packed() == F.col("first"), F.col("base")).otherwise(later).alias("key"))
 
 
 @registered("""select d.doc_id, case when l.quality = 1 then 1 else 0 end as stage from documents d join labels l using (doc_id)
@@ -214,14 +235,14 @@ def tiered_match_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables of keys and never all pairs of a key.
     """
     old, new = catalogs(spark, sf_dir)
-    flag = F.when(F.col("translated"), 0).otherwise(1).alias("untranslated")
-    best = lambda key: old.groupBy(key).agg(F.min(F.struct(flag, F.col("doc_id").alias("old_doc"), F.col("line_no").alias("old_line"))).alias("b"))
+    best = lambda key: old.groupBy(key).agg(F.min(packed(~F.col("translated"))).alias("b"))
     # Equal lines also have equal normal forms: the normal form's best decides unless the line's own is as translated.
     exact, near = best("line").withColumnRenamed("b", "exact"), best("norm").withColumnRenamed("b", "near")
     met = new.select("doc_id", "line_no", "line", "norm").join(near, "norm").join(exact, "line", "left")
-    rank = lambda b, tier: F.struct(F.col(f"{b}.untranslated"), F.lit(tier).alias("tier"), F.col(f"{b}.old_doc"), F.col(f"{b}.old_line"))
-    won = F.least(F.when(F.col("exact").isNotNull(), rank("exact", 0)), F.when(F.col("exact").isNull() | (F.col("near") < F.col("exact")), rank("near", 1)))
-    return met.select("doc_id", "line_no", won.alias("r")).select("doc_id", "line_no", "r.untranslated", "r.tier", "r.old_doc", "r.old_line")
+    flag = lambda c: F.shiftright(c, 62)
+    own = F.coalesce(flag("exact") == flag("near"), F.lit(False))
+    won = met.select("doc_id", "line_no", F.when(own, 0).otherwise(1).alias("tier"), F.when(own, F.col("exact")).otherwise(F.col("near")).alias("r"))
+    return won.select("doc_id", "line_no", flag("r").cast("int").alias("untranslated"), "tier", doc_of(F.col("r")).alias("old_doc"), line_of(F.col("r")).alias("old_line"))
 
 
 @registered(f"with {CATALOGS} select doc_id, line_no from old where line not in (select line from new) and norm not in (select norm from new)")
@@ -329,13 +350,13 @@ def header_footer_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("""select event_id, last_value(case when event_type = 'error' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_error from events""")
 def carry_forward_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return ordering.carried_forward(e, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "error", F.col("event_id")), "last_error").select("event_id", "last_error")
+    return ordering.carried_forward(e, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), F.when(F.col("event_type") == "error", F.col("event_id")), "last_error").select("event_id", "last_error")
 
 
 @registered("""select conv_id, turn, first_value(case when role <> 'system' then turn end ignore nulls) over (partition by conv_id order by turn rows between 1 following and unbounded following) as next_turn from conversations""")
 def next_non_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return ordering.next_where(c, ["conv_id"], ["turn"], F.col("turn"), F.col("role") != "system", "next_turn").select("conv_id", "turn", "next_turn")
+    return ordering.next_where(c, ["conv_id"], ["turn"], F.expr(f"turn div {BLOCK}"), F.col("turn"), F.col("role") != "system", "next_turn").select("conv_id", "turn", "next_turn")
 
 
 @registered("""with b as (select *, case when lag(role) over (partition by conv_id order by turn) = 'user' then 0 else 1 end as begins from conversations),
@@ -343,7 +364,7 @@ def next_non_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
   select conv_id, island, min(turn) as first_turn, max(turn) as last_turn, string_agg(text, chr(10) order by turn) as text from g group by conv_id, island""")
 def continuation_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn after a user's turn joins it, as a line joins one that ends in a continuation mark."""
-    c = ordering.islands(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.col("role") == "user", "island")
+    c = ordering.islands(read(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], F.expr(f"turn div {BLOCK}"), F.col("role") == "user", "island")
     text = F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text"))).getField("text"), "\n")
     return c.groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), text.alias("text"))
 
@@ -361,9 +382,10 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
   select conv_id, turn, coalesce(sum(delta) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as shift from e""")
 def running_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By how much earlier replacements move a later one, if each space gained a character."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     delta = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.sum(delta).over(before), F.lit(0)).cast("long").alias("shift"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", delta.alias("delta"))
+    found = ordering.scanned(turns, ["conv_id"], ["turn"], F.expr(f"turn div {BLOCK}"), F.col("delta"), "shift", total=True, own=False)
+    return found.select("conv_id", "turn", F.coalesce("shift", F.lit(0)).cast("long").alias("shift"))
 
 
 ALIASES = ("ECONOMY", "ECONOMY ANODIZED", "LARGE", "LARGE BRUSHED", "MEDIUM", "PROMO", "PROMO BURNISHED", "SMALL", "SMALL PLATED", "STANDARD", "STANDARD POLISHED")
@@ -413,8 +435,8 @@ def autocomplete_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"with {LINES} select line, arg_min({{'doc_id': doc_id, 'line_no': line_no}}, (doc_id, line_no)).doc_id as doc_id, arg_min({{'doc_id': doc_id, 'line_no': line_no}}, (doc_id, line_no)).line_no as line_no from lines group by line")
 def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each distinct line stands first."""
-    first = document_lines(spark, sf_dir).groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    return first.select("line", "at.doc_id", "at.line_no")
+    first = document_lines(spark, sf_dir).groupBy("line").agg(F.min(packed()).alias("at"))
+    return first.select("line", doc_of(F.col("at")).alias("doc_id"), line_of(F.col("at")).alias("line_no"))
 
 
 @registered("""select source, bool_and(n_chars > 10) as ok, bool_or(n_chars > 10000) as any_long, count(distinct lang) as langs from documents group by source""")
@@ -446,8 +468,9 @@ def nearby_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""with {LINES} select doc_id, line_no, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint as start from lines""")
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each line of a text begins."""
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return document_lines(spark, sf_dir).select("doc_id", "line_no", F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)).cast("long").alias("start"))
+    lines = document_lines(spark, sf_dir).select("doc_id", "line_no", (F.char_length("line") + 1).alias("size"))
+    found = ordering.scanned(lines, ["doc_id"], ["line_no"], F.expr(f"line_no div {BLOCK}"), F.col("size"), "start", total=True, own=False)
+    return found.select("doc_id", "line_no", F.coalesce("start", F.lit(0)).cast("long").alias("start"))
 
 
 @registered("""select user_id, array_to_string(list_slice(list_sort(list_distinct(list(event_type))), 1, 3), ', ') as shown, count(distinct event_type) as kinds from events group by user_id""")
