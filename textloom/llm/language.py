@@ -1,8 +1,8 @@
 """Language identification by nearest centroid over normalised TF-IDF vectors of byte trigrams.
 
-Training: a bounded sample of labelled rows, ``SAMPLE`` for each language (whole texts) and ``MOST_ROWS`` in all, gives
-trigram document frequencies and, by spherical k-means, ``CENTROIDS`` centroids for each language; the ``LANGUAGES``
-most frequent labels are learnt. Prediction: every whole text's vector is compared with all centroids by cosine; the
+Training: a bounded sample of labelled rows, ``SAMPLE`` for each language (whole texts), fewer where that makes more than
+``MOST_ROWS`` in all but not under ``LEAST_ROWS``, gives trigram document frequencies and, by spherical k-means,
+``CENTROIDS`` centroids for each language; every label is learnt. Prediction: every whole text's vector is compared with all centroids by cosine; the
 nearest centroid's language wins. A text is rejected if its best cosine lies below the floor of its length class,
 which is half of what all but a two-hundredth of the sample reach. As few sampled texts are short, each also gives a
 stretch of every short length class for the floors, and a class without samples takes the floor of the class below.
@@ -14,6 +14,7 @@ Repeated rows give repeated results, and enter the sample once; other input colu
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from dataclasses import dataclass
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, map_batches, once, texts_of
+from .common import counted as held
+from .common import durable, fresh, give_back, map_batches, once, texts_of
 
 UNKNOWN = "und"
 #: Labelled rows that a language's training reads about at most, dimensions, centroids for each language.
 SAMPLE, DIMENSIONS, CENTROIDS, ROUNDS = 300, 1 << 13, 4, 12
-#: Languages that are learnt, most frequent first, and rows of the sample of all of them, about.
-LANGUAGES, MOST_ROWS = 200, 4800
+#: Rows of the sample of all languages together, about, and of each where they are many; all of them are learnt.
+MOST_ROWS, LEAST_ROWS = 4800, 24
 #: Length classes of which every sampled text gives a stretch; a length class is the logarithm of the trigrams to base 2.
 SHORT_CLASSES = range(1, 8)
 #: Texts are counted in stretches of so many bytes, and so many texts at once.
@@ -139,16 +141,17 @@ def dense(rows: list[bytes]) -> np.ndarray:
 def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
     """Learns from columns doc_id, text, lang; None if there is nothing to learn from.
 
-    Languages are counted over all rows. Rows enter by a hash of doc_id and text against sample / count, so about
-    ``sample`` of each language do, fewer where many languages share ``MOST_ROWS``.
+    Languages are counted over all rows, and all are learnt. Rows enter by a hash of doc_id and text against sample / count,
+    so about ``sample`` of each language do, fewer where many languages share ``MOST_ROWS``, but not under ``LEAST_ROWS``.
+    The sample and the centroids grow with the number of languages alone; texts are dense only a language at a time.
     """
-    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in counted.collect()}  # LANGUAGES rows at most
-    if not counts:
+    counts = durable(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    many = counts.count()
+    if not many:
         return None
-    each = min(sample, MOST_ROWS // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, float(min(1.0, each / n)))])[F.col("lang")]
-    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)
+    each = min(sample, max(LEAST_ROWS, MOST_ROWS // many))
+    part = F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * (1 << 20)
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20)) < part
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
@@ -158,22 +161,23 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         columns = [batch.column("lang"), pa.array([sparse(c) for c in trigram_counts(texts)], pa.binary()), pa.array([short[i * k : (i + 1) * k] for i in range(len(texts))], pa.list_(pa.binary()))]
         return pa.RecordBatch.from_arrays(columns, ["lang", "counts", "short"])
 
-    once_each = labelled.filter(drawn).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
-    rows = map_batches(once_each, work, "lang string, counts binary, short array<binary>").collect()  # about MOST_ROWS
+    once_each = labelled.join(held(counts), "lang").filter(drawn).dropDuplicates(["doc_id", "text", "lang"]).select("text", "lang")
+    rows = map_batches(once_each, work, "lang string, counts binary, short array<binary>").collect()  # about MOST_ROWS, or LEAST_ROWS a language
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
-    raw = dense([bytes(r["counts"]) for r in rows])
-    own = np.array([langs.index(r["lang"]) for r in rows])
-    model = Model(langs, np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))).astype(np.float32) + 0.1, np.zeros(0), np.zeros(0, int), np.zeros(LENGTH_CLASSES))
-    vectors = model.vectors(raw)
-    means = [clustered(vectors[own == i], centroids) for i in range(len(langs))]
+    texts_with = np.zeros(DIMENSIONS, np.int64)
+    for r in rows:
+        texts_with[np.frombuffer(bytes(r["counts"]), "<u4", len(r["counts"]) // 8)] += 1
+    model = Model(langs, np.log((1 + len(rows)) / (1 + texts_with)).astype(np.float32) + 0.1, np.zeros(0), np.zeros(0, int), np.zeros(LENGTH_CLASSES))
+    means = [clustered(model.vectors(dense([bytes(r["counts"]) for r in own])), centroids) for _, own in itertools.groupby(rows, key=lambda r: r["lang"])]
     model.centroids = np.concatenate(means).astype(np.float32)
     model.owner = np.repeat(np.arange(len(langs)), [len(m) for m in means])
-    best, classes = [(vectors @ model.centroids.T).max(axis=1)], [length_class(raw)]
+    best, classes = [], []
     for at in range(0, len(rows), TOGETHER):
-        cuts = dense([bytes(s) for r in rows[at : at + TOGETHER] for s in r["short"] if s])
+        some = rows[at : at + TOGETHER]
+        cuts = dense([*(bytes(r["counts"]) for r in some), *(bytes(s) for r in some for s in r["short"] if s)])
         if len(cuts):
             best.append((model.vectors(cuts) @ model.centroids.T).max(axis=1))
             classes.append(length_class(cuts))

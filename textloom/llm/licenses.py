@@ -1,14 +1,17 @@
 """License scans with built-in functions alone: sparse TF-IDF cosine to templates, then inheritance by path.
 
-Notices, headers and whole licence texts are the templates. What is compared with them are single lines and windows
-of ``WINDOWS`` lines, each half over the one before, so that a header may be wrapped over lines and stand anywhere
-in a file. A window's vector holds the inverse document frequency, among the templates, of each of its terms (a term
-counts once, however often it occurs, so a window needs no shuffle to be weighed). A file's own license is that of its
-best window at or above the threshold. A file that is named like a licence file gives its license to its directory;
-a file without one takes it from the nearest directory at or above its own that has one.
-
-Windows that can't reach the threshold are left out before anything is shuffled, and no others: the terms that no
-template has make a window's vector too long for any product with a template to reach it. No word is a keyword.
+Notices, headers and whole licence texts are the templates. What is compared with them are single lines and overlapping
+windows of ``WINDOWS`` lines, so close to each other that a header or licence text that is wrapped over lines lies whole
+in one of them wherever it stands in a file. A window's vector holds, for each of its terms, how often it occurs times
+its inverse document frequency among the templates. Windows of ``LARGE`` lines and more are compared with templates of
+``LONG`` terms and more, as shorter ones show in shorter windows. A file's own license is that of its best window at or
+above the threshold. A file that is named like a licence file gives its license to its directory; a file without one
+takes it from the nearest directory at or above its own that has one.
+
+Windows that can't reach the threshold are left out before anything is shuffled, and no others. The terms that no
+template has make a window's vector too long for any product with a template to reach it. And the weights of a window's
+terms in a template have to make up the threshold; stretches of ``BLOCK`` lines whose terms don't in any long template
+have no large window. No word is a keyword.
 
 Templates and their weights are a few thousand fixed rows. Products are added up map-side, so no group
 grows with the number of files; files of one directory meet its single row by a join that adaptive execution
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,14 +123,18 @@ TEMPLATES = (
         is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
         included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
         EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
-        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""",
+        NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+        IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
     ),
     (
         "ISC",
         """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
         provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND
         THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
-        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES.""",
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+        WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+        ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
     *[
         (
@@ -138,7 +146,9 @@ TEMPLATES = (
             THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
             BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
             SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
-            DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY.""",
+            DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+            INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+            NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
         )
         for name, third in (
             ("BSD-2-Clause", ""),
@@ -153,7 +163,10 @@ TEMPLATES = (
         "Unlicense",
         """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
         sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
-        non-commercial, and by any means.""",
+        non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate
+        any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at
+        large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in
+        perpetuity of all present and future rights to this software under copyright law.""",
     ),
     (
         "Apache-2.0",
@@ -174,41 +187,65 @@ TEMPLATES = (
     ],
 )
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
-#: Lines of a window.
-WINDOWS = (1, 4, 32)
+#: Lines of a window, and how far the next one begins; a text of up to their difference and one more lies whole in one.
+WINDOWS = ((1, 1), (4, 2), (12, 4), (32, 4), (64, 16))
+#: Lines from which a window is large, terms from which a template is long, lines of a block of the first look (a multiple of all steps).
+LARGE, LONG, BLOCK = 12, 20, 64
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.][a-z]+)?$"
 
 
-def terms_of(template: str) -> list[str]:
-    return sorted(set(re.findall(TERM, template.lower())))
+def terms_of(template: str) -> Counter[str]:
+    return Counter(re.findall(TERM, template.lower()))
 
 
-def weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
-    """Rows (template, license, term, weight of a unit vector), the terms' inverse document frequencies, that of other terms."""
+def weights() -> tuple[list[tuple[int, str, str, float, bool]], dict[str, float], float]:
+    """Rows (template, license, term, weight of a unit vector, long), the terms' inverse document frequencies, that of other terms."""
     terms = [terms_of(text) for _, text in TEMPLATES]
     n = len(terms)
     idf = {t: math.log((1 + n) / (1 + sum(t in own for own in terms))) + 1 for t in sorted(set().union(*terms))}
     rows = []
     for i, ((name, _), own) in enumerate(zip(TEMPLATES, terms, strict=True)):
-        norm = math.sqrt(sum(idf[t] ** 2 for t in own))
-        rows += [(i, name, t, idf[t] / norm) for t in own]
+        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items()))
+        rows += [(i, name, t, c * idf[t] / norm, len(own) >= LONG) for t, c in sorted(own.items())]
     return rows, idf, math.log(1 + n) + 1
 
 
-def windows(text: Column) -> Column:
-    """The distinct terms of each window, as an array of arrays."""
+def windows(text: Column, vocabulary: Column, heaviest: Column, threshold: float) -> Column:
+    """The terms of each window, as an array of (large, terms, held); held are those that some template has, repeats included.
+
+    heaviest: the largest square of a term's weight in a long template. A large window reaches the threshold only if the
+    squares of its terms make up the threshold's square; blocks in which all terms together don't have none.
+    """
     lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"({TERM})")))
+    last = lambda found, size, step: F.ceil(F.greatest(F.lit(0), F.size(found) - size) / step).cast("int") * step
+    none = F.array().cast("array<int>")
+    bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  the array of one binds a value to a name, so it is made once
+
+    def known(line: Column) -> Column:
+        return bound(F.array_intersect(line, vocabulary), lambda some: F.filter(line, lambda t: F.array_contains(some, t)))
+
+    def at(found: Column, held: Column, starts: Column, size: int) -> Column:
+        cut = lambda rows, start: F.flatten(F.slice(rows, start + 1, size))
+        return F.transform(starts, lambda start: F.named_struct(F.lit("large"), F.lit(size >= LARGE), F.lit("terms"), cut(found, start), F.lit("held"), cut(held, start)))
+
+    def able(held: Column, block: Column) -> Column:
+        terms = F.array_distinct(F.flatten(F.slice(held, block + 1, BLOCK + WINDOWS[-1][0])))
+        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(heaviest, t), F.lit(0.0))) >= threshold**2 - 1e-9
 
-    def of_size(found: Column, size: int, shorter: int) -> Column:
-        half = max(1, size // 2)
-        last = F.greatest(F.lit(0), F.size(found) - half - int(size > 1))
-        starts = F.when(F.size(found) > shorter, F.sequence(F.lit(0), last, F.lit(half))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.array_distinct(F.flatten(F.slice(found, at + 1, size))))
+    def in_blocks(found: Column, blocks: Column, size: int, step: int) -> Column:
+        ends = lambda b: F.least(b + BLOCK - step, last(found, size, step))
+        return F.flatten(F.transform(blocks, lambda b: F.when(ends(b) >= b, F.sequence(b, ends(b), F.lit(step))).otherwise(none)))
 
-    def every(found: Column) -> Column:
-        return F.concat(*[of_size(found, size, shorter) for size, shorter in zip(WINDOWS, (0, *WINDOWS), strict=False)])
+    def every(found: Column, held: Column, blocks: Column) -> Column:
+        shorter, out = 0, []
+        for size, step in WINDOWS:
+            starts = F.sequence(F.lit(0), last(found, size, step), F.lit(step)) if size < LARGE else in_blocks(found, blocks, size, step)
+            out.append(at(found, held, F.when(F.size(found) > shorter, starts).otherwise(none), size))
+            shorter = size
+        return F.concat(*out)
 
-    return F.transform(F.array(lines), every)[0]  # the array of one binds the lines to a name, so they are split once
+    blocks = lambda found, held: F.filter(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), lambda b: able(held, b))
+    return bound(lines, lambda found: bound(F.transform(found, known), lambda held: bound(blocks(found, held), lambda b: every(found, held, b))))
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,16 +254,25 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows, idf, other = weights()
     vocabulary = F.array(*map(F.lit, idf))
     known = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
-    found = files.select("file", F.posexplode(windows(F.col("text"))).alias("window", "terms"))
-    held = found.select("file", "window", F.array_intersect("terms", vocabulary).alias("held"), (F.size("terms") * other**2).alias("room"))
-    held = held.withColumn("room", F.col("room") - F.size("held") * other**2)  # what terms that no template has add to the square of the length
-    # First as if all known terms were as heavy as the heaviest, then exactly.
+    squares: dict[str, float] = {}
+    for _, _, term, share, long in rows:
+        if long:
+            squares[term] = max(squares.get(term, 0.0), share**2)
+    heaviest = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
+    found = files.select("file", F.posexplode(windows(F.col("text"), vocabulary, heaviest, threshold)).alias("window", "w")).select("file", "window", "w.large", "w.terms", "w.held")
+    room = (F.size("terms") - F.size("held")) * other**2  # at least this do terms that no template has add to the square of the length
+    # First as if all known terms were one, and as heavy as the heaviest, then exactly.
     part = threshold**2 / (1 - threshold**2) - 1e-9
-    able = held.filter(F.col("room") * part <= max(idf.values()) ** 2 * F.size("held"))
-    able = able.withColumn("squares", F.aggregate("held", F.lit(0.0), lambda s, t: s + known[t] * known[t])).filter(F.col("room") * part <= F.col("squares"))
-    weighed = able.select("file", "window", F.sqrt(F.col("squares") + F.col("room")).alias("norm"), F.explode("held").alias("term"))
-    templates = F.broadcast(spark.createDataFrame([(*r, idf[r[2]]) for r in rows], "template int, license string, term string, share double, idf double"))
-    dots = weighed.join(templates, "term").groupBy("file", "window", "template", "license", "norm").agg(F.sum(F.col("idf") * F.col("share")).alias("dot"))
+    able = found.filter((F.size("held") > 0) & (room * part <= max(idf.values()) ** 2 * F.size("held") * F.size("held")))
+    times = lambda some, terms: F.transform(some, lambda t: F.named_struct(F.lit("term"), t, F.lit("n"), F.size(F.filter(terms, lambda x: x == t))))
+    added = lambda counts, weight: F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.pow(c["n"] * weight(c), F.lit(2.0)))
+    able = able.withColumn("counts", times(F.array_distinct("held"), F.col("held")))
+    able = able.withColumn("squares", added(F.col("counts"), lambda c: F.element_at(known, c["term"]))).filter(room * part <= F.col("squares"))
+    rest = added(times(F.array_except("terms", "held"), F.col("terms")), lambda c: F.lit(other))
+    weighed = able.select("file", "window", "large", F.sqrt(F.col("squares") + rest).alias("norm"), F.explode("counts").alias("c")).select("file", "window", "large", "norm", "c.term", "c.n")
+    templates = F.broadcast(spark.createDataFrame([(*r, idf[r[2]]) for r in rows], "template int, license string, term string, share double, long boolean, idf double"))
+    met = weighed.join(templates, "term").filter(~F.col("large") | F.col("long"))
+    dots = met.groupBy("file", "window", "template", "license", "norm").agg(F.sum(F.col("n") * F.col("idf") * F.col("share")).alias("dot"))
     scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
     best = scored.groupBy("file", "license").agg(F.max("score").alias("score")).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     return best.select("file", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
@@ -282,7 +328,7 @@ DOCUMENT_PATH = (
 def scan_documents(docs: DataFrame) -> DataFrame:
     """The scan over documents under the paths above; a row without doc_id lies in its source's directory."""
     path = F.coalesce(F.expr(DOCUMENT_PATH), F.concat(F.coalesce("source", F.lit("none")), F.lit("/unnamed.txt")))
-    # Equal rows share a key: their counts double alike, which no cosine notices, and each gets the result.
+    # Equal rows share a key, as their windows have the same numbers: sums double alike for all of a window's templates.
     key = F.concat_ws(":", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text", path)))
     found = scan(docs.select("doc_id", "text", path.alias("path"), key.alias("file")))
     return found.select("doc_id", "path", "origin", "license", "score", "from_dir")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, numbered
+from .common import counted, durable, numbered
 
 ROUNDS, SLACK, BUCKETS = 6, 0.25, 1 << 10
 #: Rows that are numbered together.
@@ -107,7 +107,8 @@ def levelled(state: DataFrame, shards: int, rows: int) -> DataFrame:
 
     Each sweep takes a finer part than the one before, so what remains uneven shrinks by a factor of BUCKETS or comes
     down to single documents. Groups are cut only after the first sweep (one may be larger than a shard), and rows equal
-    in doc_id and text only in the last ones.
+    in doc_id and text only in the last ones. state: as from propagate, and ``own``, a number for each row that doesn't
+    depend on the layout.
     """
     spark = state.sparkSession
     loads = load(state, shards)
@@ -115,7 +116,7 @@ def levelled(state: DataFrame, shards: int, rows: int) -> DataFrame:
     for sweep, (unit, power) in enumerate(SWEEPS):
         if unit == "node" and loads.max() - loads.min() <= EVEN * mean:
             break
-        own = F.coalesce(F.when(F.lit(unit == "hub") & F.col("hub").isNotNull(), F.xxhash64("hub")), F.col("node" if unit == "node" else "mark"))
+        own = F.coalesce(F.when(F.lit(unit == "hub") & F.col("hub").isNotNull(), F.xxhash64("hub")), F.col("own" if unit == "node" else "mark"))
         part = F.pmod(F.xxhash64(own, F.lit(100 + sweep)), F.lit(min(64**power, max(1, rows // BUCKETS)))) == 0
         marked = state.withColumn("linked", F.col("hub").isNotNull()).withColumn("b", F.pmod(F.xxhash64(own, F.lit(200 + sweep)), F.lit(BUCKETS)).cast("int"))
         cells = marked.filter(part & F.col("shard").isin([i for i in range(shards) if loads[i] > mean])).groupBy("shard", "linked", "b").agg(F.sum("size").alias("s"))
@@ -130,12 +131,23 @@ def levelled(state: DataFrame, shards: int, rows: int) -> DataFrame:
             continue
         table = F.broadcast(spark.createDataFrame(moves, "shard int, linked boolean, b int, moved int"))  # as bounded
         found = marked.join(table, ["shard", "linked", "b"], "left")
-        state = found.select("node", "size", "hub", "mark", F.when(part, F.coalesce("moved", "shard")).otherwise(F.col("shard")).alias("shard"))
+        state = found.select("node", "size", "hub", "mark", "own", F.when(part, F.coalesce("moved", "shard")).otherwise(F.col("shard")).alias("shard"))
         state = durable(state)
         loads = load(state, shards)
     return state
 
 
+def told_apart(rows: DataFrame, spread: int) -> DataFrame:
+    """(node, own): a hash of doc_id, text and, for rows equal in both, which of them it is, whatever the layout of the files."""
+    key = rows.select("node", F.xxhash64("doc_id", "hub").alias("key"))
+    several = durable(key.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    if several.isEmpty():
+        return key.select("node", F.col("key").alias("own"))
+    few = counted(several)
+    copies = numbered(key.join(few, "key", "left_semi"), ["key"], ["node"], "copy", spread)
+    return key.join(few, "key", "left_anti").select("node", F.col("key").alias("own")).unionByName(copies.select("node", F.xxhash64("key", "copy").alias("own")))
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """A row for each document: size, CRC-32 of the text, law, shard, gapless slot in the shard."""
     text = F.coalesce("text", F.lit(""))
@@ -151,9 +163,9 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     links = rows.join(groups, "hub", "left_semi").select("node", "hub")
     mark = F.xxhash64("doc_id", "text_crc32")  # the same whatever the layout of the files
     nodes = rows.select("node", "size", mark.alias("mark"), F.pmod(mark, F.lit(shards)).cast("int").alias("shard"))
-    state = levelled(propagate(nodes, links, shards), shards, total)
-    placed = rows.join(state.select("node", "shard"), "node")
     spread = max(8, total // ROWS_A_BUCKET)
-    return numbered(placed, ["shard"], ["doc_id", "node"], "slot", spread).select(
+    state = levelled(propagate(nodes, links, shards).join(told_apart(rows, spread), "node"), shards, total)
+    placed = rows.join(state.select("node", "own", "shard"), "node")
+    return numbered(placed, ["shard"], ["doc_id", "own"], "slot", spread).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast(T.IntegerType()).alias("grown_shard")
     )
