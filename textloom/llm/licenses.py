@@ -211,7 +211,7 @@ def weights() -> tuple[list[tuple[int, str, str, float, bool]], dict[str, float]
 
 
 def windows(text: Column, vocabulary: Column, heaviest: Column, threshold: float) -> Column:
-    """The terms of each window, as an array of (large, terms, held); held are those that some template has, repeats included.
+    """The terms of each window, as an array of (large, held, rest); held are those that some template has, rest all others, repeats included.
 
     heaviest: the largest square of a term's weight in a long template. A large window reaches the threshold only if the
     squares of its terms make up the threshold's square; blocks in which all terms together don't have none.
@@ -221,31 +221,44 @@ def windows(text: Column, vocabulary: Column, heaviest: Column, threshold: float
     none = F.array().cast("array<int>")
     bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  the array of one binds a value to a name, so it is made once
 
-    def known(line: Column) -> Column:
-        return bound(F.array_intersect(line, vocabulary), lambda some: F.filter(line, lambda t: F.array_contains(some, t)))
+    def parted(line: Column) -> Column:
+        """A line's terms that some template has, and the others."""
+        own = lambda some, inside: F.filter(line, lambda t: F.array_contains(some, t) == inside)
+        return bound(F.array_intersect(line, vocabulary), lambda some: F.array(own(some, True), own(some, False)))
 
-    def at(found: Column, held: Column, starts: Column, size: int) -> Column:
-        cut = lambda rows, start: F.flatten(F.slice(rows, start + 1, size))
-        return F.transform(starts, lambda start: F.named_struct(F.lit("large"), F.lit(size >= LARGE), F.lit("terms"), cut(found, start), F.lit("held"), cut(held, start)))
+    def at(found: Column, starts: Column, size: int) -> Column:
+        cut = lambda start, side: F.flatten(F.transform(F.slice(found, start + 1, size), lambda line: line[side]))
+        return F.transform(starts, lambda start: F.named_struct(F.lit("large"), F.lit(size >= LARGE), F.lit("held"), cut(start, 0), F.lit("rest"), cut(start, 1)))
 
-    def able(held: Column, block: Column) -> Column:
-        terms = F.array_distinct(F.flatten(F.slice(held, block + 1, BLOCK + WINDOWS[-1][0])))
+    def able(found: Column, block: Column) -> Column:
+        terms = F.array_distinct(F.flatten(F.transform(F.slice(found, block + 1, BLOCK + WINDOWS[-1][0]), lambda line: line[0])))
         return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(heaviest, t), F.lit(0.0))) >= threshold**2 - 1e-9
 
     def in_blocks(found: Column, blocks: Column, size: int, step: int) -> Column:
         ends = lambda b: F.least(b + BLOCK - step, last(found, size, step))
         return F.flatten(F.transform(blocks, lambda b: F.when(ends(b) >= b, F.sequence(b, ends(b), F.lit(step))).otherwise(none)))
 
-    def every(found: Column, held: Column, blocks: Column) -> Column:
+    def every(found: Column, blocks: Column) -> Column:
         shorter, out = 0, []
         for size, step in WINDOWS:
             starts = F.sequence(F.lit(0), last(found, size, step), F.lit(step)) if size < LARGE else in_blocks(found, blocks, size, step)
-            out.append(at(found, held, F.when(F.size(found) > shorter, starts).otherwise(none), size))
+            out.append(at(found, F.when(F.size(found) > shorter, starts).otherwise(none), size))
             shorter = size
         return F.concat(*out)
 
-    blocks = lambda found, held: F.filter(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), lambda b: able(held, b))
-    return bound(lines, lambda found: bound(F.transform(found, known), lambda held: bound(blocks(found, held), lambda b: every(found, held, b))))
+    blocks = lambda found: F.filter(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), lambda b: able(found, b))
+    return bound(F.transform(lines, parted), lambda found: bound(blocks(found), lambda b: every(found, b)))
+
+
+def square_counts(terms: Column) -> Column:
+    """The sum of the squares of how often each term occurs, from one walk over the terms in order."""
+    first = F.named_struct(F.lit("term"), F.lit(""), F.lit("n"), F.lit(0), F.lit("sum"), F.lit(0.0))
+
+    def step(a: Column, t: Column) -> Column:
+        n = F.when(a["term"] == t, a["n"] + 1).otherwise(1)
+        return F.named_struct(F.lit("term"), t, F.lit("n"), n, F.lit("sum"), a["sum"] + 2 * n - 1)
+
+    return F.aggregate(F.array_sort(terms), first, step, lambda a: a["sum"])
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -259,17 +272,16 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if long:
             squares[term] = max(squares.get(term, 0.0), share**2)
     heaviest = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
-    found = files.select("file", F.posexplode(windows(F.col("text"), vocabulary, heaviest, threshold)).alias("window", "w")).select("file", "window", "w.large", "w.terms", "w.held")
-    room = (F.size("terms") - F.size("held")) * other**2  # at least this do terms that no template has add to the square of the length
-    # First as if all known terms were one, and as heavy as the heaviest, then exactly.
+    found = files.select("file", F.posexplode(windows(F.col("text"), vocabulary, heaviest, threshold)).alias("window", "w")).select("file", "window", "w.large", "w.held", "w.rest")
+    # First as if all known terms were one, and as heavy as the heaviest, and no other came twice; then exactly.
     part = threshold**2 / (1 - threshold**2) - 1e-9
-    able = found.filter((F.size("held") > 0) & (room * part <= max(idf.values()) ** 2 * F.size("held") * F.size("held")))
+    able = found.filter((F.size("held") > 0) & (F.size("rest") * other**2 * part <= max(idf.values()) ** 2 * F.size("held") * F.size("held")))
+    able = able.withColumn("room", square_counts(F.col("rest")) * other**2).filter(F.col("room") * part <= max(idf.values()) ** 2 * square_counts(F.col("held")))
     times = lambda some, terms: F.transform(some, lambda t: F.named_struct(F.lit("term"), t, F.lit("n"), F.size(F.filter(terms, lambda x: x == t))))
     added = lambda counts, weight: F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.pow(c["n"] * weight(c), F.lit(2.0)))
     able = able.withColumn("counts", times(F.array_distinct("held"), F.col("held")))
-    able = able.withColumn("squares", added(F.col("counts"), lambda c: F.element_at(known, c["term"]))).filter(room * part <= F.col("squares"))
-    rest = added(times(F.array_except("terms", "held"), F.col("terms")), lambda c: F.lit(other))
-    weighed = able.select("file", "window", "large", F.sqrt(F.col("squares") + rest).alias("norm"), F.explode("counts").alias("c")).select("file", "window", "large", "norm", "c.term", "c.n")
+    able = able.withColumn("squares", added(F.col("counts"), lambda c: F.element_at(known, c["term"]))).filter(F.col("room") * part <= F.col("squares"))
+    weighed = able.select("file", "window", "large", F.sqrt(F.col("squares") + F.col("room")).alias("norm"), F.explode("counts").alias("c")).select("file", "window", "large", "norm", "c.term", "c.n")
     templates = F.broadcast(spark.createDataFrame([(*r, idf[r[2]]) for r in rows], "template int, license string, term string, share double, long boolean, idf double"))
     met = weighed.join(templates, "term").filter(~F.col("large") | F.col("long"))
     dots = met.groupBy("file", "window", "template", "license", "norm").agg(F.sum(F.col("n") * F.col("idf") * F.col("share")).alias("dot"))
