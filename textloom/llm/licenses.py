@@ -2,8 +2,8 @@
 
 Notices, headers and whole licence texts are the templates. What is compared with them are single lines and overlapping
 windows of ``WINDOWS`` lines, so close to each other that a header or licence text that is wrapped over lines lies whole
-in one of them wherever it stands in a file. A window's vector holds, for each of its terms, how often it occurs times
-its inverse document frequency among the templates. Windows of ``LARGE`` lines and more are compared with templates of
+in one of them wherever it stands in a file. A window's vector holds, for each of its terms, how often it occurs (one
+more than its logarithm) times its inverse document frequency among the templates. Windows of ``LARGE`` lines and more are compared with templates of
 ``LONG`` terms and more, as shorter ones show in shorter windows. A file's own license is that of its best window at or
 above the threshold. A file that is named like a licence file gives its license to its directory; a file without one
 takes it from the nearest directory at or above its own that has one.
@@ -198,6 +198,11 @@ def terms_of(template: str) -> Counter[str]:
     return Counter(re.findall(TERM, template.lower()))
 
 
+def damped(n: int) -> float:
+    """The term frequency that counts: one more than the logarithm of how often a term occurs."""
+    return 1 + math.log(n)
+
+
 def weights() -> tuple[list[tuple[int, str, str, float, bool]], dict[str, float], float]:
     """Rows (template, license, term, weight of a unit vector, long), the terms' inverse document frequencies, that of other terms."""
     terms = [terms_of(text) for _, text in TEMPLATES]
@@ -205,8 +210,8 @@ def weights() -> tuple[list[tuple[int, str, str, float, bool]], dict[str, float]
     idf = {t: math.log((1 + n) / (1 + sum(t in own for own in terms))) + 1 for t in sorted(set().union(*terms))}
     rows = []
     for i, ((name, _), own) in enumerate(zip(TEMPLATES, terms, strict=True)):
-        norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items()))
-        rows += [(i, name, t, c * idf[t] / norm, len(own) >= LONG) for t, c in sorted(own.items())]
+        norm = math.sqrt(sum((damped(c) * idf[t]) ** 2 for t, c in own.items()))
+        rows += [(i, name, t, damped(c) * idf[t] / norm, len(own) >= LONG) for t, c in sorted(own.items())]
     return rows, idf, math.log(1 + n) + 1
 
 
@@ -251,12 +256,14 @@ def windows(text: Column, vocabulary: Column, heaviest: Column, threshold: float
 
 
 def square_counts(terms: Column) -> Column:
-    """The sum of the squares of how often each term occurs, from one walk over the terms in order."""
+    """The sum of the squares of the terms' damped frequencies, from one walk over the terms in order."""
     first = F.named_struct(F.lit("term"), F.lit(""), F.lit("n"), F.lit(0), F.lit("sum"), F.lit(0.0))
 
     def step(a: Column, t: Column) -> Column:
         n = F.when(a["term"] == t, a["n"] + 1).otherwise(1)
-        return F.named_struct(F.lit("term"), t, F.lit("n"), n, F.lit("sum"), a["sum"] + 2 * n - 1)
+        square = lambda k: F.pow(1 + F.log(k), F.lit(2.0))
+        more = F.when(a["term"] == t, square(a["n"] + 1) - square(a["n"])).otherwise(F.lit(1.0))
+        return F.named_struct(F.lit("term"), t, F.lit("n"), n, F.lit("sum"), a["sum"] + more)
 
     return F.aggregate(F.array_sort(terms), first, step, lambda a: a["sum"])
 
@@ -273,18 +280,18 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             squares[term] = max(squares.get(term, 0.0), share**2)
     heaviest = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
     found = files.select("file", F.posexplode(windows(F.col("text"), vocabulary, heaviest, threshold)).alias("window", "w")).select("file", "window", "w.large", "w.held", "w.rest")
-    # First as if all known terms were one, and as heavy as the heaviest, and no other came twice; then exactly.
+    # First as if all known terms were as heavy as the heaviest, then exactly.
     part = threshold**2 / (1 - threshold**2) - 1e-9
-    able = found.filter((F.size("held") > 0) & (F.size("rest") * other**2 * part <= max(idf.values()) ** 2 * F.size("held") * F.size("held")))
+    able = found.filter(F.size("held") > 0)
     able = able.withColumn("room", square_counts(F.col("rest")) * other**2).filter(F.col("room") * part <= max(idf.values()) ** 2 * square_counts(F.col("held")))
     times = lambda some, terms: F.transform(some, lambda t: F.named_struct(F.lit("term"), t, F.lit("n"), F.size(F.filter(terms, lambda x: x == t))))
-    added = lambda counts, weight: F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.pow(c["n"] * weight(c), F.lit(2.0)))
+    added = lambda counts, weight: F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.pow((1 + F.log(c["n"])) * weight(c), F.lit(2.0)))
     able = able.withColumn("counts", times(F.array_distinct("held"), F.col("held")))
     able = able.withColumn("squares", added(F.col("counts"), lambda c: F.element_at(known, c["term"]))).filter(F.col("room") * part <= F.col("squares"))
     weighed = able.select("file", "window", "large", F.sqrt(F.col("squares") + F.col("room")).alias("norm"), F.explode("counts").alias("c")).select("file", "window", "large", "norm", "c.term", "c.n")
     templates = F.broadcast(spark.createDataFrame([(*r, idf[r[2]]) for r in rows], "template int, license string, term string, share double, long boolean, idf double"))
     met = weighed.join(templates, "term").filter(~F.col("large") | F.col("long"))
-    dots = met.groupBy("file", "window", "template", "license", "norm").agg(F.sum(F.col("n") * F.col("idf") * F.col("share")).alias("dot"))
+    dots = met.groupBy("file", "window", "template", "license", "norm").agg(F.sum((1 + F.log("n")) * F.col("idf") * F.col("share")).alias("dot"))
     scored = dots.withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
     best = scored.groupBy("file", "license").agg(F.max("score").alias("score")).groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     return best.select("file", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))

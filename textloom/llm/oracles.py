@@ -25,7 +25,7 @@ def license_scans() -> str:
 with texts(template, license, body) as (values {texts}),
 words as (select template, license, term, count(*) as n from (select template, license, unnest(regexp_extract_all(body, '{licenses.TERM}')) as term from texts) group by all),
 idf as (select term, ln((1 + (select count(*) from texts)) / (1 + count(*))) + 1 as idf from words group by term),
-tpl as (select template, license, term, n * idf / sqrt(sum(n * idf * n * idf) over (partition by template)) as share, count(*) over (partition by template) >= {licenses.LONG} as long from words join idf using (term)),
+tpl as (select template, license, term, (1 + ln(n)) * idf / sqrt(sum(pow((1 + ln(n)) * idf, 2)) over (partition by template)) as share, count(*) over (partition by template) >= {licenses.LONG} as long from words join idf using (term)),
 f as (
   select row_number() over () as file, doc_id, coalesce(text, '') as text,
     coalesce(coalesce(source, 'none') || '/p' || (doc_id // 1000) || '/m' || (doc_id // 100 % 10) || '/' ||
@@ -33,7 +33,7 @@ f as (
   from documents),
 split as (select file, list_transform(string_split(lower(text), chr(10)), lambda x: regexp_extract_all(x, '{licenses.TERM}')) as lines from f),
 w as (select row_number() over () as line, file, large, terms from ({windows})),
-weighed as (select file, line, large, term, n * coalesce(idf, ln(1 + (select count(*) from texts)) + 1) as w
+weighed as (select file, line, large, term, (1 + ln(n)) * coalesce(idf, ln(1 + (select count(*) from texts)) + 1) as w
   from (select file, line, large, term, count(*) as n from (select file, line, large, unnest(terms) as term from w) group by all) left join idf using (term)),
 norms as (select file, line, sqrt(sum(w * w)) as norm from weighed group by all),
 dots as (select file, line, template, license, sum(w * share) as dot from weighed join tpl using (term) where long or not large group by all),
