@@ -178,6 +178,21 @@ def test_trees_of_any_fanout(spark, fanout, lift, sizes):
     assert records == sorted((run, level, pos, d) for run, (levels, _) in trees.items() for level, own in enumerate(levels) for pos, d in enumerate(own))
 
 
+@pytest.mark.parametrize(("fanout", "lift", "n"), [(2, 2, 103), (2, 1, 64), (3, 1, 100)])
+def test_blocks_of_many_parts(spark, fanout, lift, n):
+    """Blocks at the end of their parent's run, and peaks as high as the first round climbs, keep their own node."""
+    own = [sha(str(i)) for i in range(n)]
+    leaves = spark.createDataFrame([("r", i, leaf) for i, leaf in enumerate(own)], "run string, i int, leaf string").repartition(4)
+    levels, paths = plain_tree(own, fanout)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.i: r for r in merkle.prove(leaves, ["i"], fanout, lift).collect()}
+    records = sorted(map(tuple, merkle.node_records(leaves, ["i"], fanout, lift).collect()))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [list(zip(got[i].lefts, got[i].rights, strict=True)) for i in range(n)] == paths
+    assert {(r.subroot, r.root) for r in got.values()} == {(levels[-1][0], levels[-1][0])}
+    assert records == sorted(("r", level, pos, d) for level, own in enumerate(levels) for pos, d in enumerate(own))
+
+
 def test_equal_rows_share_no_range(spark):
     """A third of all rows equal: they are dealt to many ranges, and each has the proof of its own place."""
     leaves = spark.range(3000).select(F.lit("x").alias("run"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("i"), F.sha2(F.when(F.col("id") % 3 == 0, "7").otherwise(F.col("id").cast("string")), 256).alias("leaf"))

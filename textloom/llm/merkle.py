@@ -49,10 +49,10 @@ def height(leaves: int, fanout: int) -> int:
 
 
 class Range:
-    """Mountain range over consecutive nodes; nodes are pushed from left to right."""
+    """Mountain range over consecutive nodes; nodes are pushed from left to right. A node at the level ``top`` stays."""
 
-    def __init__(self, fanout: int) -> None:
-        self.fanout, self.stacks = fanout, defaultdict(list)
+    def __init__(self, fanout: int, top: int | None = None) -> None:
+        self.fanout, self.top, self.stacks = fanout, top, defaultdict(list)
         self.records: list[tuple[int, int, str]] = []
         self.peaks: list[tuple[int, int, str]] = []
         self.beside: dict[tuple[int, int], tuple[str, str]] = {}
@@ -69,7 +69,7 @@ class Range:
 
     def push(self, level: int, pos: int, digest: str) -> None:
         self.stacks[level].append((pos, digest))
-        while (pos + 1) % self.fanout == 0:
+        while level != self.top and (pos + 1) % self.fanout == 0:
             if len(run := self.stacks[level]) < self.fanout:  # its first nodes lie in another partition
                 self.peaks += [(level, *node) for node in run]
                 run.clear()
@@ -82,12 +82,12 @@ class Range:
         self.peaks += [(level, *node) for level, run in self.stacks.items() for node in run]
         self.stacks.clear()
 
-    def close(self, top: int) -> str:
-        """At the end of a run, or of a block: hashes what is open, however few, up to the level; the node there."""
-        for level in range(min(self.stacks, default=top), top):
+    def close(self) -> str:
+        """At the end of a run, or of a block: hashes what is open, however few, up to the top; the node there."""
+        for level in range(min(self.stacks), self.top):
             if self.stacks[level]:
                 self.hashed(level)
-        return self.stacks[top][-1][1]
+        return self.stacks[self.top][-1][1]
 
     def path(self, level: int, pos: int) -> tuple[list[str], list[str], int, int]:
         """What stands left and right at each level on the way up, and the node at which the way ends here."""
@@ -169,11 +169,10 @@ def merged(nodes: DataFrame, top: int, fanout: int) -> DataFrame:
 
     def work(own: pd.DataFrame) -> pd.DataFrame:
         own = own.assign(start=[p * fanout**k for k, p in zip(own["level"], own["pos"], strict=True)]).sort_values("start")
-        made = Range(fanout)
+        made = Range(fanout, min(top, height(int(own["total"].iloc[0]), fanout)))
         for n in own.itertuples():
             made.push(n.level, n.pos, n.digest)
-        highest = min(top, height(int(own["total"].iloc[0]), fanout))
-        digest = made.close(highest)
+        digest = made.close()
         ways = [made.path(n.level, n.pos) for n in own.itertuples()]
         return own[["part", "run", *NODE, "total", "block"]].assign(lefts=[w[0] for w in ways], rights=[w[1] for w in ways], digest=digest)
 
@@ -262,10 +261,10 @@ def node_records(leaves: DataFrame, order: list[str], fanout: int = 2, lift: int
         return pd.DataFrame(found, columns=["run", *NODE, "digest"])
 
     def high(own: pd.DataFrame) -> pd.DataFrame:
-        made, top = Range(fanout), int(own["top"].iloc[0])
+        made = Range(fanout, min(int(own["top"].iloc[0]), height(int(own["total"].iloc[0]), fanout)))
         for n in own.assign(start=[p * fanout**k for k, p in zip(own["level"], own["pos"], strict=True)]).sort_values("start").itertuples():
             made.push(n.level, n.pos, n.digest)
-        made.close(min(top, height(int(own["total"].iloc[0]), fanout)))
+        made.close()
         return pd.DataFrame([(own["run"].iloc[0], *record) for record in made.records], columns=["run", *NODE, "digest"])
 
     schema = "run string, level int, pos long, digest string"
