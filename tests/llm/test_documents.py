@@ -1,9 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -532,6 +534,59 @@ def test_license_notices(spark):
     assert got == dict(NOTICES)
 
 
+def plain_license(text):
+    """The best (score, license) over all windows and templates, without any bound."""
+    rows, idf, other = licenses.weights()
+    templates = {}
+    for i, name, term, share, long in rows:
+        templates.setdefault((i, name, long), {})[term] = share
+    lines, best, shorter = [re.findall(licenses.TERM, x) for x in text.lower().split("\n")], [], 0
+    for size, step in licenses.WINDOWS:
+        for start in range(0, -(-max(0, len(lines) - size) // step) * step + 1, step) if len(lines) > shorter else ():
+            held = {t: licenses.damped(n) * idf.get(t, other) for t, n in Counter(t for line in lines[start : start + size] for t in line).items()}
+            norm = math.sqrt(sum(w * w for w in held.values())) or 1.0
+            for (_, name, long), shares in templates.items():
+                score = round(sum(w * shares.get(t, 0.0) for t, w in held.items()) / norm, 6)
+                if score >= licenses.THRESHOLD and (long or size < licenses.LARGE):
+                    best.append((-score, name))
+        shorter = size
+    return min(best, default=(None, None))
+
+
+def test_licenses_equal_brute_force(spark):
+    """Parts of templates among frequent words and code, cut into lines anywhere: no bound loses a window."""
+    random.seed(9)
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(random.randint(1, 5)):
+            own = random.choice(licenses.TEMPLATES)[1].split()
+            first = random.randrange(len(own))
+            words += [*random.choices(licenses.FREQUENT, k=random.choice([0, 3, 30])), *own[first if random.random() < 0.5 else 0 :], *(f"x{random.randrange(99)}" for _ in range(random.choice([0, 1, 2, 5, 40])))]
+        often = random.choice([0.0, 0.1, 0.4, 1.0])
+        texts.append("".join(w + ("\n" if random.random() < often else " ") for w in words))
+    table = spark.createDataFrame([(str(i), text) for i, text in enumerate(texts)], "file string, text string").repartition(4)
+    got = {int(r.file): (-r.score, r.license) for r in licenses.own_licenses(table).collect()}
+    want = {i: best for i, text in enumerate(texts) if (best := plain_license(text))[0] is not None}
+    assert {i: name for i, (_, name) in got.items()} == {i: name for i, (_, name) in want.items()}
+    assert all(abs(got[i][0] - score) < 2e-6 for i, (score, _) in want.items()) and 20 < len(want) < 120
+
+
+def test_windows_need_a_mark(spark):
+    """Only lines with a term that some template can't do without, and few enough others, make windows; long numbers are one term."""
+    rows, idf, other = licenses.weights()
+    marks = set(licenses.marks(rows, licenses.THRESHOLD))
+    unmarked = Counter()
+    for template, _, term, share, _ in rows:
+        unmarked[template] += 0.0 if term in marks else share**2
+    assert max(unmarked.values()) < licenses.THRESHOLD**2 and not marks & {"the", "of", "and", "to", "in", "is"}
+    prose = "the rest of it is in the house and to be for all that this was as with an\n" * 40
+    texts = [prose, prose + "MIT License\n" + prose, "1" + ".1" * 20_000]
+    n = F.size(licenses.windows(F.col("text"), rows, max(idf.values()), other, licenses.THRESHOLD))
+    made = {r.i: r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", n.alias("n")).collect()}
+    assert made[0] == 0 and 0 < made[1] < 40 and made[2] == 0
+
+
 def test_licenses_of_deep_trees(spark):
     deep = "/".join(f"d{i}" for i in range(80))
     files = [("LICENSE", "Released under the MIT License."), (f"{deep}/LICENSE", "Licensed under the ISC license"), (f"{deep}/x/y.py", "code")]

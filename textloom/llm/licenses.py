@@ -11,7 +11,9 @@ takes it from the nearest directory at or above its own that has one.
 Windows that can't reach the threshold are left out before anything is shuffled, and no others. The terms that no
 template has make a window's vector too long for any product with a template to reach it. And the weights of a window's
 terms in a template have to make up the threshold; stretches of ``BLOCK`` lines whose terms don't in any long template
-have no large window. No word is a keyword.
+have no large window. For the same reason a window needs one of the marks, the terms that stay when each template is
+left without as many frequent and light terms as don't make up the threshold; only windows on a line with a mark are
+made. No word is a keyword: marks follow from the templates' weights and the threshold.
 
 Templates and their weights are a few thousand fixed rows. Products are added up map-side, so no group
 grows with the number of files; files of one directory meet its single row by a join that adaptive execution
@@ -191,6 +193,14 @@ TERM = "[a-z0-9]+(?:[.][0-9]+)*"
 WINDOWS = ((1, 1), (4, 2), (12, 4), (32, 4), (64, 16))
 #: Lines from which a window is large, terms from which a template is long, lines of a block of the first look (a multiple of all steps).
 LARGE, LONG, BLOCK = 12, 20, 64
+#: The same terms, as a pattern of Java's that never steps back, so that a term of any length is read without recursion.
+ONE_TERM = "[a-z0-9]++(?:[.][0-9]++)*+"
+#: Frequent words of English, the most frequent first; their order decides how selective the marks are, never a result.
+FREQUENT = (
+    "the of and to a in is that for it as was with be by on not he this are or his from at which but have an had they you were their one all "
+    "we can her has there been if more when will would who so no our out up do any may its only other under such use used free must than them "
+    "these those your"
+).split()
 LICENCE_FILE = "(?i)^(licen[cs]e|copying|notice)([.][a-z]+)?$"
 
 
@@ -215,21 +225,63 @@ def weights() -> tuple[list[tuple[int, str, str, float, bool]], dict[str, float]
     return rows, idf, math.log(1 + n) + 1
 
 
-def windows(text: Column, vocabulary: Column, heaviest: Column, threshold: float) -> Column:
+def least_square(threshold: float) -> float:
+    """Scores are rounded to six digits; the square of the least cosine that still counts, with room for sums of doubles."""
+    return (threshold - 5e-7) ** 2 - 1e-9
+
+
+def marks(rows: list[tuple[int, str, str, float, bool]], threshold: float) -> list[str]:
+    """Terms of which each window that reaches the threshold with one of the templates has one.
+
+    By Cauchy and Schwarz a cosine is no larger than the root of the squared weights that a template's terms in the window
+    have in it. So of each template those terms can be left out whose squares don't make up the threshold's.
+    """
+    rank = {word: i for i, word in enumerate(FREQUENT)}
+    room: dict[int, float] = {}
+    out = set()
+    for template, _, term, share, _ in sorted(rows, key=lambda r: (r[0], rank.get(r[2], len(rank)), r[3], r[2])):
+        left = room.get(template, 0.0) + share**2
+        if left < least_square(threshold):
+            room[template] = left
+        else:
+            out.add(term)
+    return sorted(out)
+
+
+def windows(text: Column, rows: list[tuple[int, str, str, float, bool]], heaviest_known: float, other: float, threshold: float) -> Column:
     """The terms of each window, as an array of (large, held, rest); held are those that some template has, rest all others, repeats included.
 
-    heaviest: the largest square of a term's weight in a long template. A large window reaches the threshold only if the
-    squares of its terms make up the threshold's square; blocks in which all terms together don't have none.
+    Windows without a mark are left out, and those whose other terms (frequency ``other``) are too many even if all held
+    ones were as heavy as the heaviest and no other came twice. A large window reaches the threshold only if the largest squares that its terms'
+    weights have in a long template make up the threshold's square; blocks in which all terms together don't have none.
     """
-    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.regexp_extract_all(x, F.lit(f"({TERM})")))
+    squares: dict[str, float] = {}
+    for _, _, term, share, long in rows:
+        if long:
+            squares[term] = max(squares.get(term, 0.0), share**2)
+    heaviest = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
+    listed = lambda terms: F.array(*map(F.lit, terms))
+    vocabulary, every_mark, long_marks = (listed(terms) for terms in (sorted({r[2] for r in rows}), marks(rows, threshold), marks([r for r in rows if r[4]], threshold)))
+    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: F.regexp_extract_all(x, F.lit(ONE_TERM), F.lit(0)))
     last = lambda found, size, step: F.ceil(F.greatest(F.lit(0), F.size(found) - size) / step).cast("int") * step
     none = F.array().cast("array<int>")
     bound = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  the array of one binds a value to a name, so it is made once
 
-    def parted(line: Column) -> Column:
-        """A line's terms that some template has, and the others."""
-        own = lambda some, inside: F.filter(line, lambda t: F.array_contains(some, t) == inside)
-        return bound(F.array_intersect(line, vocabulary), lambda some: F.array(own(some, True), own(some, False)))
+    def parted(found: Column, some: Column) -> Column:
+        """Each line's terms that some template has, and the others."""
+        own = lambda line, inside: F.filter(line, lambda t: F.array_contains(some, t) == inside)
+        return F.transform(found, lambda line: F.array(own(line, True), own(line, False)))
+
+    def hot(found: Column, some: Column) -> Column:
+        """The numbers of the lines that have one of some terms."""
+        lines_ = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.arrays_overlap(found[i], some))
+        return F.when(F.size(some) > 0, lines_).otherwise(none)
+
+    def near(found: Column, hot_: Column, size: int, step: int) -> Column:
+        """Where the windows with a hot line start."""
+        first = lambda h: F.greatest(F.lit(0), F.ceil((h - size + 1) / step).cast("int") * step)
+        end = lambda h: F.least(F.floor(h / step).cast("int") * step, last(found, size, step))
+        return F.array_distinct(F.flatten(F.transform(hot_, lambda h: F.sequence(first(h), end(h), F.lit(step)))))
 
     def at(found: Column, starts: Column, size: int) -> Column:
         cut = lambda start, side: F.flatten(F.transform(F.slice(found, start + 1, size), lambda line: line[side]))
@@ -237,22 +289,39 @@ def windows(text: Column, vocabulary: Column, heaviest: Column, threshold: float
 
     def able(found: Column, block: Column) -> Column:
         terms = F.array_distinct(F.flatten(F.transform(F.slice(found, block + 1, BLOCK + WINDOWS[-1][0]), lambda line: line[0])))
-        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(heaviest, t), F.lit(0.0))) >= threshold**2 - 1e-9
+        return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.coalesce(F.try_element_at(heaviest, t), F.lit(0.0))) >= least_square(threshold)
 
     def in_blocks(found: Column, blocks: Column, size: int, step: int) -> Column:
         ends = lambda b: F.least(b + BLOCK - step, last(found, size, step))
         return F.flatten(F.transform(blocks, lambda b: F.when(ends(b) >= b, F.sequence(b, ends(b), F.lit(step))).otherwise(none)))
 
-    def every(found: Column, blocks: Column) -> Column:
+    def might(window: Column) -> Column:
+        """The bound twice: first without counting, as the square of a damped frequency n is at most 4/e n, then with the frequencies."""
+        held, others = window["held"], F.size(F.array_distinct(window["rest"])) * (other**2 * least_square(threshold) / (1 - least_square(threshold)) * (1 - 1e-9))
+        return (F.size(held) > 0) & (others <= heaviest_known**2 * 1.4716 * F.size(held)) & (others <= heaviest_known**2 * square_counts(held))
+
+    def every(found: Column, warm: Column, hot_: Column, blocks: Column) -> Column:
         shorter, out = 0, []
         for size, step in WINDOWS:
-            starts = F.sequence(F.lit(0), last(found, size, step), F.lit(step)) if size < LARGE else in_blocks(found, blocks, size, step)
+            starts = near(found, warm, size, step) if size < LARGE else F.array_intersect(near(found, hot_, size, step), in_blocks(found, blocks, size, step))
             out.append(at(found, F.when(F.size(found) > shorter, starts).otherwise(none), size))
             shorter = size
-        return F.concat(*out)
+        return F.filter(F.concat(*out), might)
+
+    def of_lines(found: Column, warm: Column, hot_: Column) -> Column:
+        """All windows of lines in two parts; warm lines have any mark, hot ones that of a long template."""
+        firsts = F.filter(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), lambda b: able(found, b))
+        blocks = F.when(F.size(hot_) > 0, firsts).otherwise(none)
+        return bound(blocks, lambda b: every(found, warm, hot_, b))
 
-    blocks = lambda found: F.filter(F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK)), lambda b: able(found, b))
-    return bound(F.transform(lines, parted), lambda found: bound(blocks(found), lambda b: every(found, b)))
+    def of_text(found: Column, own: Column, marks_: Column) -> Column:
+        lines_ = lambda some, use: bound(hot(found, some), use)
+        long_ = F.array_intersect(long_marks, own)
+        return bound(parted(found, own), lambda p: lines_(marks_, lambda warm: bound(long_, lambda some: lines_(some, lambda hot_: of_lines(p, warm, hot_)))))
+
+    empty = F.array().cast("array<struct<large:boolean,held:array<string>,rest:array<string>>>")
+    marked = lambda found, own: bound(F.array_intersect(every_mark, own), lambda some: F.when(F.size(some) > 0, of_text(found, own, some)).otherwise(empty))
+    return bound(lines, lambda found: bound(F.array_intersect(F.flatten(found), vocabulary), lambda own: marked(found, own)))
 
 
 def square_counts(terms: Column) -> Column:
@@ -265,25 +334,18 @@ def square_counts(terms: Column) -> Column:
         more = F.when(a["term"] == t, square(a["n"] + 1) - square(a["n"])).otherwise(F.lit(1.0))
         return F.named_struct(F.lit("term"), t, F.lit("n"), n, F.lit("sum"), a["sum"] + more)
 
-    return F.aggregate(F.array_sort(terms), first, step, lambda a: a["sum"])
+    return F.aggregate(F.sort_array(terms), first, step, lambda a: a["sum"])
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(file, license, score) of the best window of each file that reaches the threshold; files: (file, text)."""
     spark = files.sparkSession
     rows, idf, other = weights()
-    vocabulary = F.array(*map(F.lit, idf))
     known = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
-    squares: dict[str, float] = {}
-    for _, _, term, share, long in rows:
-        if long:
-            squares[term] = max(squares.get(term, 0.0), share**2)
-    heaviest = F.create_map(*[F.lit(x) for pair in squares.items() for x in pair])
-    found = files.select("file", F.posexplode(windows(F.col("text"), vocabulary, heaviest, threshold)).alias("window", "w")).select("file", "window", "w.large", "w.held", "w.rest")
+    found = files.select("file", F.posexplode(windows(F.col("text"), rows, max(idf.values()), other, threshold)).alias("window", "w")).select("file", "window", "w.large", "w.held", "w.rest")
     # First as if all known terms were as heavy as the heaviest, then exactly.
-    part = threshold**2 / (1 - threshold**2) - 1e-9
-    able = found.filter(F.size("held") > 0)
-    able = able.withColumn("room", square_counts(F.col("rest")) * other**2).filter(F.col("room") * part <= max(idf.values()) ** 2 * square_counts(F.col("held")))
+    part = least_square(threshold) / (1 - least_square(threshold))
+    able = found.withColumn("room", square_counts(F.col("rest")) * other**2).filter(F.col("room") * part <= max(idf.values()) ** 2 * square_counts(F.col("held")))
     times = lambda some, terms: F.transform(some, lambda t: F.named_struct(F.lit("term"), t, F.lit("n"), F.size(F.filter(terms, lambda x: x == t))))
     added = lambda counts, weight: F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.pow((1 + F.log(c["n"])) * weight(c), F.lit(2.0)))
     able = able.withColumn("counts", times(F.array_distinct("held"), F.col("held")))
