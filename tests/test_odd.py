@@ -26,3 +26,10 @@ def test_logical_lines_of_odd_texts(spark, tmp_path):
     """White space at the ends of lines, empty lines and texts, marks of continuation in a text, other line ends."""
     odd = ["", "\n", "a \nb\t\n\nc", "a _\nb _\nc _\nd", "_\n _\n\t_", " \n \n \n ", "a\r\nb\r\nc", "a\x0bb\x0cc d\x85e\nf", None, "x'y\n(z\nü.", "\n" * 20]
     assert len(compared(spark, documents(spark, tmp_path, odd), "logical_lines")) == 19
+
+
+def test_sync_of_a_file_with_equal_texts(spark, tmp_path):
+    """Markup, pictures and code stand in several templates of a long script; each entry takes its own old one."""
+    texts = ["\n".join(f"line {i} of {d}" for i in range(880)) for d in range(3)]
+    rows = compared(spark, documents(spark, tmp_path, ["-", *texts]), "sync_exact")
+    assert sum("<b></b>" in str(r) for r in rows) > 3
