@@ -1,10 +1,10 @@
 import random
 from itertools import combinations
 
-from pyspark.sql.functions import md5
+from pyspark.sql.functions import col, explode, md5
 
 from textloom.operators.match import edits
-from textloom.operators.similar import by_pieces, near_pairs
+from textloom.operators.similar import by_pieces, near_pairs, pieces, stretches
 
 
 def changed(rng, text, times):
@@ -43,3 +43,11 @@ def test_lines_of_one_template(spark):
 
 def test_no_rows(spark):
     assert near_pairs(spark.createDataFrame([], "block string, text string")).isEmpty()
+
+
+def test_keys_are_slim(spark):
+    """A text has 18 rows of keys, so a row is two numbers: a key that holds its block, and an id."""
+    texts = spark.createDataFrame([("x", "a line of more than twenty-four letters")], "block string, text string")
+    keys = texts.select(explode(pieces(col("text"), 2)).alias("k"))
+    assert keys.schema["k"].dataType.simpleString() == "bigint" and keys.select("k").distinct().count() == 3
+    assert texts.select(explode(stretches(col("text"), 2)).alias("s")).select("s.*").dtypes == [("k", "bigint"), ("longer", "boolean")]

@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import stored
 
 #: Edits that a pair may have, and characters from which a text is cut into pieces; keys grow with the square of the edits.
 EDITS, SHORTEST = 2, 24
 #: Texts that share a piece from which they meet by their rests, and the longest text that does.
 SHARED, LONGEST_REST = 256, 128
+#: Rows of slim keys that are broadcast at most.
+BROADCAST_ROWS = 1 << 17
 
 
 def piece(size: Column, i: int, edits: int) -> tuple[Column, Column]:
@@ -30,8 +32,9 @@ def piece(size: Column, i: int, edits: int) -> tuple[Column, Column]:
 
 
 def key(text: Column, size: Column, i: int, place: Column, length: Column) -> Column:
+    """A number for the block, the shorter text's size, the piece and the cut: rows of keys are many, and are kept slim. What meets by chance is compared and dropped."""
     cut = F.substring(text, (place + 1).cast("int"), length.cast("int"))
-    return F.struct(size.cast("long").alias("size"), F.lit(i).cast("tinyint").alias("piece"), F.xxhash64(cut).alias("cut"))
+    return F.xxhash64(F.col("block"), size.cast("long"), F.lit(i), cut)
 
 
 def pieces(text: Column, edits: int) -> Column:
@@ -51,7 +54,7 @@ def stretches(text: Column, edits: int) -> Column:
         for i in range(edits + 1):
             place, length = piece(size, i, edits)
             after = edits - i
-            made += [key(text, size, i, place + by, length) for by in range(max(-i, less - after), min(i, less + after) + 1)]
+            made += [F.struct(key(text, size, i, place + by, length).alias("k"), F.lit(less > 0).alias("longer")) for by in range(max(-i, less - after), min(i, less + after) + 1)]
     return F.array(*made)
 
 
@@ -66,25 +69,36 @@ def rests(text: Column, edits: int) -> Column:
 
 
 def by_rests(texts: DataFrame, edits: int) -> DataFrame:
-    """(block, x, y) of texts (block, id, text) that have a rest in common; block isn't null."""
-    own = texts.select("block", "id", F.explode(rests(F.col("text"), edits)).alias("k"))
-    left, right = own.select("block", "k", F.col("id").alias("x")), own.select("block", "k", F.col("id").alias("y"))
-    return left.join(right, ["block", "k"]).filter("x < y").select("block", "x", "y").distinct()
+    """(x, y) of texts (block, id, text) that have a rest in common; block isn't null."""
+    own = texts.select("id", F.explode(rests(F.col("text"), edits)).alias("k"), "block").select("id", F.xxhash64("block", "k").alias("k"))
+    left, right = own.select("k", F.col("id").alias("x")), own.select("k", F.col("id").alias("y"))
+    return left.join(right, "k").filter("x < y").select("x", "y").distinct()
+
+
+def slim(keys: DataFrame) -> DataFrame:
+    """Few keys are broadcast, so that what they are joined with isn't shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def by_pieces(texts: DataFrame, edits: int, shared: int) -> DataFrame:
-    """(block, x, y) of texts (block, id, text) of which the longer one has a piece of the shorter one."""
-    short = durable(texts.select("block", "id", F.length("text").alias("length"), F.explode(pieces(F.col("text"), edits)).alias("k")))
-    long = durable(texts.select("block", "id", F.length("text").alias("length"), F.explode(stretches(F.col("text"), edits)).alias("k")))
-    common = durable(short.filter(F.col("length") <= LONGEST_REST - edits).groupBy("block", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared).select("block", "k"))
-    left = short.join(common, ["block", "k"], "left_anti").select("block", "k", F.col("id").alias("x"))
-    right = long.select("block", "k", F.col("id").alias("y"), "length")
-    once = (F.col("length") > F.col("k.size")) | (F.col("x") < F.col("y"))
-    found = left.join(right, ["block", "k"]).filter(once & (F.col("x") != F.col("y"))).select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    """(x, y) of texts (block, id, text) of which the longer one has a piece of the shorter one.
+
+    Keys are made anew where they are needed, which takes less than to write them.
+    """
+    size = F.length("text")
+    short = texts.select("id", (size <= LONGEST_REST - edits).alias("meets"), F.explode(pieces(F.col("text"), edits)).alias("k"))
+    long = texts.select("id", F.explode(stretches(F.col("text"), edits)).alias("s")).select("id", "s.k", "s.longer")
+    common = stored(short.filter("meets").groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shared).select("k"))
+    few = slim(common)
+    left = short.join(few.withColumn("meets", F.lit(True)), ["k", "meets"], "left_anti").select("k", F.col("id").alias("x"))
+    right = long.select("k", F.col("id").alias("y"), "longer")
+    once = F.col("longer") | (F.col("x") < F.col("y"))
+    found = left.join(right, "k").filter(once & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     if common.isEmpty():
         return found.distinct()
-    hot = short.unionByName(long).join(common, ["block", "k"], "left_semi").select("block", "id").distinct()
-    return found.unionByName(by_rests(texts.join(hot, ["block", "id"], "left_semi"), edits)).distinct()
+    hot = short.select("id", "k").unionByName(long.select("id", "k")).join(few, "k", "left_semi").select("id").distinct()
+    hot = texts.filter(size <= LONGEST_REST).join(slim(stored(hot)), "id", "left_semi")
+    return found.unionByName(by_rests(hot, edits)).distinct()
 
 
 def near_pairs(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, shared: int = SHARED) -> DataFrame:
@@ -95,13 +109,13 @@ def near_pairs(texts: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, s
     """
     assert shortest > edits * (edits + 2)
     named = F.coalesce(F.concat(F.lit("="), F.col("block").cast("string")), F.lit(""))
-    own = durable(texts.filter("text is not null").select("block", "text").distinct().select(named.alias("name"), F.md5("text").alias("id"), "block", "text"))
+    own = stored(texts.filter("text is not null").select("block", "text").distinct().select(named.alias("name"), F.xxhash64(named, F.md5("text")).alias("id"), "block", "text"))
     keyed = own.select(F.col("name").alias("block"), "id", "text")
     few = by_rests(keyed.filter(F.length("text") < shortest + edits), edits)
-    found = few.unionByName(by_pieces(keyed.filter(F.length("text") >= shortest), edits, shared)).distinct()
-    # Texts come back by their digests, as they would otherwise travel with every key.
-    left, right = (own.select(F.col("name").alias("n"), F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("x", "t"), ("y", "u")))
-    both = found.join(left.withColumnRenamed("n", "block"), ["block", "x"]).join(right.withColumnRenamed("n", "block"), ["block", "y"])
+    found = stored(few.unionByName(by_pieces(keyed.filter(F.length("text") >= shortest), edits, shared)).distinct())
+    # Texts come back by their ids, as they would otherwise travel with every key; those that met nothing aren't shuffled.
+    met = own.join(slim(found.select(F.explode(F.array("x", "y")).alias("id")).distinct()), "id", "left_semi")
+    left, right = (met.select("name", F.col("id").alias(i), *own_block, F.col("text").alias(t)) for i, t, own_block in (("x", "t", ["block"]), ("y", "u", [])))
+    both = found.join(left, "x").join(right.withColumnRenamed("name", "other"), "y").filter("name = other")
     judged = both.withColumn("edits", F.levenshtein("t", "u", edits)).filter("edits >= 0")
-    name = F.when(F.col("block") != "", F.substring("block", 2, 1 << 30)).cast(texts.schema["block"].dataType)
-    return judged.select(name.alias("block"), F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), "edits")
+    return judged.select("block", F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), "edits")
